@@ -184,7 +184,7 @@ LINES_SQL = f"""WITH t AS (SELECT doc_id, {_HEADED} AS text FROM documents), l0
 @query("txt_heading", LINES_SQL + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, level FROM l WHERE level > 0")
 def txt_heading(spark, sf):
     rows = T.with_lines(docs(spark, sf).select("doc_id", headed().alias("t")), "t")
-    return rows.select("doc_id", F.explode("lines").alias("r")).select("doc_id", "r.pos", "r.level").filter("level > 0")
+    return rows.select("doc_id", F.explode_outer("lines").alias("r")).select("doc_id", "r.pos", "r.level").filter("level > 0")
 
 
 @query("txt_mark_headers", LINES_SQL + ", r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS r FROM m GROUP BY doc_id) SELECT doc_id, md5(r) AS result_md5, length(r) AS result_chars FROM r")
@@ -199,8 +199,9 @@ CHUNK_SQL = LINES_SQL + f""", k0 AS (SELECT *, length(regexp_extract({strip('lin
 
 
 def chunk_rows(spark, sf):
+    # an outer explode, as for an inner one the arrays are worked out once more in a filter
     marked = T.with_marked(docs(spark, sf).select("doc_id", "lang", "source", headed().alias("t")), "t", "m").drop("t")
-    rows = T.with_chunks(marked, "m").select("doc_id", "lang", "source", F.posexplode("chunks").alias("chunk_id", "c"))
+    rows = T.with_chunks(marked, "m").select("doc_id", "lang", "source", F.posexplode_outer("chunks").alias("chunk_id", "c")).filter("c is not null")
     return rows.select("doc_id", "lang", "source", "chunk_id", "c.header", "c.level", "c.content", T.token_count(F.col("c.content")).cast("long").alias("tokens"))
 
 
