@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Stretches of text that a worker keeps before it starts anew.
-KEEP = 400_000
+#: Stretches of text, and pieces, that a worker keeps before it starts anew.
+KEEP, KEEP_PIECES = 500_000, 800_000
 #: A longer stretch is encoded but not kept.
 LONG = 256
 #: Words, and bytes of words, in one recursive query.
@@ -82,6 +82,7 @@ class Codec:
         self.db.register("pairs", pa.table({"a": a, "b": b, "r": r}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes: one recursive query."""
@@ -100,8 +101,10 @@ class Codec:
 
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
         cut = {s: [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(s)] for s in stretches}
-        done = {p: np.array([r], "<u4").tobytes() for ps in cut.values() for p in ps if (r := self.ranks.get(p)) is not None}
-        todo = sorted({p for ps in cut.values() for p in ps if p not in done}, key=len)
+        wanted = set().union(*cut.values())
+        done = {p: i for p in wanted if (i := self.pieces.get(p)) is not None}
+        done.update((p, np.array([r], "<u4").tobytes()) for p in wanted if p not in done and (r := self.ranks.get(p)) is not None)
+        todo = sorted((p for p in wanted if p not in done), key=len)
         at = 0
         while at < len(todo):
             end, size = at, 0
@@ -110,6 +113,9 @@ class Codec:
                 end += 1
             done.update(zip(todo[at:end], self.merge(todo[at:end])))
             at = end
+        if len(self.pieces) + len(todo) > KEEP_PIECES:
+            self.pieces = {}
+        self.pieces.update((p, done[p]) for p in todo if len(p) <= LONG)
         return {s: b"".join(map(done.__getitem__, ps)) for s, ps in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:

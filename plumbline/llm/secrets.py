@@ -57,7 +57,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.transform("gaps", lambda g: F.struct(F.char_length(g).alias("n"), F.right(g, F.lit(LEFT)).alias("left"), F.left(g, F.lit(RIGHT)).alias("right"))).alias("gaps"),
         F.monotonically_increasing_id().alias("row"),
     )
-    one = ends.select("id", "row", "path", "gaps", F.posexplode("found").alias("k", "value"))
+    one = ends.select("id", "row", "path", "gaps", F.posexplode_outer("found").alias("k", "value"))
     one = one.select("id", "row", "path", "k", "value", F.col("gaps")[F.col("k")].alias("g"), F.col("gaps")[F.col("k") + 1]["right"].alias("right"))
     before = F.sum(F.col("g.n") + F.char_length("value")).over(Window.partitionBy("row").orderBy("k"))
     return one.select("id", "row", "k", (before - F.char_length("value")).cast("long").alias("start"), "value", F.col("g.left").alias("left"), "right", "path")
@@ -66,7 +66,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> DataFrame:
     """4-letter pieces (column piece) of the ``size`` most frequent words of 4
     to 12 letters, counted over all rows; at most 9 pieces a word."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\s.,;:!?\"'()]+")).alias("w"))
+    words = docs.select(F.explode_outer(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\s.,;:!?\"'()]+")).alias("w"))
     words = words.filter((F.char_length("w") >= 4) & (F.char_length("w") <= 12) & F.col("w").rlike(r"^\p{L}+$"))
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
     return top.select(F.explode(_pieces(F.col("w"))).alias("piece")).distinct()
