@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import profile, stats, tables, text  # noqa: F401
+    from .plans import monitor, profile, quality, retrieval, stats, tables, text  # noqa: F401
