@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import encoder, portions
 
 WINDOW = 4096
 _FIELDS = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -130,10 +130,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
             return batch
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(text.as_py(), end)
-                for pieces in packer.add(0, ids, (key, len(ids) // 4)):
-                    emit(pieces)
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in portions(texts):
+                for key, ids in zip(keys[lo:hi], enc.encode_all(texts[lo:hi], end)):
+                    for pieces in packer.add(0, ids, (key, len(ids) // 4)):
+                        emit(pieces)
             yield flush()
         for pieces in packer.close():
             emit(pieces)

@@ -1,8 +1,13 @@
 """Token ids of whole texts by a public ``tokenizers`` vocabulary.
 
 The vocabulary drops white space and its pieces never span it, so the ids of
-a text are those of its space-separated parts in order.  A part is encoded
-once per worker and kept; a text is then a join of kept byte strings.
+a text are those of its space-separated parts in order; nor do pieces span the
+border from a letter or digit to a run of marks, so a part's closing marks are
+encoded apart.  Each worker keeps what it has encoded; a text is then a join
+of kept byte strings.  New words that are letters only are encoded many at a
+time: each of them is one piece, whose last token the vocabulary marks with
+``</w>``, so the ids are cut there (if the numbers of pieces and words differ,
+the words are encoded one by one).
 """
 
 from __future__ import annotations
@@ -11,10 +16,13 @@ import os
 
 import numpy as np
 
-#: Parts a worker keeps before it starts anew.
-KEEP = 300_000
+#: Parts, and words without closing marks, that a worker keeps before it starts anew.
+KEEP, KEEP_WORDS = 600_000, 1_200_000
 #: A part longer than this is encoded but not kept.
-LONG = 256
+LONG = 128
+#: Words that are encoded as one text.
+JOINED = 256
+_CLOSING = ".,;:!?)"
 _ENCODERS: dict = {}
 
 
@@ -26,25 +34,80 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
-    def learn(self, parts: list[str]) -> dict[str, bytes]:
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str | None, end: bytes = b"") -> bytes:
-        parts = (text or "").replace("\n", " ").split(" ")
-        new = [p for p in set(parts) if p not in self.known]
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of words into ``self.words``."""
+        plain = [w for w in words if w.isalpha()]
+        single = [w for w in words if not w.isalpha()]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(group) or cuts[-1] != 4 * len(ids):
+                single += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, cuts.tolist()):
+                self.words[w] = raw[at:end]
+                at = end
+        self.words.update(zip(single, (i.tobytes() for i in self._ids(single))))
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        cut = []
+        for p in parts:
+            w = p.rstrip(_CLOSING)
+            if not w or not w[-1].isalnum():
+                w = p
+            tail = p[len(w) :]
+            cut.append((w.lower() if w.isascii() and "<" not in w else w, tail))
+        if len(self.words) + len(cut) > KEEP_WORDS:
+            self.words = {}
+        new = {w for pair in cut for w in pair if w and w not in self.words}
         if new:
-            if len(self.known) + len(new) > KEEP:
+            self._learn_words(list(new))
+        words = self.words
+        got = {p: words[w] + words[t] if t else words[w] for p, (w, t) in zip(parts, cut)}
+        for w in new:
+            if len(w) > LONG:
+                del words[w]
+        return got
+
+    def encode_all(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        """Ids of each text, followed by ``end``."""
+        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.known.get, parts)) for parts in cut]
+        missing = {p for parts, ids in zip(cut, found) if None in ids for p, i in zip(parts, ids) if i is None}
+        if missing:
+            got = self.learn(list(missing))
+            for parts, ids in zip(cut, found):
+                if None in ids:
+                    ids[:] = [got[p] if i is None else i for p, i in zip(parts, ids)]
+            if len(self.known) + len(got) > KEEP:
                 self.known = {"": b""}
-                new = list(set(parts))
-            got = self.learn(new)
-            long_ones = {p: i for p, i in got.items() if len(p) > LONG}
             self.known.update((p, i) for p, i in got.items() if len(p) <= LONG)
-            if long_ones:
-                find = lambda p: long_ones[p] if p in long_ones else self.known[p]
-                return b"".join(map(find, parts)) + end
-        return b"".join(map(self.known.__getitem__, parts)) + end
+        return [b"".join(ids) + end for ids in found]
+
+    def encode(self, text: str | None, end: bytes = b"") -> bytes:
+        return self.encode_all([text], end)[0]
+
+
+def portions(texts: list[str | None], chars: int = 1 << 20):
+    """(start, end) of runs of texts of about ``chars`` characters."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size < chars or end == at):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
 
 
 def encoder(path: str) -> WordEncoder:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, range_bounds, range_bucket
 from .files import opened, whole_file
-from .tokens import encoder
+from .tokens import encoder, portions
 
 MAGIC = b"WVMX0001"
 BLOCK_BITS = 1 << 16
@@ -172,7 +172,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str
     def write(key, table):
         shard, enc, end = key[0].as_py(), encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         table = table.sort_by([("id", "ascending"), ("t", "ascending")]) if table.num_rows > 1 else table
-        parts = [enc.encode(t.as_py(), end) for t in table.column("t")]
+        texts = table.column("t").to_pylist()
+        parts = [x for lo, hi in portions(texts) for x in enc.encode_all(texts[lo:hi], end)]
         starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
         ids = np.frombuffer(b"".join(parts), "<u4")
         keys = np.array([NULL_ID if i is None else i for i in table.column("id").to_pylist()], dtype=np.int64)
