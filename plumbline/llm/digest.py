@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Repeated digests that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
@@ -38,7 +41,10 @@ def _sound(rows: DataFrame, key: str, width: int) -> DataFrame:
     """(key, canon) rows whose digest another canonical form has taken."""
     short = rows.select(F.substring("fp", 1, width).alias("fp"), key, "canon")
     counts = short.groupBy("fp").agg(F.count("*").alias("n"), F.min(key).alias("_first")).filter("n > 1").select("fp", "_first")
-    shared = short.join(counts, "fp")
+    counts = materialise(counts, "repeated")
+    # so few digests repeat (40 bytes each) that only texts that share one are shuffled; else all are
+    small = counts.count() <= BROADCAST_ROWS
+    shared = short.join(F.broadcast(counts) if small else counts, "fp")
     first = shared.filter(F.col(key) == F.col("_first")).groupBy("fp").agg(F.min("canon").alias("held"))
     return shared.filter(F.col(key) != F.col("_first")).join(first, "fp").filter("canon <> held").select(key, "canon").distinct()
 
