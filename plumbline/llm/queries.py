@@ -58,11 +58,11 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], prefix: str) ->
     send = [F.when((F.col("_bucket") == h["_bucket"]) & F.col(id_col).eqNullSafe(F.lit(h["head"])), F.lit(heads[i - 1]["_bucket"])) for i, h in enumerate(heads)]
     target = F.coalesce(*send) if send else F.lit(None).cast("int")
     both = cut.withColumn("_in", F.explode(F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("copy")), F.when(target.isNotNull(), F.struct(target.alias("b"), F.lit(1).alias("copy")))))))
-    order = Window.partitionBy("_in.b").orderBy("_in.copy", F.desc(id_col))
-    out = both
-    for c in columns:
-        out = out.withColumn(prefix + c, F.lead(c).over(order))
-    return out.filter("_in.copy = 0").drop("_in", "_bucket")
+    # plain columns and one select, so that all windows share one exchange
+    both = both.withColumn("_b", F.col("_in.b")).withColumn("_copy", F.col("_in.copy")).drop("_in", "_bucket")
+    order = Window.partitionBy("_b").orderBy("_copy", F.desc(id_col))
+    out = both.select("*", *[F.lead(c).over(order).alias(prefix + c) for c in columns])
+    return out.filter("_copy = 0").drop("_b", "_copy")
 
 
 def op7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
