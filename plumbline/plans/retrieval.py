@@ -41,11 +41,11 @@ def ret_mmr(spark, sf):
     return R.mmr(top(spark, sf, 9), table(spark, sf, "embeddings"), 3)
 
 
-@query("ret_weighted", _TOP + ", c AS (SELECT t.*, 7e-1 * score + 1e-1 + 1e-1 * coalesce(quality, 1) + 1e-1 * (least(1 + 1e-1 * coalesce(toxic, 0), 2) - 1) AS ns FROM t LEFT JOIN labels l ON l.doc_id = t.doc_id WHERE rank <= 10) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(ns, 5) AS score FROM c QUALIFY rank <= 5".replace("QUALIFY rank <= 5", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) <= 5"))
+@query("ret_weighted", _TOP + ", c AS (SELECT t.*, 7e-1 * score + 1e-1 + 1e-1 * coalesce(quality, 1) + 1e-1 * (least(1 + 1e-1 * coalesce(toxic, 0), 2) - 1) AS ns FROM t LEFT JOIN labels l ON l.doc_id = t.doc_id WHERE rank <= 10) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(ns, 8) AS score FROM c QUALIFY rank <= 5".replace("QUALIFY rank <= 5", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) <= 5"))
 def ret_weighted(spark, sf):
     c = top(spark, sf, 10).join(table(spark, sf, "labels"), "doc_id", "left")
     s = 0.7 * F.col("score") + 0.1 + 0.1 * F.coalesce("quality", F.lit(1)) + 0.1 * (F.least(1 + 0.1 * F.coalesce("toxic", F.lit(0)), F.lit(2.0)) - 1)
-    return R.reranked(c, s, 5).select("query_id", "rank", "doc_id", F.round("new_score", 5).alias("score"))
+    return R.reranked(c, s, 5).select("query_id", "rank", "doc_id", F.round(s, 8).alias("score"))
 
 
 @query("ret_rerank", _TOP + ", c AS (SELECT t.*, round(score * CASE WHEN w < 50 THEN 0.8 WHEN w > 500 THEN 0.9 ELSE 1 END, 6) AS ns FROM t JOIN (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS w FROM documents) d USING (doc_id) WHERE rank <= 15) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ns DESC, doc_id) AS INTEGER) AS rank, doc_id, ns AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ns DESC, doc_id) <= 5")
