@@ -21,14 +21,35 @@ from .common import materialise
 BROADCAST_ROWS = 500_000
 
 
+def _normal(t: Column) -> Column:
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))).otherwise(t)
+
+
+def _folded(low: Column) -> Column:
+    # a normal form may change once more when its case is folded
+    return F.trim(F.regexp_replace(_normal(low), r"(?U)\s+", " "))
+
+
+def _text(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    wide = F.when(t.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))).otherwise(t)
-    # a normal form may change once more when its case is folded
-    low = F.lower(wide)
-    low = F.when(low.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), low, F.lit(True))).otherwise(low)
-    return F.trim(F.regexp_replace(low, r"(?U)\s+", " "))
+    return _folded(F.lower(_normal(_text(text))))
+
+
+def with_canonical(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """``docs`` with ``canonical`` of a column.
+
+    Spark takes ``reflect`` for non-deterministic and works an expression that
+    holds it out at each mention; steps that are columns are worked out once.
+    """
+    step = out_col + "_step"
+    while step in docs.columns:
+        step += "_"
+    low = docs.withColumn(step, F.lower(_normal(_text(F.col(text_col)))))
+    return low.withColumn(out_col, _folded(F.col(step))).drop(step)
 
 
 def digest(canon: Column) -> Column:
@@ -58,10 +79,10 @@ def with_digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     comparison; a column named like ``out_col`` is replaced; an empty table
     stays empty.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), canonical(F.col(text_col)).alias("canon")).withColumn("fp", digest(F.col("canon")))
+    rows = with_canonical(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("t")), "t", "canon").select("_id", "canon", digest(F.col("canon")).alias("fp"))
     clash = materialise(_sound(rows.filter("_id is not null"), "_id", width), "clashes")
-    short = F.substring(digest(canonical(F.col(text_col))), 1, width)
-    out = docs.drop(out_col).withColumn(out_col, short)
+    out = with_canonical(docs.drop(out_col), text_col, out_col)
+    out = out.withColumn(out_col, F.substring(digest(F.col(out_col)), 1, width))
     if clash.isEmpty():
         return out
     ids = clash.select(F.col("_id").alias("_clash"), F.sha2("canon", 256).alias("_long")).groupBy("_clash").agg(F.max("_long").alias("_long"))

@@ -71,11 +71,11 @@ def op7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(rows, "doc_id", ["text", "fingerprint"], "next_")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left("next_text", cut))
-    rows = rows.withColumn("edited", edited)
+    rows = digest.with_canonical(rows.withColumn("edited", edited), "edited", "canon").withColumn("own", digest.digest(F.col("canon")))
     # where a collision lengthened the text's digest, an equal canonical form has it too
-    own = digest.digest(digest.canonical(F.col("edited")))
-    same = F.when(own == F.substring("fingerprint", 1, 32), digest.canonical(F.col("edited")) == digest.canonical(F.col("text")))
-    mark = F.when(F.coalesce(same, F.lit(False)), F.col("fingerprint")).when(own == F.col("fingerprint"), F.concat(own, F.lit("-"), F.sha2(digest.canonical(F.col("edited")), 256))).otherwise(own)
+    own = F.col("own")
+    same = F.when(own == F.substring("fingerprint", 1, 32), F.col("canon") == digest.canonical(F.col("text")))
+    mark = F.when(F.coalesce(same, F.lit(False)), F.col("fingerprint")).when(own == F.col("fingerprint"), F.concat(own, F.lit("-"), F.sha2("canon", 256))).otherwise(own)
     rows = rows.withColumn("edited_fingerprint", mark)
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
