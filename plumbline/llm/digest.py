@@ -19,6 +19,8 @@ from .common import materialise
 
 #: Repeated digests that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Rows of one digest that are compared in one task.
+COMPARED_ROWS = 1000
 
 
 def _normal(t: Column) -> Column:
@@ -61,13 +63,17 @@ def digest(canon: Column) -> Column:
 def _sound(rows: DataFrame, key: str, width: int) -> DataFrame:
     """(key, canon) rows whose digest another canonical form has taken."""
     short = rows.select(F.substring("fp", 1, width).alias("fp"), key, "canon")
-    counts = short.groupBy("fp").agg(F.count("*").alias("n"), F.min(key).alias("_first")).filter("n > 1").select("fp", "_first")
+    counts = short.groupBy("fp").agg(F.count("*").alias("n"), F.min(key).alias("_first")).filter("n > 1")
     counts = materialise(counts, "repeated")
-    # so few digests repeat (40 bytes each) that only texts that share one are shuffled; else all are
+    # so few digests repeat (48 bytes each) that only texts that share one are shuffled; else all are
     small = counts.count() <= BROADCAST_ROWS
     shared = short.join(F.broadcast(counts) if small else counts, "fp")
-    first = shared.filter(F.col(key) == F.col("_first")).groupBy("fp").agg(F.min("canon").alias("held"))
-    return shared.filter(F.col(key) != F.col("_first")).join(first, "fp").filter("canon <> held").select(key, "canon").distinct()
+    # a digest of many rows is dealt over several tasks, each with a copy of the text to compare with
+    parts = F.ceil(F.col("n") / COMPARED_ROWS).cast("int")
+    first = shared.filter(F.col(key) == F.col("_first")).groupBy("fp").agg(F.min("canon").alias("held"), F.max("n").alias("n"))
+    first = first.select("fp", "held", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rest = shared.filter(F.col(key) != F.col("_first")).withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int"))
+    return rest.join(first, ["fp", "part"]).filter("canon <> held").select(key, "canon").distinct()
 
 
 def with_digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", out_col: str = "fingerprint", width: int = 32) -> DataFrame:

@@ -277,7 +277,9 @@ def test_digest(spark, sf, kind):
     assert len(by) == len({brute_canon(r.text or "") for r in got})
 
 
-def test_digest_collisions(spark):
+@pytest.mark.parametrize("compared", [1000, 3])
+def test_digest_collisions(spark, monkeypatch, compared):
+    monkeypatch.setattr(digest, "COMPARED_ROWS", compared)
     rows = [(i, f"text {i // 2}") for i in range(200)]
     got = digest.with_digest(frame(spark, rows), width=1).collect()
     by = defaultdict(set)
