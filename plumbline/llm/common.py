@@ -61,6 +61,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long column ``name`` that is different in every row.
+
+    The key is the number of the row's file and its place there, so it is the
+    same whenever the table is read.  A ``df`` that isn't itself a table of
+    files is written first.  Only names of files reach the driver.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        df = materialise(df, "keyed")
+    found = df.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    files = df.sparkSession.createDataFrame([(r.f, i) for i, r in enumerate(sorted(found))], "_file string, _number long")
+    one = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    key = F.shiftleft("_number", 40).bitwiseOR(F.col("_place"))
+    return one.join(F.broadcast(files), "_file").select(*(one[c] for c in df.columns), key.alias(name))
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` ascending cut points of the long column ``key``.
 

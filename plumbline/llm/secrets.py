@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_row_key
 
 LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9_/+=.-]{{{LEAST},}}"
@@ -42,20 +42,19 @@ FEATURES = [
 ]
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row per candidate: id, k (its number in the text), start, value, left, right, path.
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per candidate: id, row (``row_col``, else a number), k (its number in the text), start, value, left, right, path.
 
     start is the 0-based place of its first character.  The text is cut by the
     candidate pattern, which gives what stands between candidates; null and
     candidate-free texts give no row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")).filter(F.col("t").rlike(CANDIDATE))
-    cut = rows.select("id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("gaps"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")).filter(F.col("t").rlike(CANDIDATE))
+    cut = rows.select("id", "row", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("gaps"))
     # each gap as its length and the ends that are context; starts by a running sum over small structs
     ends = cut.select(
-        "id", "path", "found",
+        "id", "row", "path", "found",
         F.transform("gaps", lambda g: F.struct(F.char_length(g).alias("n"), F.right(g, F.lit(LEFT)).alias("left"), F.left(g, F.lit(RIGHT)).alias("right"))).alias("gaps"),
-        F.monotonically_increasing_id().alias("row"),
     )
     one = ends.select("id", "row", "path", "gaps", F.posexplode_outer("found").alias("k", "value"))
     one = one.select("id", "row", "path", "k", "value", F.col("gaps")[F.col("k")].alias("g"), F.col("gaps")[F.col("k") + 1]["right"].alias("right"))
@@ -162,7 +161,7 @@ def classify(found: DataFrame, pieces: DataFrame, model: PipelineModel | None, t
     return got.select(*found.columns, score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", row_col: str | None = None) -> DataFrame:
     """All candidates of all rows with score and is_secret, in one written table.
 
     ``labelled`` are labelled findings; by default they are derived from
@@ -171,7 +170,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     """
     pieces = materialise(dictionary(docs, text_col), "dictionary")
     model = fit(labelled_findings(docs, id_col, text_col) if labelled is None else labelled, pieces)
-    found = materialise(candidates(docs, id_col, text_col, path_col), "candidates")
+    found = materialise(candidates(docs, id_col, text_col, path_col, row_col), "candidates")
     return materialise(classify(found, pieces, model), "findings")
 
 
@@ -179,17 +178,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """``docs`` with every secret replaced by MASK, and ``size_col`` counted anew.
 
     All rows and columns stay.  Only documents that have a candidate meet the
-    findings in a join; rows with a null id aren't changed, as nothing names
-    them, and a repeated id has the secrets of all its rows replaced.
+    findings in a join, by a key of the row, so that rows with a null or
+    repeated id are treated like any other.
     """
-    secrets = scan(docs, None, id_col, text_col, path_col).filter("is_secret and id is not null").groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("_secrets")).withColumnRenamed("id", "_id")
+    docs, columns = with_row_key(docs, "_key"), docs.columns
+    secrets = scan(docs, None, id_col, text_col, path_col, "_key").filter("is_secret").groupBy("row").agg(F.array_sort(F.collect_set("value")).alias("_secrets")).withColumnRenamed("row", "_row")
     has = F.coalesce(F.col(text_col).cast("string").rlike(CANDIDATE), F.lit(False))
-    hit = docs.filter(has).join(secrets, F.col(id_col) == F.col("_id"), "left")
+    hit = docs.filter(has).join(secrets, F.col("_key") == F.col("_row"), "left")
     # longer ones first, so that no secret is cut by another that it holds
     order = F.array_sort(F.coalesce("_secrets", F.array().cast("array<string>")), lambda a, b: F.char_length(b) - F.char_length(a))
     text = F.aggregate(order, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK)))
     changed = hit.withColumn("_text", text)
     if size_col and size_col in docs.columns:
         changed = changed.withColumn(size_col, F.when(F.col("_secrets").isNotNull(), F.char_length("_text").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    changed = changed.withColumn(text_col, F.col("_text")).select(*docs.columns)
-    return docs.filter(~has).union(changed)
+    changed = changed.withColumn(text_col, F.col("_text")).select(*columns)
+    return docs.filter(~has).select(*columns).union(changed)

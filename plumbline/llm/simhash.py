@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, with_row_key
 
 SHINGLE = 3
 DISTANCE = 3
@@ -55,15 +55,18 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for every row, whole texts; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, fp long) for every row, whole texts; null text counts as empty.
+    With ``row_col``, a long column, its value follows as row."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint_of(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["id", "fp", "row"][: b.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    one = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")]
+    row = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(*one, *row).mapInArrow(run, "id long, fp long" + (", row long" if row_col else ""))
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
@@ -119,6 +122,12 @@ def links(nodes: DataFrame, dense: int = DENSE, block: int = BLOCK) -> DataFrame
     return twos.union(pairs).union(spans).distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (column fp) with root, the least fingerprint of the component."""
+    labels = connected_components(links(nodes))
+    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id.
 
@@ -131,8 +140,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    labels = connected_components(links(nodes))
-    rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(nodes)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select(
@@ -141,12 +149,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group stays.
+    """The rows of ``docs`` that stay when one row of each group stays.
 
-    The smallest id of a group stays, with all its columns.  The id is the
-    document's key: rows that repeat a key stand or fall together, and rows
-    with a null key stay, as nothing names them.
+    It is the row with the smallest id, with all its columns; a null id comes
+    last, and of rows that share the id the first in the table stays.  Rows
+    are told apart by a key of their own, so a repeated id may stay in one
+    group and go in another.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    docs, columns = with_row_key(docs, "_key"), docs.columns
+    fps = materialise(fingerprints(docs, id_col, text_col, "_key"), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    nodes = materialise(fps.groupBy("fp").agg(least.alias("first")), "nodes")
+    stays = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    gone = fps.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", "_gone")
+    return docs.join(gone, docs["_key"] == gone["_gone"], "left_anti").select(*columns)

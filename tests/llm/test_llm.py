@@ -413,3 +413,19 @@ def test_pipeline(spark, sf):
     assert safe.columns == docs.columns and safe.count() == one.count()
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in safe.collect()}
+
+
+def test_keep_one_per_group_by_row(spark):
+    long = "the quick brown fox jumps over the lazy dog and runs on through the wood " * 8
+    rows = [(5, long)] * 6 + [(None, "alpha beta gamma delta")] * 3 + [(2, "moons and stars above"), (2, "an unlike text altogether"), (1, "moons and stars above"), (9, "an unlike text altogether")]
+    kept = simhash.keep_one_per_group(frame(spark, rows))
+    assert kept.columns == frame(spark).columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [(5, long), (None, "alpha beta gamma delta"), (1, "moons and stars above"), (2, "an unlike text altogether")]))
+
+
+def test_redact_null_id(spark):
+    planted = 'x token = "0123456789abcdef0123456789abcdef01234567" y'
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    extra = spark.createDataFrame([(None, planted, "s"), (None, "plain", "s")], "doc_id long, text string, source string")
+    got = {r.text for r in secrets.redact(table.union(extra)).filter("doc_id is null").collect()}
+    assert got == {'x token = "[SECRET]" y', "plain"}
