@@ -1,7 +1,9 @@
 """Secret scan with a random forest for false-positive removal, by DataFrame
 functions and Spark ML alone.
 
-A candidate is a run of at least ``LEAST`` characters of key material.  Its
+A candidate is a run of at least ``LEAST`` characters of key material, less
+any ``name=`` before it, or whatever a credential's word and = or : lead to,
+however short and of whatever marks.  Its
 features are its length, character transitions and classes, the share of its
 4-letter pieces that the corpus's most frequent words hold (dictionary
 coverage), the words beside it and the path (source) of its document.  A
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialise, with_row_key
 
 LEAST = 20
-CANDIDATE = rf"[A-Za-z0-9_/+=.-]{{{LEAST},}}"
+# Key material, but not from the start of a name that = ties to more of it.
+CANDIDATE = rf"(?=[A-Za-z0-9_/+=.-]{{{LEAST}}})(?![A-Za-z0-9_/.-]{{0,200}}+=++[A-Za-z0-9_/+.-])[A-Za-z0-9_/+=.-]{{{LEAST},}}"
 #: Characters of context to the left and to the right.
 LEFT, RIGHT = 60, 20
 #: Words of the dictionary: the most frequent ones of 4 to 12 letters.
@@ -35,6 +38,16 @@ MASK = "[SECRET]"
 # Words that stand before credentials, and before harmless identifiers.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth", "credential", "private_key", "bearer"]
 HARMLESS_WORDS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "etag", "revision", "build", "integrity", "hash"]
+#: What may stand between a credential's word and its value, without the opening quote.
+SIGN = r"[A-Za-z0-9_-]{0,20}[\"']?[ \t]{0,8}[=:]{1,2}>?[ \t]{0,8}"
+_NAMED = "(?i:" + "|".join(SECRET_WORDS) + ")" + SIGN
+# Cheap looks first: only after = or :, blanks and a quote is the word looked for.
+ASSIGNED = (
+    r"(?:(?<=[=:])|(?<=[ \t\"'>])(?<=[=:]>?[ \t]{0,8}[\"']?))"
+    rf"(?:(?<=\")(?<={_NAMED}\")[^\s\"]+|(?<=')(?<={_NAMED}')[^\s']+|(?<={_NAMED})(?![=:>])[^\s\"']*[^\s\"',;.)\]}}])"
+)
+#: What candidates are found by.
+PATTERN = f"{ASSIGNED}|{CANDIDATE}"
 PLACEHOLDER_WORDS = ["example", "your", "changeme", "placeholder", "dummy", "sample", "xxxx", "redacted"]
 FEATURES = [
     "length", "transitions", "digits", "uppers", "marks", "distinct", "hexes", "coverage", "placeholder",
@@ -49,8 +62,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidate pattern, which gives what stands between candidates; null and
     candidate-free texts give no row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")).filter(F.col("t").rlike(CANDIDATE))
-    cut = rows.select("id", "row", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("gaps"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")).filter(F.col("t").rlike(PATTERN))
+    cut = rows.select("id", "row", "path", F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)).alias("found"), F.split("t", PATTERN, -1).alias("gaps"))
     # each gap as its length and the ends that are context; starts by a running sum over small structs
     ends = cut.select(
         "id", "row", "path", "found",
@@ -94,7 +107,7 @@ def with_features(found: DataFrame, pieces: DataFrame) -> DataFrame:
         *found.columns,
         n.cast("double").alias("length"), (count(change) / n).alias("transitions"), (count("[0-9]") / n).alias("digits"), (count("[A-Z]") / n).alias("uppers"),
         (count("[^A-Za-z0-9]") / n).alias("marks"), (F.size(F.array_distinct(F.split("value", ""))) / n).cast("double").alias("distinct"), flag("value", "^[0-9a-fA-F-]+$").alias("hexes"), "coverage",
-        flag("value", "(?i)" + "|".join(PLACEHOLDER_WORDS)).alias("placeholder"), flag("left", _word(SECRET_WORDS) + ".{0,4}$").alias("secret_left"), flag("left", _word(HARMLESS_WORDS) + ".{0,4}$").alias("harmless_left"),
+        flag("value", "(?i)" + "|".join(PLACEHOLDER_WORDS)).alias("placeholder"), flag("left", "(?i)(^|[^a-z0-9])(" + "|".join(SECRET_WORDS) + r")(\W.{0,4}|" + SIGN + "[\"']?)$").alias("secret_left"), flag("left", _word(HARMLESS_WORDS) + ".{0,4}$").alias("harmless_left"),
         flag("left", r"[=:]\s*[\"']?$").alias("assigned"), flag("left", "[\"']$").alias("quoted"), flag("path", r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|mocks?|samples?)([/_.-]|$)").alias("path_test"),
         flag("path", r"(?i)\.(env|ya?ml|json|ini|cfg|conf|toml|properties|tf)$").alias("path_config"),
     )
@@ -104,15 +117,17 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Labelled findings for training: candidates (as ``candidates``) with label.
 
     No table of reviewed findings is given, so they are derived from the
-    corpus.  Of the ``most`` documents with the least xxhash64 of their id
+    corpus: texts are planted, and ``candidates`` finds what is labelled, so
+    that its rows have the form of any other's.  Of the ``most`` documents with the least xxhash64 of their id
     each gives its first words as context; around them stands, by a hash, a
     credential after a credential's word (label 1), or, with label 0, a
     checksum or identifier after a harmless word, a placeholder after a
-    credential's word, or a long word run together from the document's own
-    words.  Credentials are digests of the id in hex, base64 or prefixed form.
+    credential's word, a word, number or switch after one, or a long word run
+    together from the document's own words.  Credentials are digests of the id
+    in hex, base64 or prefixed form, and passwords of 8 characters and more.
     """
     few = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, 400).alias("t")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(most)
-    few = few.withColumn("t", F.regexp_replace("t", CANDIDATE, " "))
+    few = few.withColumn("t", F.regexp_replace("t", PATTERN, " "))
     h = lambda salt: F.sha2(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")), 256)
     r = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(n)).cast("int")
     pick = lambda values, salt: F.array(*map(F.lit, values))[r(salt, len(values))]
@@ -126,18 +141,25 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dull = F.concat_ws("_", pick(PLACEHOLDER_WORDS, "p1"), pick(SECRET_WORDS, "p2"), pick(["here", "value", "goes_here_1234567", "xxxxxxxxxxxxxxxx"], "p3"))
     dull = F.rpad(dull, 24, "x")
     run_on = F.substring(F.rpad(F.concat(F.regexp_replace("t", r"[^A-Za-z]+", ""), F.lit("and")), 60, "thenthewordsgoon"), 1 + r("w", 10), 20 + r("n", 16))
-    kind = r("kind", 6)
-    value = F.when(kind < 2, credential).when(kind == 2, identifier).when(kind == 3, dull).otherwise(F.lower(run_on))
+    word = F.coalesce(F.nullif(F.regexp_extract("t", r"\b[A-Za-z]{4,10}\b", 0), F.lit("")), F.lit("winter"))
+    marked = F.substring(F.translate(F.base64(F.unhex(h("s"))), "+/aEiO=", "!@#$%&9"), F.lit(1), F.lit(8) + r("s", 12))
+    password = F.array(marked, marked, F.concat(word, (r("d", 9000) + 1000).cast("string")), F.concat(F.initcap(word), pick(["!", "@", "#", "$", "%", "_"], "e"), (r("d", 9000) + 10).cast("string")))[r("y", 4)]
+    plain = F.array(F.lower(word), F.lower(word), r("z", 5000).cast("string"), pick(["true", "false", "none", "null", "required", "str,", "string", "optional", "<your", "${TOKEN}"], "v"))[r("x", 4)]
+    kind = r("kind", 9)
+    secret = (kind < 2) | (kind == 6) | (kind == 7)
+    value = F.when(kind < 2, credential).when(kind == 2, identifier).when(kind == 3, dull).when(kind < 6, F.lower(run_on)).when(secret, password).otherwise(plain)
     sign, quote = pick([" = ", "=", ": ", ":"], "g"), pick(['"', "'", ""], "q")
     named = F.concat(F.when(F.col("id") % 3 == 0, F.upper(pick(SECRET_WORDS, "k"))).otherwise(pick(SECRET_WORDS, "k")), sign, quote)
-    lead = F.when(kind < 2, named).when(kind == 2, F.concat(pick(HARMLESS_WORDS, "l"), pick([" ", ": ", "=", ':"'], "m"))).when(kind == 3, named).otherwise(F.lit(""))
-    tail = F.when((kind < 2) | (kind == 3), quote).otherwise(F.lit(""))
+    lead = F.when(secret, named).when(kind == 2, F.concat(pick(HARMLESS_WORDS, "l"), pick([" ", ": ", "=", ':"'], "m"))).when((kind == 3) | (kind == 8), named).otherwise(F.lit(""))
+    tail = F.when(secret | (kind == 3) | (kind == 8), quote).otherwise(F.lit(""))
     place = pick(["src/app.py", "config/prod.env", "deploy/values.yaml", "README.md", "tests/test_login.py", "", "", ""], "path")
-    return few.select(
-        "id", F.monotonically_increasing_id().alias("row"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("start"), F.substring(value, 1, 120).alias("value"),
-        F.right(F.concat(F.lit(" "), F.substring("t", 1, 50), F.lit(" "), lead), F.lit(LEFT)).alias("left"), F.concat(tail, F.lit(" "), F.substring("t", 60, 15)).alias("right"), place.alias("path"),
-        (kind < 2).cast("double").alias("label"),
-    ).filter(F.col("value").rlike(f"^{CANDIDATE}$"))
+    before = F.concat(F.lit(" "), F.substring("t", 1, 50), F.lit(" "), lead)
+    planted = few.select(
+        "id", F.monotonically_increasing_id().alias("row"), F.concat(before, F.substring(value, 1, 120), tail, F.lit(" "), F.substring("t", 60, 15)).alias("text"), place.alias("path"),
+        F.char_length(before).cast("long").alias("start"), secret.cast("double").alias("label"),
+    )
+    planted = materialise(planted, "planted")
+    return candidates(planted, "id", "text", "path", "row").join(planted.select("row", "start", "label"), ["row", "start"])
 
 
 def fit(labelled: DataFrame, pieces: DataFrame, seed: int = 42) -> PipelineModel | None:
@@ -177,17 +199,26 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every secret replaced by MASK, and ``size_col`` counted anew.
 
+    Each finding is replaced where it stands, and a value of ``LEAST``
+    characters or more wherever else its text repeats it.
+
     All rows and columns stay.  Only documents that have a candidate meet the
     findings in a join, by a key of the row, so that rows with a null or
     repeated id are treated like any other.
     """
     docs, columns = with_row_key(docs, "_key"), docs.columns
-    secrets = scan(docs, None, id_col, text_col, path_col, "_key").filter("is_secret").groupBy("row").agg(F.array_sort(F.collect_set("value")).alias("_secrets")).withColumnRenamed("row", "_row")
-    has = F.coalesce(F.col(text_col).cast("string").rlike(CANDIDATE), F.lit(False))
+    spot = F.struct("start", F.char_length("value").alias("n"), "value")
+    secrets = scan(docs, None, id_col, text_col, path_col, "_key").filter("is_secret").groupBy("row").agg(F.array_sort(F.collect_list(spot)).alias("_secrets")).withColumnRenamed("row", "_row")
+    has = F.coalesce(F.col(text_col).cast("string").rlike(PATTERN), F.lit(False))
     hit = docs.filter(has).join(secrets, F.col("_key") == F.col("_row"), "left")
+    found = F.coalesce("_secrets", F.array().cast(secrets.schema["_secrets"].dataType))
+    # what stands between findings: from the end of the one before to the start of the next
+    starts = F.concat(F.transform(found, lambda s: s["start"].cast("int")), F.array(F.char_length(text_col)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["start"].cast("int") + s["n"]))
+    gaps = F.zip_with(starts, ends, lambda a, z: F.substring(F.col(text_col), z + 1, a - z))
     # longer ones first, so that no secret is cut by another that it holds
-    order = F.array_sort(F.coalesce("_secrets", F.array().cast("array<string>")), lambda a, b: F.char_length(b) - F.char_length(a))
-    text = F.aggregate(order, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    order = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda s: s["value"]), lambda v: F.char_length(v) >= LEAST)), lambda a, b: F.char_length(b) - F.char_length(a))
+    text = F.aggregate(order, F.array_join(gaps, MASK), lambda t, s: F.replace(t, s, F.lit(MASK)))
     changed = hit.withColumn("_text", text)
     if size_col and size_col in docs.columns:
         changed = changed.withColumn(size_col, F.when(F.col("_secrets").isNotNull(), F.char_length("_text").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))

@@ -429,3 +429,16 @@ def test_redact_null_id(spark):
     extra = spark.createDataFrame([(None, planted, "s"), (None, "plain", "s")], "doc_id long, text string, source string")
     got = {r.text for r in secrets.redact(table.union(extra)).filter("doc_id is null").collect()}
     assert got == {'x token = "[SECRET]" y', "plain"}
+
+
+def test_secrets_short_and_assigned(spark):
+    sample = [
+        ('the password = "hT9!x#2@q" stays', "hT9!x#2@q"), ("DB_PASSWORD: w7$Kp%3z end", "w7$Kp%3z"), ('{"pwd": "Sunny@8412"}', "Sunny@8412"),
+        ("api_key=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b next", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"), ("export TOKEN=ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5", "ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"),
+    ]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    extra = spark.createDataFrame([(-1 - i, t, "") for i, (t, _) in enumerate(sample)] + [(-9, "His secret: never give up", "")], "doc_id long, text string, source string")
+    found = {(r.id, r.start, r.value, r.left[-1:]) for r in secrets.candidates(extra).collect()}
+    assert {(-1 - i, t.index(v), v, t[t.index(v) - 1]) for i, (t, v) in enumerate(sample)} | {(-9, 12, "never", " ")} == found
+    got = {r.doc_id: r.text for r in secrets.redact(table.union(extra)).filter("doc_id < 0").collect()}
+    assert got == {-1 - i: t.replace(v, secrets.MASK) for i, (t, v) in enumerate(sample)} | {-9: "His secret: never give up"}
