@@ -4,7 +4,10 @@ Texts are cut by the pattern into pieces; a piece that is a token is done.
 All others become token-position rows (word, position, token), one per byte.
 Each step of the recursive query joins neighbouring rows with the merge
 table, takes each word's leftmost pair of least rank and contracts it, until
-no word has a mergeable pair.  Decoding is an ordered aggregation of the ids.
+no word has a mergeable pair.  A query keeps the rows of all its steps, about
+half the square of a word's length, so it takes words of at most ``LONG``
+bytes and ``ROWS`` such rows.  Longer pieces are merged in linear memory, all
+pairs of the least rank in a step.  Decoding is an ordered aggregation of the ids.
 
 A worker keeps what it has encoded, so that a repeated piece is looked up;
 all of a text is encoded, and the store is emptied when it is full.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 
 import duckdb
@@ -25,10 +29,10 @@ from pyspark.sql import functions as F
 
 #: Stretches of text, and pieces, that a worker keeps before it starts anew.
 KEEP, KEEP_PIECES = 500_000, 800_000
-#: A longer stretch is encoded but not kept.
+#: A longer stretch is encoded but not kept, and a longer piece is merged outside the recursive query.
 LONG = 256
-#: Words, and bytes of words, in one recursive query.
-WORDS, WORD_BYTES = 20_000, 1 << 21
+#: Words, bytes of words and rows of all steps in one recursive query.
+WORDS, WORD_BYTES, ROWS = 20_000, 1 << 21, 1 << 23
 #: Characters of text that are encoded at a time.
 STEP = 4 << 20
 
@@ -55,6 +59,8 @@ WITH RECURSIVE step(i, w, p, t) AS (
 SELECT s.w, s.t FROM step s JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) e ON s.w = e.w AND s.i = e.i ORDER BY s.w, s.p
 """
 _DECODE = "SELECT d, list(t ORDER BY p) AS ts FROM ids GROUP BY d ORDER BY d"
+#: Above all ranks: the pair doesn't merge.
+_NONE = 1 << 62
 _CODECS: dict = {}
 
 
@@ -77,18 +83,18 @@ class Codec:
             for i in range(1, len(token))
             if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None
         ]
+        a, b, r = (np.array(c, dtype=np.int64) for c in zip(*pairs))
+        order = np.argsort(a << 32 | b)
+        self.keys, self.results = (a << 32 | b)[order], r[order]
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "512MB"})
-        a, b, r = (pa.array(c, pa.int32()) for c in zip(*pairs))
-        self.db.register("pairs", pa.table({"a": a, "b": b, "r": r}))
+        self.db.register("pairs", pa.table({k: pa.array(c, pa.int32()) for k, c in zip("abr", (a, b, r))}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.known: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as bytes: one recursive query."""
+        """The ids of each word of at most ``LONG`` bytes, as bytes: one recursive query."""
         lens = np.array([len(x) for x in words])
-        if lens.max() >= 1 << 23:
-            raise ValueError("a piece of 8 MiB or more is beyond the packed key")
         first = np.repeat(np.cumsum(lens) - lens, lens)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lens)
         p = (np.arange(lens.sum()) - first).astype(np.int32)
@@ -99,23 +105,94 @@ class Codec:
         raw, ends = got.column("t").to_numpy().astype("<u4").tobytes(), np.cumsum(counts).tolist()
         return [raw[4 * (e - c) : 4 * e] for e, c in zip(ends, counts.tolist())]
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens; _NONE where they don't merge."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.results[at], _NONE)
+
+    def merge_long(self, word: bytes) -> bytes:
+        """The ids of one word of any length, as bytes.
+
+        Tokens are a linked list over the places of their first bytes.  Each
+        step takes the least rank and contracts its pairs from the left; of
+        pairs that overlap every second one.  A step ends at the first merge
+        that makes a pair of lower rank, as that one is next.
+        """
+        n = len(word)
+        t = self.bytes[np.frombuffer(word, np.uint8)].astype(np.int64)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive, rank = np.ones(n, dtype=bool), np.full(n, _NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at, ranks):
+            order = np.argsort(ranks, kind="stable")
+            order = order[: np.searchsorted(ranks[order], _NONE)]
+            cuts = np.flatnonzero(np.diff(ranks[order])) + 1
+            for part in np.split(order, cuts) if len(order) else ():
+                r = int(ranks[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(at[part])
+
+        rank[:-1] = self._rank(t[:-1], t[1:])
+        add(np.arange(n), rank)
+        while heap:
+            r = heapq.heappop(heap)
+            found = np.unique(np.concatenate(places.pop(r)))
+            found = found[rank[found] == r]
+            if not len(found):
+                continue
+            first = np.concatenate(([True], found[1:] != nxt[found[:-1]]))
+            starts = np.flatnonzero(first)
+            p = found[(np.arange(len(found)) - starts[np.cumsum(first) - 1]) % 2 == 0]
+            gone = nxt[p]
+            # the pairs that each merge makes when those left of it are done
+            token, none = np.full(len(p), r), np.full(len(p), _NONE)
+            alive[gone] = False
+            left = np.where(prv[p] >= 0, self._rank(np.where(alive[prv[p]], t[prv[p]], r), token), none)
+            alive[gone] = True
+            right = np.where(nxt[gone] < n, self._rank(token, t[np.minimum(nxt[gone], n - 1)]), none)
+            lower = np.flatnonzero(np.minimum(left, right) < r)
+            if len(lower):
+                p, gone = p[: lower[0] + 1], gone[: lower[0] + 1]
+                rest = found[found > gone[-1]]
+                add(rest, rank[rest])
+            after = nxt[gone]
+            t[p], nxt[p] = r, after
+            prv[after[after < n]] = p[after < n]
+            alive[gone], rank[gone] = False, _NONE
+            before = prv[p]
+            at = np.unique(np.concatenate((before[before >= 0], p)))
+            last = nxt[at] >= n
+            rank[at[last]] = _NONE
+            at = at[~last]
+            rank[at] = self._rank(t[at], t[nxt[at]])
+            add(at, rank[at])
+        return t[alive].astype("<u4").tobytes()
+
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
         cut = {s: [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(s)] for s in stretches}
         wanted = set().union(*cut.values())
         done = {p: i for p in wanted if (i := self.pieces.get(p)) is not None}
         done.update((p, np.array([r], "<u4").tobytes()) for p in wanted if p not in done and (r := self.ranks.get(p)) is not None)
         todo = sorted((p for p in wanted if p not in done), key=len)
+        done.update((p, self.merge_long(p)) for p in todo if len(p) > LONG)
+        todo = [p for p in todo if len(p) <= LONG]
         at = 0
         while at < len(todo):
-            end, size = at, 0
-            while end < len(todo) and end - at < WORDS and (size + len(todo[end]) <= WORD_BYTES or end == at):
+            end, size, rows = at, 0, 0
+            while end < len(todo) and end - at < WORDS and (size + len(todo[end]) <= WORD_BYTES and rows <= ROWS or end == at):
                 size += len(todo[end])
+                rows += len(todo[end]) ** 2 // 2
                 end += 1
             done.update(zip(todo[at:end], self.merge(todo[at:end])))
             at = end
         if len(self.pieces) + len(todo) > KEEP_PIECES:
             self.pieces = {}
-        self.pieces.update((p, done[p]) for p in todo if len(p) <= LONG)
+        self.pieces.update((p, done[p]) for p in todo)
         return {s: b"".join(map(done.__getitem__, ps)) for s, ps in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -442,3 +442,13 @@ def test_secrets_short_and_assigned(spark):
     assert {(-1 - i, t.index(v), v, t[t.index(v) - 1]) for i, (t, v) in enumerate(sample)} | {(-9, 12, "never", " ")} == found
     got = {r.doc_id: r.text for r in secrets.redact(table.union(extra)).filter("doc_id < 0").collect()}
     assert got == {-1 - i: t.replace(v, secrets.MASK) for i, (t, v) in enumerate(sample)} | {-9: "His secret: never give up"}
+
+
+def test_bpe_long_pieces():
+    rng, ranks = np.random.default_rng(3), bpe.load_ranks(RANKS)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    texts = ["x" * 100_001, "abc" * 40_000, letters(100_000, "etaoinshrdlu"), letters(40_000, "的一是不了人我在有他"), "z" * ((8 << 20) + 3)]
+    for text, got in zip(texts, codec.encode(texts)):
+        assert got == np.array(lib.encode_ordinary(text), "<u4").tobytes()
