@@ -10,7 +10,7 @@ bytes and ``ROWS`` such rows.  Longer pieces are merged in linear memory, all
 pairs of the least rank in a step.  Decoding is an ordered aggregation of the ids.
 
 A worker keeps what it has encoded, so that a repeated piece is looked up;
-all of a text is encoded, and the store is emptied when it is full.
+all of a text is encoded, and a full store keeps what the portion at hand uses.
 """
 
 from __future__ import annotations
@@ -28,17 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Stretches of text, and pieces, that a worker keeps before it starts anew.
-KEEP, KEEP_PIECES = 500_000, 800_000
+KEEP, KEEP_PIECES = 800_000, 900_000
 #: A longer stretch is encoded but not kept, and a longer piece is merged outside the recursive query.
 LONG = 256
 #: Words, bytes of words and rows of all steps in one recursive query.
 WORDS, WORD_BYTES, ROWS = 20_000, 1 << 21, 1 << 23
-#: Characters of text that are encoded at a time.
-STEP = 4 << 20
+#: Characters of text that are encoded at a time, and ids that one query decodes.
+STEP, DECODED = 4 << 20, 1 << 21
 
 #: Unicode's White_Space, which is what \s means to the rank files' library.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Marks that are pieces of their own at the end of a stretch, after a letter or digit.
+_CLOSING = ".,;:!?)"
 
 # A row is one token of a word: nt and np are the next token and its position.
 # A key packs rank, position and next position, so that its minimum is the
@@ -72,7 +74,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.tokens = {r: b for b, r in self.ranks.items()}
+        held = dict.fromkeys(range(max(self.ranks.values()) + 1), b"") | {r: b for b, r in self.ranks.items()}
+        self.tokens = pa.array(list(held.values()), pa.large_binary())
         # the pattern's classes spelled out, as this library's \s has four more characters
         own = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.pattern = regex.compile(own)
@@ -86,7 +89,7 @@ class Codec:
         a, b, r = (np.array(c, dtype=np.int64) for c in zip(*pairs))
         order = np.argsort(a << 32 | b)
         self.keys, self.results = (a << 32 | b)[order], r[order]
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "512MB"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "512MB", "temp_directory": ""})
         self.db.register("pairs", pa.table({k: pa.array(c, pa.int32()) for k, c in zip("abr", (a, b, r))}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.known: dict[str, bytes] = {}
@@ -173,9 +176,17 @@ class Codec:
             add(at, rank[at])
         return t[alive].astype("<u4").tobytes()
 
+    def split(self, stretch: str) -> list[bytes]:
+        """The pieces of a stretch; the plain ones don't need the pattern."""
+        word = stretch.rstrip(_CLOSING)
+        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+            tail = stretch[len(word) :]
+            return [word.encode(), tail.encode()] if tail else [word.encode()]
+        return [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(stretch)]
+
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
-        cut = {s: [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(s)] for s in stretches}
-        wanted = set().union(*cut.values())
+        cut = {s: self.split(s) for s in stretches}
+        wanted = {p for pieces in cut.values() for p in pieces}
         done = {p: i for p in wanted if (i := self.pieces.get(p)) is not None}
         done.update((p, np.array([r], "<u4").tobytes()) for p in wanted if p not in done and (r := self.ranks.get(p)) is not None)
         todo = sorted((p for p in wanted if p not in done), key=len)
@@ -191,9 +202,9 @@ class Codec:
             done.update(zip(todo[at:end], self.merge(todo[at:end])))
             at = end
         if len(self.pieces) + len(todo) > KEEP_PIECES:
-            self.pieces = {}
+            self.pieces = {p: i for p, i in done.items() if p in self.pieces}
         self.pieces.update((p, done[p]) for p in todo)
-        return {s: b"".join(map(done.__getitem__, ps)) for s, ps in cut.items()}
+        return {s: done[ps[0]] if len(ps) == 1 else b"".join(map(done.__getitem__, ps)) for s, ps in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -201,7 +212,8 @@ class Codec:
         wanted = set().union(*cut) if cut else set()
         new = {s for s in wanted if s not in self.known}
         if len(self.known) + len(new) > KEEP:
-            self.known, new = {}, wanted
+            # what this portion uses stays
+            self.known = {s: self.known[s] for s in wanted if s in self.known}
         got = self.learn(new) if new else {}
         self.known.update((s, i) for s, i in got.items() if len(s) <= LONG)
         known, rest = self.known, {s: i for s, i in got.items() if len(s) > LONG}
@@ -209,21 +221,38 @@ class Codec:
         return [b"".join(map(find, c)) for c in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each sequence of ids: ordered aggregation by DuckDB."""
-        out, counts = [b""] * len(ids), [len(x) // 4 for x in ids]
-        t = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        """The bytes of each sequence of ids; long ones are decoded in segments,
+        so that a query holds at most ``DECODED`` ids."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        owners, parts, size = [], [], 0
+        for k, x in enumerate(ids):
+            for at in range(0, len(x), 4 * DECODED):
+                part = x[at : at + 4 * DECODED]
+                if size + len(part) > 4 * DECODED:
+                    self._decode(owners, parts, out)
+                    owners, parts, size = [], [], 0
+                owners.append(k)
+                parts.append(part)
+                size += len(part)
+        if parts:
+            self._decode(owners, parts, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _decode(self, owners: list[int], parts: list[bytes], out: list[list[bytes]]) -> None:
+        """Ordered aggregation by DuckDB; its lists are taken from the vocabulary as one column."""
+        t = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
+        d = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) // 4 for x in parts])
         self.db.register("ids", pa.table({"d": d, "p": np.arange(len(t), dtype=np.int64), "t": t}))
-        got = self.db.sql(_DECODE).to_arrow_table()
+        lists = self.db.sql(_DECODE).to_arrow_table().column("ts").combine_chunks()
         self.db.unregister("ids")
-        lists = got.column("ts").combine_chunks() if len(t) else None
-        if lists is not None:
-            values, ends = lists.flatten().to_pylist(), np.cumsum(lists.value_lengths().to_numpy()).tolist()
-            at = 0
-            for d, e in zip(got.column("d").to_pylist(), ends):
-                out[d] = b"".join(map(self.tokens.__getitem__, values[at:e]))
-                at = e
-        return out
+        taken = self.tokens.take(lists.flatten())
+        _, offsets, data = taken.buffers()
+        edges = np.frombuffer(offsets, np.int64)[: len(taken) + 1]
+        ends = edges[np.cumsum(lists.value_lengths().to_numpy())].tolist()
+        raw, at = memoryview(data), int(edges[0])
+        for k, end in zip(owners, ends):
+            out[k].append(bytes(raw[at:end]))
+            at = end
 
 
 def codec(path: str, pattern: str) -> Codec:
