@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, portions
+from .tokens import encoder
 
 WINDOW = 4096
 _FIELDS = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     """
 
     def run(batches):
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc = encoder(vocabulary)
         packer, number = SumOfSquares(window), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -130,11 +130,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
             return batch
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in portions(texts):
-                for key, ids in zip(keys[lo:hi], enc.encode_all(texts[lo:hi], end)):
-                    for pieces in packer.add(0, ids, (key, len(ids) // 4)):
-                        emit(pieces)
+            ids, edges = enc.encode_column(b.column(1), end_id)
+            raw, at = ids.tobytes(), edges.tolist()
+            for key, lo, hi in zip(b.column(0).to_pylist(), at, at[1:]):
+                for pieces in packer.add(0, raw[4 * lo : 4 * hi], (key, hi - lo)):
+                    emit(pieces)
             yield flush()
         for pieces in packer.close():
             emit(pieces)

@@ -20,18 +20,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, range_bounds, range_bucket
+from .common import fresh_path, materialise
 from .files import opened, whole_file
-from .tokens import encoder, portions
+from .tokens import encoder
 
 MAGIC = b"WVMX0001"
 BLOCK_BITS = 1 << 16
-#: UTF-8 bytes of text that a shard holds on average.
-SHARD_BYTES = 8 << 20
+#: UTF-8 bytes of text in a shard, and in a task that writes shards.
+SHARD_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -42,11 +44,11 @@ def build(out, ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, end_id:
     press = zstandard.ZstdCompressor(level=1).compress
     zeros, planes = [], []
     for level in range(levels - 1, -1, -1):
-        bit = (now >> level & 1).astype(bool)
-        packed = np.packbits(bit, bitorder="little").tobytes()
+        bit = now & now.dtype.type(1 << level) != 0
+        packed = np.packbits(bit, bitorder="little")
         step = BLOCK_BITS // 8
         blocks = [press(packed[i : i + step]) for i in range(0, len(packed), step)]
-        ones = [0, *np.cumsum([int(bit[i : i + BLOCK_BITS].sum()) for i in range(0, len(bit), BLOCK_BITS)]).tolist()]
+        ones = [0, *np.cumsum([int(np.bitwise_count(packed[i : i + step]).sum()) for i in range(0, len(packed), step)]).tolist()]
         zeros.append(int(len(bit) - ones[-1]))
         planes.append((blocks, ones))
         if level:
@@ -145,7 +147,7 @@ class WaveletFile:
             raw = self.f.read(sum(sizes))
             ends = np.cumsum(sizes).tolist()
             packed = b"".join(self.unpress(raw[e - s : e]) for s, e in zip(sizes, ends))
-            bit = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little", count=self.n).astype(bool)
+            bit = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little", count=self.n).view(bool)
             back = np.empty(self.n, kind)
             back[~bit] = now[: self.head["zeros"][plane]]
             back[bit] = now[self.head["zeros"][plane] :] | kind(1 << (self.levels - 1 - plane))
@@ -154,43 +156,63 @@ class WaveletFile:
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode every text, append ``end_id``, write one file per range of ids.
-
-    Returns the manifest (shard, path, n_docs, n_tokens), already written.
-    Shards are contiguous ranges of ascending ids with about equal numbers of
-    rows; each is built by one task, which bounds memory.  Null texts are
-    empty; rows with a null id come before all others, in shard -1, and are
-    stored under the smallest int64; repeated ids are ordered by their text.
-    An empty table gives an empty manifest.
+    """Encode every text, append ``end_id``, write files of about ``shard_bytes`` of text.
+
+    Returns the manifest (part, shard, path, n_docs, n_tokens), already
+    written.  Rows are dealt by ranges of (id, hash of the text) and sorted
+    there; a task cuts its sorted rows into shards by their bytes as they
+    come, so that it holds one shard, however many rows share an id and
+    however long they are; only a longer single text makes a larger shard.
+    Null texts are empty; rows with a null id come first and are stored under
+    the smallest int64; rows with one id are ordered by their text's hash.  An
+    empty table gives an empty manifest.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bounds = range_bounds(rows, "id", min(65_536, max(1, -(-size // shard_bytes))))
-    folder = fresh_path(spark, "wavelet")
-
-    def write(key, table):
-        shard, enc, end = key[0].as_py(), encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        table = table.sort_by([("id", "ascending"), ("t", "ascending")]) if table.num_rows > 1 else table
-        texts = table.column("t").to_pylist()
-        parts = [x for lo, hi in portions(texts) for x in enc.encode_all(texts[lo:hi], end)]
-        starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        keys = np.array([NULL_ID if i is None else i for i in table.column("id").to_pylist()], dtype=np.int64)
-        path = f"{folder}/shard-{shard:06d}.wvm"
-        with whole_file(path) as out:
-            build(out, ids, keys, starts[:-1], end_id)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
-
-    cut = rows.withColumn("shard", range_bucket(F.col("id"), bounds))
-    return materialise(cut.groupBy("shard").applyInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "t")
+    folder = fresh_path(docs.sparkSession, "wavelet")
+
+    def write(batches):
+        enc, part, shard = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        held, n = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, starts = enc.encode_column(table.column("t").chunk(0), end_id)
+            keys = table.column("id").fill_null(NULL_ID).to_numpy()
+            path = f"{folder}/part-{part:06d}-{shard:05d}.wvm"
+            with whole_file(path) as out:
+                build(out, ids, keys, starts[:-1], end_id)
+            cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "shard", "path", "n_docs", "n_tokens"])
+
+        for b in batches:
+            b = b.select(["id", "t"])
+            ends = np.cumsum(pc.binary_length(b.column("t")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                # rows up to the one that fills the shard
+                done = int(ends[at - 1]) if at else 0
+                to = min(b.num_rows, int(np.searchsorted(ends, done + shard_bytes - n, side="left")) + 1)
+                held.append(b.slice(at, to - at))
+                n, at = n + int(ends[to - 1]) - done, to
+                if n >= shard_bytes:
+                    yield flush()
+                    shard, held, n = shard + 1, [], 0
+        if held:
+            yield flush()
+
+    return materialise(dealt.mapInArrow(write, "part int, shard int, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_documents(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document of the shard files: id, start, n_tokens, ids_crc32."""
-    # one row a file: the only window without partitions runs over the manifest
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).cast("long").alias("before"))
+    # running totals over the parts (a row a task), then over the files of a part
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part").select("path", (F.col("base") + F.col("own")).alias("before"))
 
     def read(batches):
         for b in batches:
