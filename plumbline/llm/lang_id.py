@@ -5,26 +5,27 @@ number of buckets; document frequencies are counted over every training
 document.  The weights are fitted with follow-the-regularised-leader (FTRL-
 proximal, McMahan et al., 2013) under L1 and L2 penalties on a bounded sample:
 the ``PER_LANGUAGE`` training documents of each language with the least
-xxhash64 of their id.  A fifth of the sample isn't fitted but sets the
+xxhash64 of their id (one text where an id repeats).  A fifth of the sample isn't fitted but sets the
 temperature that calibrates the scores.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 #: The bound of the sample that the classifier is fitted on, for each language.
 PER_LANGUAGE = 500
+#: Parts that a language's rows are dealt over when the sample is chosen.
+SALTS = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _STEP = 1 << 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -141,9 +142,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("id").distinct()
-    sample = rows.join(F.broadcast(chosen), "id", "left_semi")  # per_language ids a language
+    # the least hashes of a language, first in each of its salted parts, then over what these leave
+    keyed = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("h", "id")
+        keyed = keyed.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    sample = rows.join(F.broadcast(keyed.select("id").distinct()), "id", "left_semi")  # per_language ids a language
+    # one text of each id, so that a repeated id doesn't break the bound
+    sample = sample.groupBy("id", "lang").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("id", "t", "lang")
 
     def extract(batches):
         for b in batches:
