@@ -22,12 +22,19 @@ from .common import materialise
 #: Bound of the sample that parts and classifier are fitted on.
 SAMPLE = 8192
 NEIGHBOURS = 10
-PARTS = 16
+#: Parts grow with the square root of the rows, up to this many.
+PARTS = 64
 HIDDEN = 128
 EPOCHS = 30
 TARGET = 0.97
 #: Rows and queries that meet in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+BLOCK_ROWS, BLOCK_QUERIES = 20_000, 20_000
+
+
+def parts_for(rows: int, most: int = PARTS) -> int:
+    """Parts of a table: an eighth of the root of its rows, 2 at least (one
+    for a table too small to hold two of 16)."""
+    return max(1, min(most, max(2, round(rows**0.5 / 8)), rows // 32))
 
 
 def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
@@ -117,10 +124,10 @@ class Router:
                     self.w[i] = self.w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
 
-def train(sample: np.ndarray, parts: int = PARTS, target: float = TARGET) -> tuple[Router, int, int]:
-    """(router, parts, probes) from sample vectors; one part if they are few."""
+def train(sample: np.ndarray, parts: int, target: float = TARGET) -> tuple[Router, int, int]:
+    """(router, parts, probes) from sample vectors."""
     x = sample.astype(np.float64)
-    if len(x) < 64 * parts:
+    if parts < 2:
         return Router(x.shape[1], 1), 1, 1
     graph = neighbour_graph(x, NEIGHBOURS)
     part = balanced_parts(x, graph, parts)
@@ -170,7 +177,7 @@ def _best(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.ndarr
     return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = PARTS, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found rows.
 
     ``queries`` tells which rows are queries; every row is indexed and is a
@@ -189,7 +196,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("v") == sizes["n"])
     few = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # at most ``sample`` vectors
-    router, parts, probes = train(np.array([r["v"] for r in few]), parts)
+    router, parts, probes = train(np.array([r["v"] for r in few]), parts or parts_for(sizes["rows"]))
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches):
