@@ -6,9 +6,9 @@ any ``name=`` before it, or whatever a credential's word and = or : lead to,
 however short and of whatever marks.  Its
 features are its length, character transitions and classes, the share of its
 4-letter pieces that the corpus's most frequent words hold (dictionary
-coverage), the words beside it and the path (source) of its document.  A
-random forest trained on labelled findings tells secrets from long words,
-checksums and placeholders.
+coverage), the words beside it and in it, hashed, and the path (source) of its
+document.  A random forest trained on labelled findings learns which of these
+words tell secrets from long words, checksums and placeholders.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, with_row_key
+from .common import free_names, materialise, with_row_key
 
 LEAST = 20
 # Key material, but not from the start of a name that = ties to more of it.
@@ -32,10 +32,19 @@ LEFT, RIGHT = 60, 20
 DICTIONARY = 5000
 #: Documents that the default labelled findings are planted in or mined from.
 LABELLED = 3000
-TREES, DEPTH = 40, 8
+#: Labelled findings that don't depend on the documents, so that any table has a model.
+FIXED = 6000
+#: Buckets of the hashed words.
+HASHED = 512
+TREES, DEPTH = 60, 12
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-# Words that stand before credentials, and before harmless identifiers.
+# Texts that the fixed findings are planted in.
+CARRIERS = [
+    "please note the setting below before the next release of the service", "the values of this file were written by the build and are read at start", "bitte vor dem Start die Werte in dieser Datei setzen und speichern",
+    "los valores de este archivo se leen al inicio del servicio", "les valeurs de ce fichier sont lues au moment du lancement",
+]
+# Words that labelled findings have before credentials, and before harmless identifiers.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth", "credential", "private_key", "bearer"]
 HARMLESS_WORDS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "etag", "revision", "build", "integrity", "hash"]
 #: What may stand between a credential's word and its value, without the opening quote.
@@ -50,8 +59,7 @@ ASSIGNED = (
 PATTERN = f"{ASSIGNED}|{CANDIDATE}"
 PLACEHOLDER_WORDS = ["example", "your", "changeme", "placeholder", "dummy", "sample", "xxxx", "redacted"]
 FEATURES = [
-    "length", "transitions", "digits", "uppers", "marks", "distinct", "hexes", "coverage", "placeholder",
-    "secret_left", "harmless_left", "assigned", "quoted", "path_test", "path_config",
+    "length", "transitions", "digits", "uppers", "marks", "distinct", "hexes", "coverage", "assigned", "quoted", "path_test", "path_config",
 ]
 
 
@@ -80,7 +88,15 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY)
     to 12 letters, counted over all rows; at most 9 pieces a word."""
     words = docs.select(F.explode_outer(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\s.,;:!?\"'()]+")).alias("w"))
     words = words.filter((F.char_length("w") >= 4) & (F.char_length("w") <= 12) & F.col("w").rlike(r"^\p{L}+$"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
+    words = materialise(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    # a histogram of the counts tells which words can be among the first ones; only these are sorted
+    level = F.floor(F.log2("n") * 8).cast("int")
+    seen, least = 0, 0
+    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows at most
+        seen, least = seen + r["count"], r["level"]
+        if seen >= size:
+            break
+    top = words.filter(level >= least).orderBy(F.desc("n"), "w").limit(size)
     return top.select(F.explode(_pieces(F.col("w"))).alias("piece")).distinct()
 
 
@@ -88,12 +104,18 @@ def _pieces(value):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(value) - 3)), lambda i: F.substring(value, i, F.lit(4))))
 
 
-def _word(words: list[str]) -> str:
-    return r"(?i)(^|[^a-z0-9])(" + "|".join(words) + r")\W"
+def _words() -> Column:
+    """The two words left of a candidate, the one right of it and those in it,
+    each marked by its place."""
+    find = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{2,}"), F.lit(0))
+    mark = lambda words, place: F.transform(words, lambda w: F.concat(F.lit(place), w))
+    left = F.reverse(find("left"))
+    near = lambda k: mark(F.slice(left, k, 1), f"left{k}=")
+    return F.concat(near(1), near(2), mark(F.slice(find("right"), 1, 1), "right="), mark(find("value"), "in="))
 
 
 def with_features(found: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``found`` with the columns of FEATURES; ``pieces`` is a dictionary."""
+    """``found`` with the columns of FEATURES and words; ``pieces`` is a dictionary."""
     key = ["id", "row", "k"]
     own = found.select(*key, F.explode(_pieces(F.lower("value"))).alias("piece"))
     # pieces: at most 9 x DICTIONARY rows of 4 letters, so a broadcast has a proven bound
@@ -107,9 +129,8 @@ def with_features(found: DataFrame, pieces: DataFrame) -> DataFrame:
         *found.columns,
         n.cast("double").alias("length"), (count(change) / n).alias("transitions"), (count("[0-9]") / n).alias("digits"), (count("[A-Z]") / n).alias("uppers"),
         (count("[^A-Za-z0-9]") / n).alias("marks"), (F.size(F.array_distinct(F.split("value", ""))) / n).cast("double").alias("distinct"), flag("value", "^[0-9a-fA-F-]+$").alias("hexes"), "coverage",
-        flag("value", "(?i)" + "|".join(PLACEHOLDER_WORDS)).alias("placeholder"), flag("left", "(?i)(^|[^a-z0-9])(" + "|".join(SECRET_WORDS) + r")(\W.{0,4}|" + SIGN + "[\"']?)$").alias("secret_left"), flag("left", _word(HARMLESS_WORDS) + ".{0,4}$").alias("harmless_left"),
         flag("left", r"[=:]\s*[\"']?$").alias("assigned"), flag("left", "[\"']$").alias("quoted"), flag("path", r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|mocks?|samples?)([/_.-]|$)").alias("path_test"),
-        flag("path", r"(?i)\.(env|ya?ml|json|ini|cfg|conf|toml|properties|tf)$").alias("path_config"),
+        flag("path", r"(?i)\.(env|ya?ml|json|ini|cfg|conf|toml|properties|tf)$").alias("path_config"), _words().alias("words"),
     )
 
 
@@ -118,15 +139,22 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     No table of reviewed findings is given, so they are derived from the
     corpus: texts are planted, and ``candidates`` finds what is labelled, so
-    that its rows have the form of any other's.  Of the ``most`` documents with the least xxhash64 of their id
-    each gives its first words as context; around them stands, by a hash, a
+    that its rows have the form of any other's.  The ``most`` documents with
+    the least xxhash64 of their id, and ``FIXED`` carrier texts, each give
+    their first 400 characters as context; in it stands, by a hash, a
     credential after a credential's word (label 1), or, with label 0, a
     checksum or identifier after a harmless word, a placeholder after a
     credential's word, a word, number or switch after one, or a long word run
     together from the document's own words.  Credentials are digests of the id
-    in hex, base64 or prefixed form, and passwords of 8 characters and more.
+    in hex, base64 or prefixed form, and passwords of 8 characters and more;
+    no value has more than 120 characters.
     """
-    few = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, 400).alias("t")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(most)
+    # twice as many as are wanted pass the threshold, so that few are sorted
+    share = min(1.0, 2 * most / max(1, docs.count()))
+    low = F.xxhash64("id") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
+    few = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, 400).alias("t")).filter("id is not null").filter(low).orderBy(F.xxhash64("id"), "id").limit(most)
+    carriers = F.get(F.array(*map(F.lit, CARRIERS)), F.pmod("id", F.lit(len(CARRIERS))).cast("int"))
+    few = few.union(docs.sparkSession.range(FIXED).select("id", carriers.alias("t")).select((-1 - F.col("id")).alias("id"), "t"))
     few = few.withColumn("t", F.regexp_replace("t", PATTERN, " "))
     h = lambda salt: F.sha2(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")), 256)
     r = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(n)).cast("int")
@@ -162,22 +190,19 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return candidates(planted, "id", "text", "path", "row").join(planted.select("row", "start", "label"), ["row", "start"])
 
 
-def fit(labelled: DataFrame, pieces: DataFrame, seed: int = 42) -> PipelineModel | None:
-    """A random forest on labelled findings (candidates with label 0 or 1).
-
-    None if there isn't a finding of either label; nothing is flagged then.
-    """
+def fit(labelled: DataFrame, pieces: DataFrame, seed: int = 42) -> PipelineModel:
+    """A random forest on labelled findings (candidates with label 0 and 1)."""
     rows = materialise(with_features(labelled, pieces), "labelled")
     if rows.select("label").distinct().count() < 2:
-        return None
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows.coalesce(1).sortWithinPartitions("id", "row"))
+        raise ValueError("findings of both labels are needed")
+    hashed = HashingTF(inputCol="words", outputCol="hashed", numFeatures=HASHED, binary=True)
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=seed)
+    # a few thousand rows: one partition, in a fixed order, gives one forest
+    return Pipeline(stages=[hashed, VectorAssembler(inputCols=[*FEATURES, "hashed"], outputCol="features"), forest]).fit(rows.coalesce(1).sortWithinPartitions("id", "row"))
 
 
-def classify(found: DataFrame, pieces: DataFrame, model: PipelineModel | None, threshold: float = THRESHOLD) -> DataFrame:
+def classify(found: DataFrame, pieces: DataFrame, model: PipelineModel, threshold: float = THRESHOLD) -> DataFrame:
     """``found`` with score (the forest's probability) and is_secret."""
-    if model is None:
-        return found.withColumn("score", F.lit(0.0)).withColumn("is_secret", F.lit(False))
     got = model.transform(with_features(found, pieces))
     score = F.round(vector_to_array("probability")[1], 6)
     return got.select(*found.columns, score.alias("score"), (score >= threshold).alias("is_secret"))
@@ -206,12 +231,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     findings in a join, by a key of the row, so that rows with a null or
     repeated id are treated like any other.
     """
-    docs, columns = with_row_key(docs, "_key"), docs.columns
+    columns = docs.columns
+    key, row, list_, out = free_names(docs, "key", "row", "secrets", "redacted")
+    docs = with_row_key(docs, key)
     spot = F.struct("start", F.char_length("value").alias("n"), "value")
-    secrets = scan(docs, None, id_col, text_col, path_col, "_key").filter("is_secret").groupBy("row").agg(F.array_sort(F.collect_list(spot)).alias("_secrets")).withColumnRenamed("row", "_row")
+    secrets = scan(docs, None, id_col, text_col, path_col, key).filter("is_secret").groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(spot)).alias(list_))
     has = F.coalesce(F.col(text_col).cast("string").rlike(PATTERN), F.lit(False))
-    hit = docs.filter(has).join(secrets, F.col("_key") == F.col("_row"), "left")
-    found = F.coalesce("_secrets", F.array().cast(secrets.schema["_secrets"].dataType))
+    hit = docs.filter(has).join(secrets, F.col(key) == F.col(row), "left")
+    found = F.coalesce(list_, F.array().cast(secrets.schema[list_].dataType))
     # what stands between findings: from the end of the one before to the start of the next
     starts = F.concat(F.transform(found, lambda s: s["start"].cast("int")), F.array(F.char_length(text_col)))
     ends = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["start"].cast("int") + s["n"]))
@@ -219,8 +246,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     # longer ones first, so that no secret is cut by another that it holds
     order = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda s: s["value"]), lambda v: F.char_length(v) >= LEAST)), lambda a, b: F.char_length(b) - F.char_length(a))
     text = F.aggregate(order, F.array_join(gaps, MASK), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    changed = hit.withColumn("_text", text)
-    if size_col and size_col in docs.columns:
-        changed = changed.withColumn(size_col, F.when(F.col("_secrets").isNotNull(), F.char_length("_text").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    changed = changed.withColumn(text_col, F.col("_text")).select(*columns)
+    changed = hit.withColumn(out, text)
+    if size_col and size_col in columns:
+        changed = changed.withColumn(size_col, F.when(F.col(list_).isNotNull(), F.char_length(out).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+    changed = changed.withColumn(text_col, F.col(out)).select(*columns)
     return docs.filter(~has).select(*columns).union(changed)
