@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, with_row_key
+from .common import connected_components, free_names, materialise, with_row_key
 
 SHINGLE = 3
 DISTANCE = 3
@@ -71,7 +71,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _variants(nodes: DataFrame) -> DataFrame:
     """64 rows a fingerprint: the variant's key (segment, blanked bit, rest)."""
-    one = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
+    # few bytes make many rows, so they are dealt to as many tasks as a shuffle has
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = nodes.select("fp").repartition(parts, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
     return one.selectExpr(
         "fp",
         "shiftleft(cast(v as bigint), 32) | (shiftrightunsigned(fp, 32 * (v div 32)) & 4294967295L & ~shiftleft(1L, cast(v % 32 as int))) AS sig",
@@ -154,12 +156,14 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     It is the row with the smallest id, with all its columns; a null id comes
     last, and of rows that share the id the first in the table stays.  Rows
     are told apart by a key of their own, so a repeated id may stay in one
-    group and go in another.
+    group and go in another.  An empty table stays empty.
     """
-    docs, columns = with_row_key(docs, "_key"), docs.columns
-    fps = materialise(fingerprints(docs, id_col, text_col, "_key"), "fingerprints")
+    columns = docs.columns
+    key, own = free_names(docs, "key", "gone")
+    docs = with_row_key(docs, key)
+    fps = materialise(fingerprints(docs, id_col, text_col, key), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = materialise(fps.groupBy("fp").agg(least.alias("first")), "nodes")
     stays = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    gone = fps.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", "_gone")
-    return docs.join(gone, docs["_key"] == gone["_gone"], "left_anti").select(*columns)
+    gone = fps.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", own)
+    return docs.join(gone, docs[key] == gone[own], "left_anti").select(*columns)
