@@ -1,16 +1,17 @@
-"""Helpers that several operators share: the cluster's shared folder, tables
-written there to cut lineage, range buckets over an id, connected components."""
+"""Helpers that several operators share: row keys, range buckets over an id,
+connected components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
+from ..shared import written as materialise
 
 _SHIPPED: set[str] = set()
 
@@ -32,35 +33,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    local test session) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Work before it is done once, its lineage ends there, and lost executors
-    take nothing with them.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a long column ``name`` that is different in every row.
 
@@ -72,36 +44,55 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
         df = materialise(df, "keyed")
     found = df.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
     files = df.sparkSession.createDataFrame([(r.f, i) for i, r in enumerate(sorted(found))], "_file string, _number long")
-    one = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    key = F.shiftleft("_number", 40).bitwiseOR(F.col("_place"))
-    return one.join(F.broadcast(files), "_file").select(*(one[c] for c in df.columns), key.alias(name))
+    file, place, number = free_names(df, "_file", "_place", "_number")
+    one = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    key = F.shiftleft(number, 40).bitwiseOR(F.col(place))
+    return one.join(F.broadcast(files.toDF(file, number)), file).select(*(one[c] for c in df.columns), key.alias(name))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def constants(values: list, kind: str = "bigint") -> Column:
+    """An array of numbers as one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` ascending cut points of the long column ``key``.
 
     They are approximate quantiles, so that buckets hold about equal numbers
-    of rows; only the cut points reach the driver.
+    of rows; a value that fills several buckets comes as often.  Only the cut
+    points reach the driver.
     """
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    got = df.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), max(10_000, 20 * buckets)).alias("q")).first()
-    return sorted(set(got["q"] or []))
+    got = df.agg(F.percentile_approx(key, constants(shares, "double"), max(10_000, 20 * buckets)).alias("q")).first()
+    return sorted(got["q"] or [])
 
 
 def range_bucket(key: Column, bounds: list[int]) -> Column:
-    """Number of cut points below ``key``; rows with a null key get -1."""
+    """Number of cut points below ``key``, by a binary search in one array of
+    them; rows with a null key get -1."""
     if not bounds:
         return F.when(key.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("int")
-    # width_bucket's cousin for uneven cuts: a balanced tree of comparisons
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(key.isNull(), F.lit(-1)).otherwise(tree(0, len(bounds))).cast("int")
+    cuts, n = constants(bounds), len(bounds)
+
+    def halve(lo: Column, step: Column) -> Column:
+        at = lo + step
+        return F.when((at <= n) & (F.get(cuts, F.least(at, F.lit(n)) - 1) < key), at).otherwise(lo)
+
+    steps = [1 << i for i in range(n.bit_length() - 1, -1, -1)]
+    return F.when(key.isNull(), F.lit(-1)).otherwise(F.aggregate(constants(steps, "int"), F.lit(0), halve)).cast("int")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

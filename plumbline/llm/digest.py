@@ -1,13 +1,13 @@
 """Canonical exact document digests, by DataFrame functions alone.
 
-A text's canonical form is Unicode NFKC, lower case, white space runs folded
-to one blank, ends trimmed.  Its digest is 128 bits: two XXH64 values under
+A text's canonical form is Unicode NFKC, full case folding, white space runs
+folded to one blank, ends trimmed.  Its digest is 128 bits: two XXH64 values under
 different seeds.  Rows are grouped by digest, and inside every group of more
 than one the canonical bytes are compared with those of one member, so that a
 collision can't pass for a copy: a row whose bytes differ gets a longer digest.
 
-Spark has no normalisation function of its own; ``reflect`` calls the ICU
-class that Spark ships, and only for texts beyond ASCII.
+Spark has no normalisation or case folding of its own; ``reflect`` calls the
+ICU classes that Spark ships, and only for texts beyond ASCII.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_names, materialise
 
 #: Repeated digests that are broadcast at most.
 BROADCAST_ROWS = 500_000
@@ -23,8 +23,17 @@ BROADCAST_ROWS = 500_000
 COMPARED_ROWS = 1000
 
 
+def _wide(t: Column) -> Column:
+    return t.rlike(r"[^\x00-\x7F]")
+
+
 def _normal(t: Column) -> Column:
-    return F.when(t.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))).otherwise(t)
+    return F.when(_wide(t), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))).otherwise(t)
+
+
+def _caseless(t: Column) -> Column:
+    """Full case folding: sharp s is ss, a final sigma a sigma."""
+    return F.when(_wide(t), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), t, F.lit(True))).otherwise(F.lower(t))
 
 
 def _folded(low: Column) -> Column:
@@ -38,7 +47,7 @@ def _text(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    return _folded(F.lower(_normal(_text(text))))
+    return _folded(_caseless(_normal(_text(text))))
 
 
 def with_canonical(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
@@ -50,7 +59,8 @@ def with_canonical(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
     step = out_col + "_step"
     while step in docs.columns:
         step += "_"
-    low = docs.withColumn(step, F.lower(_normal(_text(F.col(text_col)))))
+    low = docs.withColumn(step, _normal(_text(F.col(text_col))))
+    low = low.withColumn(step, _caseless(F.col(step)))
     return low.withColumn(out_col, _folded(F.col(step))).drop(step)
 
 
@@ -91,9 +101,10 @@ def with_digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     out = out.withColumn(out_col, F.substring(digest(F.col(out_col)), 1, width))
     if clash.isEmpty():
         return out
-    ids = clash.select(F.col("_id").alias("_clash"), F.sha2("canon", 256).alias("_long")).groupBy("_clash").agg(F.max("_long").alias("_long"))
-    got = out.join(ids, F.col(id_col) == F.col("_clash"), "left")
-    return got.withColumn(out_col, F.when(F.col("_long").isNotNull(), F.concat(out_col, F.lit("-"), "_long")).otherwise(F.col(out_col))).drop("_clash", "_long")
+    own, long = free_names(out, "clash", "long")
+    ids = clash.select(F.col("_id").alias(own), F.sha2("canon", 256).alias(long)).groupBy(own).agg(F.max(long).alias(long))
+    got = out.join(ids, F.col(id_col) == F.col(own), "left")
+    return got.withColumn(out_col, F.when(F.col(long).isNotNull(), F.concat(out_col, F.lit("-"), long)).otherwise(F.col(out_col))).drop(own, long)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ann, bpe, digest, lang_id, packing, secrets, sharding, simhash, warc, wavelet
-from .common import range_bounds, range_bucket, ship
+from .common import constants, free_names, range_bounds, range_bucket, ship, with_row_key
 
-#: Rows in a range of ids whose neighbours meet in one task, and ranges at most.
-CHAIN_ROWS, CHAINS = 2048, 8192
+#: Rows in a range of ids whose neighbours meet in one task, and ranges at most
+#: (then a range holds more rows; its sort and its window spill).
+CHAIN_ROWS, CHAINS = 2048, 65_536
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,32 +44,50 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str], prefix: str) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, row_col: str, columns: list[str], prefix: str) -> DataFrame:
     """Each row with ``columns`` of the row that follows in descending id order.
 
     After the last row comes the first.  The order is kept inside ranges of
     the id; the first row of each range is also sent, as a copy, to the range
-    that comes before it, so no window spans the table.  Null ids come last.
+    that comes before it, so no window spans the table.  Null ids come last;
+    rows that share an id, or have none, follow each other by a hash of
+    ``row_col``, which is different in every row, and are several ranges where
+    they are many.  At most ``CHAINS`` first rows' keys reach the driver.
     """
-    n = rows.count()
-    bounds = range_bounds(rows, id_col, min(CHAINS, -(-n // CHAIN_ROWS)))
-    cut = rows.withColumn("_bucket", range_bucket(F.col(id_col), bounds))
-    heads = cut.groupBy("_bucket").agg(F.max(id_col).alias("head")).orderBy(F.desc("_bucket")).collect()
+    bucket, copy, sent, mix = free_names(rows, "bucket", "copy", "sent", "mix")
+    n, none = rows.agg(F.count("*"), F.count_if(F.col(id_col).isNull())).first()
+    cuts = range_bounds(rows, id_col, min(CHAINS, -(-n // CHAIN_ROWS)))
+    often = {c: cuts.count(c) for c in set(cuts) if cuts.count(c) > 1} if len(set(cuts)) < len(cuts) else {}
+    # an id that fills several ranges is a range of its own, dealt over as many parts
+    bounds = sorted(set(cuts) | {c - 1 for c in often})
+    parts = [max(1, -(-none // CHAIN_ROWS))] + [often.get(c, 1) + (c in often) for c in bounds] + [1]
+    starts = [0]
+    for p in parts:
+        starts.append(starts[-1] + p)
+    keyed = rows.withColumn(mix, F.xxhash64(row_col))
+    at = range_bucket(F.col(id_col), bounds) + 1
+    part = F.pmod(F.shiftrightunsigned(mix, 1), F.get(constants(parts), at))
+    cut = keyed.withColumn(bucket, (F.get(constants(starts[:-1]), at) + part).cast("int"))
+    head = F.min(F.struct(F.col(id_col).isNull().alias("a"), F.bitwise_not(id_col).alias("b"), F.col(mix).alias("c"), F.col(row_col).alias("row")))
+    heads = {r[0]: r[1] for r in cut.groupBy(bucket).agg(head["row"].alias("row")).collect()}
     # the head of a range also goes to the range before; that of the first to the last
-    send = [F.when((F.col("_bucket") == h["_bucket"]) & F.col(id_col).eqNullSafe(F.lit(h["head"])), F.lit(heads[i - 1]["_bucket"])) for i, h in enumerate(heads)]
-    target = F.coalesce(*send) if send else F.lit(None).cast("int")
-    both = cut.withColumn("_in", F.explode(F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("copy")), F.when(target.isNotNull(), F.struct(target.alias("b"), F.lit(1).alias("copy")))))))
+    chain = sorted(heads, reverse=True)
+    target = {b: chain[i - 1] for i, b in enumerate(chain)}
+    size = starts[-1]
+    is_head = F.get(constants([heads.get(b, -1) for b in range(size)]), F.col(bucket)) == F.col(row_col)
+    to = F.get(constants([target.get(b, -1) for b in range(size)], "int"), F.col(bucket))
+    both = cut.withColumn(sent, F.explode(F.array_compact(F.array(F.struct(F.col(bucket).alias("b"), F.lit(0).alias("copy")), F.when(is_head, F.struct(to.alias("b"), F.lit(1).alias("copy")))))))
     # plain columns and one select, so that all windows share one exchange
-    both = both.withColumn("_b", F.col("_in.b")).withColumn("_copy", F.col("_in.copy")).drop("_in", "_bucket")
-    order = Window.partitionBy("_b").orderBy("_copy", F.desc(id_col))
+    both = both.withColumn(bucket, F.col(sent)["b"]).withColumn(copy, F.col(sent)["copy"]).drop(sent)
+    order = Window.partitionBy(bucket).orderBy(copy, F.desc_nulls_last(id_col), mix)
     out = both.select("*", *[F.lead(c).over(order).alias(prefix + c) for c in columns])
-    return out.filter("_copy = 0").drop("_b", "_copy")
+    return out.filter(F.col(copy) == 0).drop(bucket, copy, mix)
 
 
 def op7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = with_row_key(_table(spark, sf_dir, "documents"), "row").select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
     rows = digest.with_digest(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = with_next(rows, "doc_id", ["text", "fingerprint"], "next_")
+    rows = with_next(rows, "doc_id", "row", ["text", "fingerprint"], "next_")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left("next_text", cut))
     rows = digest.with_canonical(rows.withColumn("edited", edited), "edited", "canon").withColumn("own", digest.digest(F.col("canon")))
@@ -112,7 +131,7 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
         FROM g
     """,
-    # exact nearest neighbours; at sf0.01 the table is one part, which the operator ranks exactly
+    # exact nearest neighbours; at sf0.01 queries visit all three parts, so the found ones are these
     "op6_ann": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
         d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
