@@ -54,6 +54,11 @@ CLASS_NAMES = [
 ]
 
 
+#: What a word is made of, and its borders, the same under every version of Java.
+WORD = r"\p{L}\p{N}_"
+BEFORE, AFTER = rf"(?<![{WORD}])", rf"(?![{WORD}])"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -129,7 +134,7 @@ def source_type(url: Column) -> Column:
 def topics(text: Column, keywords: list[str]) -> Column:
     """The keywords that stand as words in the text, sorted."""
     low = F.lower(text)
-    return F.sort_array(F.array_compact(F.array(*[F.when(low.rlike(rf"\b{k}\b"), F.lit(k)) for k in keywords])))
+    return F.sort_array(F.array_compact(F.array(*[F.when(low.rlike(f"{BEFORE}{k}{AFTER}"), F.lit(k)) for k in keywords])))
 
 
 def word_count(text: Column) -> Column:
@@ -138,7 +143,7 @@ def word_count(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Words and single marks: an approximation of a vocabulary's tokens."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
+    return F.regexp_count(text, F.lit(rf"[{WORD}]+|[^{WORD}\s]"))
 
 
 NAME_ONE = r"^[A-Z][A-Za-z]+$"
@@ -271,7 +276,7 @@ SPECIALTIES = [("respiratory", ["tb", "tuberculosis", "mycobacterium"]), ("oncol
 
 
 def overlap_words(text: Column) -> Column:
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(text), rf"[^{WORD}\s]", " "), r"\s+")
     return F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin(STOP_WORDS))
 
 

@@ -30,11 +30,17 @@ def expectations(df: DataFrame, rules: list[tuple[str, str, object]]) -> DataFra
     return out.withColumn("passed", F.col("violations") == 0)
 
 
-def anomalies(df: DataFrame, stats: DataFrame, id_col: str, numeric: list[str], text: list[str]) -> DataFrame:
+#: Fewer or more words than these are an anomaly whatever the baseline.
+WORDS = (100, 10_000)
+
+
+def anomalies(df: DataFrame, stats: DataFrame, id_col: str, numeric: list[str], text: list[str], lists: list[str] | None = None, words: str | None = None) -> DataFrame:
     """id and violations of the rows beyond one row of baseline statistics.
 
     ``stats`` has lo_, hi_ and nulls_ (percent) columns for each column; text
-    is short below half the least length and long above twice the greatest.
+    is short below half the least length and long above twice the greatest; a
+    list is too long above twice the greatest.  ``words`` is a column of word
+    counts with fixed limits.
     """
     checks = []
     for c in numeric:
@@ -42,6 +48,9 @@ def anomalies(df: DataFrame, stats: DataFrame, id_col: str, numeric: list[str],
     for c in text:
         n = F.char_length(c)
         checks += [F.when(n < 0.5 * F.col(f"lo_{c}"), f"{c} too short"), F.when(n > 2 * F.col(f"hi_{c}"), f"{c} too long")]
-    checks += [F.when(F.col(c).isNull() & (F.col(f"nulls_{c}") < 5), f"{c} is null") for c in numeric + text]
+    checks += [F.when(F.size(c) > 2 * F.col(f"hi_{c}"), f"{c} too many") for c in lists or []]
+    checks += [F.when(F.col(c).isNull() & (F.col(f"nulls_{c}") < 5), f"{c} is null") for c in [*numeric, *text, *(lists or [])]]
+    if words:
+        checks += [F.when(F.col(words) < WORDS[0], f"{words} below {WORDS[0]}"), F.when(F.col(words) > WORDS[1], f"{words} above {WORDS[1]}")]
     out = df.join(F.broadcast(stats)).select(id_col, F.array_compact(F.array(*checks)).alias("v"))  # one row of statistics
     return out.filter(F.size("v") > 0).select(id_col, F.array_join("v", "; ").alias("violations"))

@@ -22,7 +22,7 @@ def st_ingest(spark, sf):
     e = events(spark, sf).select("event_id", "ts", "user_id", "value")
     folder, out, mark = (fresh_path(spark, n) for n in ("drop", "ingested", "mark"))
     e.write.json(folder)
-    e.limit(100).write.mode("append").json(folder)
+    e.write.mode("append").json(folder)
     schema = StructType().add("event_id", LongType()).add("ts", TimestampType()).add("user_id", LongType()).add("value", DoubleType())
     M.replay(M.ingest(spark, folder, schema, "event_id"), out, mark)
     return spark.read.schema(schema).parquet(out).select("event_id", "user_id", r6(F.col("value")).alias("value"))
@@ -44,28 +44,41 @@ def st_counter(spark, sf):
     return M.windowed(log(spark, sf), 60, {"low": F.count_if(F.col("composite") < 0.25), "n": F.count("*")})
 
 
-@query("st_error_rate", LOG_SQL + f"SELECT {start(60)}, round(avg(CASE WHEN success THEN 0.0 ELSE 1.0 END), 6) AS error_rate, avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) > 0.15 AS alert FROM log GROUP BY 1")
-def st_error_rate(spark, sf):
-    rate = F.avg((~F.col("success")).cast("double"))
-    return M.windowed(log(spark, sf), 60, {"error_rate": r6(rate), "alert": rate > 0.15})
+def _firing_sql(src, seconds, hold, by=""):
+    """``src`` (start, breach, ...) with firing: breaches in a row that last ``hold`` seconds."""
+    key = f"{by}, " if by else ""
+    one = f"SELECT *, epoch(start::TIMESTAMP) / {seconds} - row_number() OVER (PARTITION BY {key}breach ORDER BY start) AS i FROM {src}"
+    return f"SELECT * EXCLUDE (i), breach AND row_number() OVER (PARTITION BY {key}breach, i ORDER BY start) * {seconds} >= {hold} AS firing FROM ({one})"
+
+
+_RATE = "avg(CASE WHEN success THEN 0.0 ELSE 1.0 END)"
+
+
+@query("st_error_rate", LOG_SQL + f", w AS (SELECT {start(60)}, round({_RATE}, 6) AS error_rate, {_RATE} > 0.15 AS breach FROM log GROUP BY 1) " + _firing_sql("w", 60, 300))
+def st_error_rate(spark, sf, most=0.15, hold=300):
+    w = M.windowed(log(spark, sf), 60, {"rate": F.avg((~F.col("success")).cast("double"))})
+    return M.firing(w, F.col("rate") > most, 60, hold, []).select("start", r6(F.col("rate")).alias("error_rate"), "breach", "firing")
 
 
-@query("st_latency_p95", LOG_SQL + f"SELECT {start(60)}, round(quantile_cont(latency, 0.95), 6) AS p95, quantile_cont(latency, 0.95) > 10 AS alert FROM log GROUP BY 1")
-def st_latency_p95(spark, sf):
-    p = F.percentile("latency", 0.95)
-    return M.windowed(log(spark, sf), 60, {"p95": r6(p), "alert": p > 10})
+@query("st_latency_p95", LOG_SQL + f", w AS (SELECT {start(60)}, round(quantile_cont(latency, 0.95), 6) AS p95, quantile_cont(latency, 0.95) > 10 AS breach FROM log GROUP BY 1) " + _firing_sql("w", 60, 300))
+def st_latency_p95(spark, sf, most=10, hold=300):
+    w = M.windowed(log(spark, sf), 60, {"p": F.percentile("latency", 0.95)})
+    return M.firing(w, F.col("p") > most, 60, hold, []).select("start", r6(F.col("p")).alias("p95"), "breach", "firing")
 
 
 # Metric, threshold and seconds that its mean must be below it.
 SCORE_ALERTS = [("composite", 0.3, 900), ("composite", 0.25, 300), ("groundedness", 0.2, 300), ("retrieval", 0.6, 300)]
 
 
-@query("st_score_alerts", LOG_SQL + f", w AS (SELECT {start(60)}, avg(composite) AS composite, avg(groundedness) AS groundedness, avg(retrieval) AS retrieval FROM log GROUP BY 1) " + " UNION ALL ".join(f"SELECT start, '{m}' AS metric, {t}::DOUBLE AS threshold, round({m}, 6) AS value FROM w WHERE {m} < {t}" for m, t, _ in SCORE_ALERTS))
+@query("st_score_alerts", LOG_SQL + f", m AS (SELECT {start(60)}, avg(composite) AS composite, avg(groundedness) AS groundedness, avg(retrieval) AS retrieval FROM log GROUP BY 1), w AS (" + " UNION ALL ".join(f"SELECT start, '{m}' AS metric, {t}::DOUBLE AS threshold, {h} AS hold, {m} AS v, coalesce({m} < {t}, false) AS breach FROM m" for m, t, h in SCORE_ALERTS)
+       + ") SELECT start, metric, threshold, round(v, 6) AS value, firing FROM (" + _firing_sql("w", 60, "hold", "metric, threshold") + ") WHERE breach")
 def st_score_alerts(spark, sf):
+    """Windows whose mean score is below a rule's threshold; firing once that has lasted the rule's time."""
     w = M.windowed(log(spark, sf), 60, {m: F.avg(m) for m in ("composite", "groundedness", "retrieval")})
-    rules = spark.createDataFrame([(m, t) for m, t, _ in SCORE_ALERTS], "metric string, threshold double")  # four rules
+    rules = spark.createDataFrame(SCORE_ALERTS, "metric string, threshold double, hold int")  # four rules
     long = w.unpivot("start", ["composite", "groundedness", "retrieval"], "metric", "value").join(F.broadcast(rules), "metric")
-    return long.filter(F.col("value") < F.col("threshold")).select("start", "metric", "threshold", r6(F.col("value")).alias("value"))
+    out = M.firing(long, F.col("value") < F.col("threshold"), 60, F.col("hold"), ["metric", "threshold"])
+    return out.filter("breach").select("start", "metric", "threshold", r6(F.col("value")).alias("value"), "firing")
 
 
 def _runs_sql(src, seconds, hold, by=""):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import AFTER, BEFORE
 from ..operators import quality as Q
 from ..operators.profile import r6, stacked
 from ..operators.tables import schema_diff
@@ -54,21 +55,30 @@ def dq_checks(spark, sf):
     return stacked(one, [("text", [F.col("t") > 0]), ("source", [F.col("s") > 0]), ("n_chars", [F.col("p") * 2 > F.col("n")])], ["passed"])
 
 
+def _measured(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "n_chars", "text", F.regexp_count("text", F.lit(r"\S+")).alias("word_count"), F.split("text", "\n", -1).alias("lines"))
+
+
 def _base(d):
+    """Baseline statistics of every second document of a usual size."""
     b = d.filter("doc_id % 2 = 0 and n_chars between 200 and 5000")
-    return b.agg(*[x for c, m in (("n_chars", F.col("n_chars")), ("text", F.char_length("text"))) for x in (F.min(m).alias(f"lo_{c}"), F.max(m).alias(f"hi_{c}"), (100 * F.count_if(m.isNull()) / F.count("*")).alias(f"nulls_{c}"))])
+    kinds = (("n_chars", F.col("n_chars")), ("text", F.char_length("text")), ("lines", F.size("lines")))
+    return b.agg(*[x for c, m in kinds for x in (F.min(m).alias(f"lo_{c}"), F.max(m).alias(f"hi_{c}"), (100 * F.count_if(m.isNull()) / F.count("*")).alias(f"nulls_{c}"))])
+
+
+_VIOLATIONS = "CASE WHEN n_chars < lo THEN 'n_chars below min' END, CASE WHEN n_chars > hi THEN 'n_chars above max' END, CASE WHEN length(text) < 0.5 * tl THEN 'text too short' END, CASE WHEN length(text) > 2 * th THEN 'text too long' END, CASE WHEN len(lines) > 2 * lh THEN 'lines too many' END, CASE WHEN words < 100 THEN 'word_count below 100' END, CASE WHEN words > 10000 THEN 'word_count above 10000' END"
 
 
-@query("dq_anomalies", """WITH b AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi, min(length(text)) AS tl, max(length(text)) AS th FROM documents WHERE doc_id % 2 = 0 AND n_chars BETWEEN 200 AND 5000) SELECT * FROM (SELECT doc_id, concat_ws('; ', CASE WHEN n_chars < lo THEN 'n_chars below min' END, CASE WHEN n_chars > hi THEN 'n_chars above max' END, CASE WHEN length(text) < 0.5 * tl THEN 'text too short' END, CASE WHEN length(text) > 2 * th THEN 'text too long' END) AS violations FROM documents, b) WHERE violations <> ''""")
+@query("dq_anomalies", f"""WITH d AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS words, string_split(text, chr(10)) AS lines FROM documents), b AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi, min(length(text)) AS tl, max(length(text)) AS th, max(len(lines)) AS lh FROM d WHERE doc_id % 2 = 0 AND n_chars BETWEEN 200 AND 5000) SELECT * FROM (SELECT doc_id, concat_ws('; ', {_VIOLATIONS}) AS violations FROM d, b) WHERE violations <> ''""")
 def dq_anomalies(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
-    return Q.anomalies(d, _base(d), "doc_id", ["n_chars"], ["text"])
+    d = _measured(spark, sf)
+    return Q.anomalies(d, _base(d), "doc_id", ["n_chars"], ["text"], ["lines"], "word_count")
 
 
-@query("dq_completeness", "SELECT issue, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, 'no topics' AS issue FROM documents WHERE NOT regexp_matches(text, '\\b(the|der|les)\\b') UNION ALL SELECT doc_id, 'blank text' FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL SELECT doc_id, 'short source' FROM documents WHERE length(source) < 5) GROUP BY 1")
+@query("dq_completeness", "SELECT issue, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, 'no topics' AS issue FROM documents WHERE NOT regexp_matches(text, '(^|[^\\p{L}\\p{N}_])(the|der|les)([^\\p{L}\\p{N}_]|$)') UNION ALL SELECT doc_id, 'blank text' FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL SELECT doc_id, 'short source' FROM documents WHERE length(source) < 5) GROUP BY 1")
 def dq_completeness(spark, sf):
     d = table(spark, sf, "documents")
-    issues = F.array_compact(F.array(F.when(~F.col("text").rlike(r"\b(the|der|les)\b"), "no topics"), F.when(F.col("text").isNull() | (F.trim("text") == ""), "blank text"), F.when(F.char_length("source") < 5, "short source")))
+    issues = F.array_compact(F.array(F.when(~F.col("text").rlike(f"{BEFORE}(the|der|les){AFTER}"), "no topics"), F.when(F.col("text").isNull() | (F.trim("text") == ""), "blank text"), F.when(F.char_length("source") < 5, "short source")))
     return d.select("doc_id", F.explode(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import stats as ST
 from ..operators.profile import r6
 from .base import events, query, table
-from .text import pairs
+from .text import pairs, topics_sql
 
 
 def _ks_sql(src, v, new):
@@ -47,11 +48,12 @@ def stat_chi2_gof(spark, sf):
     return _chi(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey")
 
 
-_TOPICS = "(SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\b(?:the|der|para|les|und|and)\\b'))) AS topic FROM documents)"
+_TOPIC_WORDS = ["the", "der", "para", "les", "und", "and"]
+_TOPICS = f"(SELECT doc_id, unnest({topics_sql(_TOPIC_WORDS)}) AS topic FROM documents)"
 
 
 def topics(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:the|der|para|les|und|and)\b"), F.lit(0)))).alias("topic"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(T.topics(F.col("text"), _TOPIC_WORDS)).alias("topic"))
 
 
 @query("stat_topics_drift", _chi_sql(_TOPICS, "topic", "doc_id"))

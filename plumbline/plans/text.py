@@ -123,12 +123,18 @@ def txt_source_type(spark, sf):
 KEYWORDS = ["the", "and", "und", "der", "para", "una", "avec", "les", "licensed under"]
 
 
-@query("txt_topics", "SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b{k}\\b') THEN '{k}' END" for k in KEYWORDS) + "], lambda x: x IS NOT NULL)), ',') AS topics FROM documents")
+def topics_sql(words):
+    """A list of the words that stand in a text, by Unicode's letters and digits."""
+    hit = lambda k: f"CASE WHEN regexp_matches(lower(text), '(^|[^{T.WORD}]){k}([^{T.WORD}]|$)') THEN '{k}' END"
+    return f"list_filter([{', '.join(map(hit, words))}], lambda x: x IS NOT NULL)"
+
+
+@query("txt_topics", f"SELECT doc_id, array_to_string(list_sort({topics_sql(KEYWORDS)}), ',') AS topics FROM documents")
 def txt_topics(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(T.topics(F.col("text"), KEYWORDS), ",").alias("topics"))
 
 
-WORDS, TOKENS = "len(regexp_extract_all({}, '\\S+'))", "len(regexp_extract_all({}, '\\w+|[^\\w\\s]'))"
+WORDS, TOKENS = "len(regexp_extract_all({}, '\\S+'))", "len(regexp_extract_all({}, '[W]+|[^W\\s]'))".replace("W", T.WORD.replace("{", "{{").replace("}", "}}"))
 
 
 @query("txt_counts", f"SELECT doc_id, {WORDS.format('text')} AS words, {TOKENS.format('text')} AS tokens FROM documents")
@@ -328,7 +334,7 @@ def prj_ts_normalize(spark, sf, zone="+02:00"):
 
 
 def _ow(c):
-    return f"list_filter(string_split_regex(regexp_replace(lower({c}), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(q(x) for x in T.STOP_WORDS)}))"
+    return f"list_filter(string_split_regex(regexp_replace(lower({c}), '[^{T.WORD}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(q(x) for x in T.STOP_WORDS)}))"
 
 
 @query("txt_overlap", f"""WITH {PAIRS_SQL}, w AS (SELECT conv_id, turn, {_ow('answer')} AS a, {_ow('question')} AS b FROM pair), s AS (SELECT *, list_distinct(a) AS sa, list_distinct(b) AS sb, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS ba, list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS bb FROM w),

@@ -42,6 +42,17 @@ def sustained(windows: DataFrame, breach: Column, seconds: int, hold: int, by: l
     return runs.filter(F.col("windows") * seconds >= hold).drop("_i")
 
 
+def firing(windows: DataFrame, breach: Column, seconds: int, hold: Column | int, by: list[str]) -> DataFrame:
+    """``windows`` with breach and firing: a window fires when it and the
+    breaching windows that come right before it last ``hold`` seconds."""
+    w = windows.withColumn("breach", F.coalesce(breach, F.lit(False))).withColumn("_hold", hold if isinstance(hold, Column) else F.lit(hold))
+    w = w.withColumn("_t", F.unix_timestamp("start", "yyyy-MM-dd HH:mm:ss"))
+    keys = [F.col(c) for c in by] or [F.lit(0)]
+    w = w.withColumn("_i", F.col("_t") / seconds - F.row_number().over(Window.partitionBy(*keys, "breach").orderBy("_t")))
+    place = F.row_number().over(Window.partitionBy(*keys, "breach", "_i").orderBy("_t"))
+    return w.withColumn("firing", F.col("breach") & (place * seconds >= F.col("_hold"))).drop("_t", "_i", "_hold")
+
+
 def absence(log: DataFrame, seconds: int, hold: int, by: str, ts: str = "ts") -> DataFrame:
     """Gaps without any whole window's request for ``hold`` seconds or more,
     between the first and the last window of the log, for each ``by``."""
