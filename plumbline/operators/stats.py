@@ -33,24 +33,45 @@ def numeric_drift(df: DataFrame, value: str, is_new: Column, shift: float = 0.1,
     both = with_p(m.join(F.broadcast(ks(rows, "_v", is_new))), "ks")  # one row each
     out = both.filter("n > 0 and m > 0").select(
         r6(F.abs(F.col("mn") - F.col("mb")) / (F.col("sb") + 1e-7)).alias("mean_shift"), r6(F.try_divide("sn", "sb")).alias("std_ratio"), r6(100 * F.try_divide(F.col("mn") - F.col("mb"), "mb")).alias("mean_change_pct"),
-        r6(F.col("d")).alias("ks"), F.col("p"),
+        r6(F.col("d")).alias("ks"), F.col("p"), F.col("n").cast("long").alias("n_base"), F.col("m").cast("long").alias("n_new"),
     )
-    return out.withColumn("drift", (F.col("mean_shift") > shift) | (F.abs(F.col("std_ratio") - 1) > shift) | (F.col("p") < p))
+    return out.withColumn("drift", (F.col("mean_shift") > shift) | (F.abs(F.col("std_ratio") - 1) > shift) | (F.col("p") < p)).withColumn("p", r6(F.col("p")))
 
 
-def chi2_drift(base: DataFrame, new: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
-    """Chi-square of two frequency tables, both scaled to the larger total."""
+def _listed(df: DataFrame, item: Column, order: list[Column], most: int, name: str) -> DataFrame:
+    """One row: the first ``most`` items of an order, joined by commas."""
+    few = df.orderBy(*order).limit(most).select(item.alias("i"))
+    return few.agg(F.array_join(F.sort_array(F.collect_list("i")), ",").alias(name))
+
+
+def chi2_drift(base: DataFrame, new: DataFrame, column: str, alpha: float = 0.05, common: bool = False) -> DataFrame:
+    """Chi-square of two frequency tables, both scaled to the larger total.
+
+    With ``common`` the test needs more than one category that both sides
+    have, else more than one on each side; without a test, any new or missing
+    category is drift.  Also the five most frequent of each side and the first
+    ten new and missing categories, as sorted lists.
+    """
     c = aligned_counts(base, new, column)
     t = c.agg(F.sum("base_n").alias("tb"), F.sum("new_n").alias("tn"))  # one row
-    c = c.join(F.broadcast(t))
     big = F.greatest("tb", "tn")
     e, o = F.greatest(F.col("base_n") / F.col("tb") * big, F.lit(1e-10)), F.greatest(F.col("new_n") / F.col("tn") * big, F.lit(1e-10))
-    one = c.agg(
+    one = c.join(F.broadcast(t)).agg(
         F.sum((o - e) * (o - e) / e).alias("statistic"), (F.count("*") - 1).cast("int").alias("dof"), F.count_if(F.col("base_n") == 0).alias("new_categories"), F.count_if(F.col("new_n") == 0).alias("missing_categories"),
-        F.count_if(F.col("base_n") > 0).alias("base_distinct"), F.count_if(F.col("new_n") > 0).alias("new_distinct"),
+        F.count_if(F.col("base_n") > 0).alias("base_distinct"), F.count_if(F.col("new_n") > 0).alias("new_distinct"), F.count_if((F.col("base_n") > 0) & (F.col("new_n") > 0)).alias("both"),
     )
-    single = (F.col("base_distinct") <= 1) | (F.col("new_distinct") <= 1)
-    return with_p(one, "chi2").withColumn("drift", F.when(single, (F.col("new_categories") > 0) | (F.col("missing_categories") > 0)).otherwise(F.col("p") < alpha))
+    tested = (F.col("both") > 1) if common else (F.col("base_distinct") > 1) & (F.col("new_distinct") > 1)
+    changed = (F.col("new_categories") > 0) | (F.col("missing_categories") > 0)
+    one = with_p(one.withColumn("statistic", F.when(tested, F.col("statistic"))), "chi2")
+    one = one.withColumn("drift", F.when(tested, F.col("p") < alpha).otherwise(changed)).withColumn("p", r6(F.col("p"))).drop("both")
+    value = F.col("value").cast("string")
+    shown = lambda n: F.concat(value, F.lit(":"), F.col(n).cast("string"))
+    for name, rows, item, order, most in (
+        ("top_base", c.filter("base_n > 0"), shown("base_n"), [F.desc("base_n"), value], 5), ("top_new", c.filter("new_n > 0"), shown("new_n"), [F.desc("new_n"), value], 5),
+        ("new_values", c.filter("base_n = 0"), value, [value], 10), ("missing_values", c.filter("new_n = 0"), value, [value], 10),
+    ):
+        one = one.join(F.broadcast(_listed(rows, item, order, most, name)))  # one row each
+    return one
 
 
 def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -64,7 +85,7 @@ def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     yates = (F.col("ka") == 2) & (F.col("kb") == 2)
     diff = F.when(yates, F.greatest(F.abs(F.col("n") - e) - 0.5, F.lit(0.0))).otherwise(F.abs(F.col("n") - e))
     one = j.agg((F.sum(diff * diff / e) + F.first("t") - F.sum(e)).alias("statistic"), ((F.first("ka") - 1) * (F.first("kb") - 1)).cast("int").alias("dof"))
-    return with_p(one, "chi2").withColumn("independent", F.col("p") > 0.05)
+    return with_p(one, "chi2").withColumn("independent", F.col("p") > 0.05).withColumn("p", r6(F.col("p")))
 
 
 def cohens_d(df: DataFrame, value: str, first: Column) -> DataFrame:
@@ -125,6 +146,7 @@ def positive_rate_slices(df: DataFrame, features: list[str], positive: Column, l
 
 RATES = {
     "accuracy": ("tp + tn", "n"), "precision": ("tp", "tp + fp"), "recall": ("tp", "tp + fn"), "selection_rate": ("tp + fp", "n"), "fpr": ("fp", "fp + tn"), "fnr": ("fn", "tp + fn"), "tpr": ("tp", "tp + fn"), "tnr": ("tn", "fp + tn"),
+    "f1": ("2 * tp", "2 * tp + fp + fn"),
 }
 
 
@@ -135,6 +157,25 @@ def metric_frame(df: DataFrame, group: list[str], truth: Column, predicted: Colu
     return g.select(*[c for c in g.columns if c not in cells], *[r6(F.coalesce(F.try_divide(F.expr(a).cast("double"), F.expr(b)), F.lit(0.0))).alias(k) for k, (a, b) in RATES.items()])
 
 
+def with_summary(frame: DataFrame, overall: DataFrame, group: str) -> DataFrame:
+    """A metric frame with a row "overall" and one of the largest differences."""
+    gaps = frame.agg(F.lit("difference").alias(group), F.sum("n").alias("n"), *[r6(F.max(c) - F.min(c)).alias(c) for c in RATES])
+    return frame.unionByName(overall.select(F.lit("overall").alias(group), "n", *RATES)).unionByName(gaps)
+
+
+def weighted_frame(df: DataFrame, group: list[str], truth: Column, predicted: Column) -> DataFrame:
+    """n, accuracy, selection rate and precision, recall and F1 weighted by the
+    support of both classes, by group; zero division gives 0."""
+    cells = {"tp": truth & predicted, "fp": ~truth & predicted, "fn": truth & ~predicted, "tn": ~truth & ~predicted}
+    g = df.groupBy(*group).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in cells.items()])
+    part = lambda a, b: f"coalesce(try_divide(cast({a} as double), {b}), 0)"
+    both = lambda a, b: r6(F.expr(f"((tp + fn) * {a} + (tn + fp) * {b}) / n"))
+    return g.select(
+        *group, "n", r6(F.expr("(tp + tn) / n")).alias("accuracy"), r6(F.expr("(tp + fp) / n")).alias("selection_rate"), both(part("tp", "tp + fp"), part("tn", "tn + fn")).alias("precision"),
+        both(part("tp", "tp + fn"), part("tn", "tn + fp")).alias("recall"), both(part("2 * tp", "2 * tp + fp + fn"), part("2 * tn", "2 * tn + fp + fn")).alias("f1"),
+    )
+
+
 def fairness(frame: DataFrame) -> DataFrame:
     """Parity and odds gaps of a metric frame."""
     gap = lambda c: F.max(c) - F.min(c)
@@ -145,16 +186,16 @@ def fairness(frame: DataFrame) -> DataFrame:
     return one.withColumns({"dp_flag": F.col("dp_difference") > 0.1, "eo_flag": F.col("eo_difference") > 0.1, "accuracy_flag": F.col("accuracy_gap") > 0.1})
 
 
-def disparities(frame: DataFrame, threshold: float = 0.05) -> DataFrame:
+def disparities(frame: DataFrame, threshold: float = 0.05, wide: float = 0.1) -> DataFrame:
     """Ranges and population std of slice metrics by feature, worst and best
-    slice, violations; features with one slice are left out."""
+    slice, violations of both thresholds; features with one slice are left out."""
     gap = lambda c: F.max(c) - F.min(c)
     g = frame.groupBy("feature").agg(
-        F.count("*").alias("slices"), r6(gap("accuracy")).alias("accuracy_range"), r6(F.stddev_pop("accuracy")).alias("accuracy_std"), r6(gap("fpr")).alias("fpr_range"), r6(gap("fnr")).alias("fnr_range"),
+        F.count("*").alias("slices"), *[r6(gap(c)).alias(f"{c}_range") for c in ("accuracy", "f1", "fpr", "fnr")], *[r6(F.stddev_pop(c)).alias(f"{c}_std") for c in ("accuracy", "f1")],
         F.min(F.struct("accuracy", "value"))["value"].alias("worst"), F.min(F.struct((-F.col("accuracy")).alias("a"), "value"))["value"].alias("best"),
     ).filter("slices >= 2")
-    over = F.array_compact(F.array(*[F.when(F.col(f"{c}_range") > threshold, F.lit(c)) for c in ("accuracy", "fpr", "fnr")]))
-    return g.withColumn("violations", F.array_join(over, ","))
+    over = lambda t: F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{c}_range") > t, F.lit(c)) for c in ("accuracy", "f1", "fpr", "fnr")])), ",")
+    return g.withColumn("violations", over(threshold)).withColumn("wide_violations", over(wide))
 
 
 def resample(df: DataFrame, group: str, id_col: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -12,11 +12,22 @@ from .text import pairs, topics_sql
 
 
 def _ks_sql(src, v, new):
-    return f"(SELECT max(abs(fb / nb - fw / nw)) AS d FROM (SELECT v, sum(sum(b)) OVER (ORDER BY v) AS fb, sum(sum(w)) OVER (ORDER BY v) AS fw, sum(sum(b)) OVER () AS nb, sum(sum(w)) OVER () AS nw FROM (SELECT {v} AS v, CASE WHEN {new} THEN 0 ELSE 1 END AS b, CASE WHEN {new} THEN 1 ELSE 0 END AS w FROM {src}) GROUP BY v))"
+    return f"(SELECT max(abs(fb / nb - fw / nw)) AS d, max(nb) AS n, max(nw) AS m FROM (SELECT v, sum(sum(b)) OVER (ORDER BY v) AS fb, sum(sum(w)) OVER (ORDER BY v) AS fw, sum(sum(b)) OVER () AS nb, sum(sum(w)) OVER () AS nw FROM (SELECT {v} AS v, CASE WHEN {new} THEN 0 ELSE 1 END AS b, CASE WHEN {new} THEN 1 ELSE 0 END AS w FROM {src} WHERE {v} IS NOT NULL) GROUP BY v))"
+
+
+#: The asymptotic tail of d over n and m values, and that of a chi-square of k degrees.
+_KS_P = "CASE WHEN d * sqrt(n * m / (n + m)) < 1e-9 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * d * d * n * m / (n + m)))))) END"
+
+
+def _chi_p(x, k):
+    z, a = f"({x} / 2)", f"({k} / 2)"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 OR {k} < 1 THEN 1.0 WHEN {z} > 300 THEN 0.0 ELSE 1 - list_sum(list_transform(range(0, 1500), lambda j: exp(({a} + j) * ln({z}) - {z} - lgamma({a} + j + 1)))) END"
 
 
 def _drift_sql(src, v, new, extra=""):
-    return f"SELECT {extra} round(abs(mn - mb) / (sb + 1e-7), 6) AS mean_shift, round(sn / sb, 6) AS std_ratio, round(100 * (mn - mb) / mb, 6) AS mean_change_pct, round(d, 6) AS ks FROM (SELECT avg({v}) FILTER (NOT ({new})) AS mb, avg({v}) FILTER ({new}) AS mn, stddev_samp({v}) FILTER (NOT ({new})) AS sb, stddev_samp({v}) FILTER ({new}) AS sn FROM {src}), {_ks_sql(src, v, new)}"
+    lead = f"{extra}, " if extra else ""
+    one = f"SELECT {lead}round(abs(mn - mb) / (sb + 1e-7), 6) AS mean_shift, round(sn / sb, 6) AS std_ratio, round(100 * (mn - mb) / mb, 6) AS mean_change_pct, round(d, 6) AS ks, {_KS_P} AS raw_p, n::BIGINT AS n_base, m::BIGINT AS n_new FROM (SELECT avg({v}) FILTER (NOT ({new})) AS mb, avg({v}) FILTER ({new}) AS mn, stddev_samp({v}) FILTER (NOT ({new})) AS sb, stddev_samp({v}) FILTER ({new}) AS sn FROM {src}), {_ks_sql(src, v, new)}"
+    return f"SELECT * EXCLUDE (raw_p), round(raw_p, 6) AS p, mean_shift > 0.1 OR abs(std_ratio - 1) > 0.1 OR raw_p < 0.05 AS drift FROM ({one})"
 
 
 def halves(df, key):
@@ -25,22 +36,29 @@ def halves(df, key):
 
 @query("stat_numeric_drift", _drift_sql("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1998-01-01'"))
 def stat_numeric_drift(spark, sf):
-    return ST.numeric_drift(table(spark, sf, "lineitem").select("l_extendedprice", "l_shipdate"), "l_extendedprice", F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).drop("p", "drift")
+    return ST.numeric_drift(table(spark, sf, "lineitem").select("l_extendedprice", "l_shipdate"), "l_extendedprice", F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
 
 
-@query("stat_ks", f"SELECT round(d, 6) AS d, (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 0) AS n, (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 1) AS m FROM {_ks_sql('lineitem', 'l_extendedprice', 'l_orderkey % 2 = 1')}")
+@query("stat_ks", f"SELECT round(d, 6) AS d, n::BIGINT AS n, m::BIGINT AS m, round({_KS_P}, 6) AS p FROM {_ks_sql('lineitem', 'l_extendedprice', 'l_orderkey % 2 = 1')}")
 def stat_ks(spark, sf):
-    return ST.ks(table(spark, sf, "lineitem").select("l_extendedprice", "l_orderkey"), "l_extendedprice", F.col("l_orderkey") % 2 == 1).withColumn("d", r6(F.col("d")))
+    one = ST.with_p(ST.ks(table(spark, sf, "lineitem").select("l_extendedprice", "l_orderkey"), "l_extendedprice", F.col("l_orderkey") % 2 == 1), "ks")
+    return one.select(r6(F.col("d")).alias("d"), "n", "m", r6(F.col("p")).alias("p"))
 
 
-def _chi_sql(src, col, key, label=None):
+def _chi_sql(src, col, key, label=None, common=False):
     lead = f"'{label}' AS feature, " if label else ""
-    return f"""SELECT {lead}round(sum((o - e) * (o - e) / e), 5) AS statistic, CAST(count(*) - 1 AS INTEGER) AS dof, count(CASE WHEN b = 0 THEN 1 END) AS new_categories, count(CASE WHEN w = 0 THEN 1 END) AS missing_categories, count(CASE WHEN b > 0 THEN 1 END) AS base_distinct, count(CASE WHEN w > 0 THEN 1 END) AS new_distinct
-    FROM (SELECT *, greatest(b / tb * greatest(tb, tw), 1e-10) AS e, greatest(w / tw * greatest(tb, tw), 1e-10) AS o FROM (SELECT *, sum(b) OVER () AS tb, sum(w) OVER () AS tw FROM (SELECT {col} AS v, count(CASE WHEN {key} % 2 = 0 THEN 1 END) AS b, count(CASE WHEN {key} % 2 = 1 THEN 1 END) AS w FROM {src} WHERE {col} IS NOT NULL GROUP BY 1)))"""
+    tested = "both_ > 1" if common else "base_distinct > 1 AND new_distinct > 1"
+    few = lambda name, where, shown, order, most: f"(SELECT coalesce(string_agg(i, ',' ORDER BY i), '') AS {name} FROM (SELECT {shown} AS i FROM c WHERE {where} ORDER BY {order} LIMIT {most}))"
+    return f"""SELECT {lead}* EXCLUDE (both_, raw_p), round(raw_p, 6) AS p, CASE WHEN {tested} THEN raw_p < 0.05 ELSE new_categories > 0 OR missing_categories > 0 END AS drift FROM (
+    WITH c AS (SELECT {col} AS v, count(CASE WHEN {key} % 2 = 0 THEN 1 END) AS b, count(CASE WHEN {key} % 2 = 1 THEN 1 END) AS w FROM {src} WHERE {col} IS NOT NULL GROUP BY 1),
+    x AS (SELECT *, greatest(b / tb * greatest(tb, tw), 1e-10) AS e, greatest(w / tw * greatest(tb, tw), 1e-10) AS o FROM (SELECT *, sum(b) OVER () AS tb, sum(w) OVER () AS tw FROM c)),
+    s AS (SELECT sum((o - e) * (o - e) / e) AS chi, CAST(count(*) - 1 AS INTEGER) AS dof, count(CASE WHEN b = 0 THEN 1 END) AS new_categories, count(CASE WHEN w = 0 THEN 1 END) AS missing_categories, count(CASE WHEN b > 0 THEN 1 END) AS base_distinct, count(CASE WHEN w > 0 THEN 1 END) AS new_distinct, count(CASE WHEN b > 0 AND w > 0 THEN 1 END) AS both_ FROM x),
+    k AS (SELECT * EXCLUDE (chi), CASE WHEN {tested} THEN chi END AS stat FROM s)
+    SELECT round(stat, 5) AS statistic, * EXCLUDE (stat), {_chi_p('stat', 'dof')} AS raw_p FROM k, {few('top_base', 'b > 0', "v || ':' || b", 'b DESC, v', 5)}, {few('top_new', 'w > 0', "v || ':' || w", 'w DESC, v', 5)}, {few('new_values', 'b = 0', 'v', 'v', 10)}, {few('missing_values', 'w = 0', 'v', 'v', 10)})"""
 
 
-def _chi(df, col, key):
-    return ST.chi2_drift(*halves(df, key), col).withColumn("statistic", F.round("statistic", 5)).drop("p", "drift")
+def _chi(df, col, key, common=False):
+    return ST.chi2_drift(*halves(df, key), col, common=common).withColumn("statistic", F.round("statistic", 5))
 
 
 @query("stat_chi2_gof", _chi_sql("orders", "o_orderpriority", "o_orderkey"))
@@ -56,52 +74,66 @@ def topics(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.topics(F.col("text"), _TOPIC_WORDS)).alias("topic"))
 
 
-@query("stat_topics_drift", _chi_sql(_TOPICS, "topic", "doc_id"))
+@query("stat_topics_drift", _chi_sql(_TOPICS, "topic", "doc_id", common=True))
 def stat_topics_drift(spark, sf):
-    return _chi(topics(spark, sf), "topic", "doc_id")
+    return _chi(topics(spark, sf), "topic", "doc_id", common=True)
 
 
 _PD = "(SELECT *, o_orderdate >= TIMESTAMP '1998-01-01' AS new FROM orders)"
 
 
-@query("stat_partition_drift", f"""SELECT 'o_totalprice' AS feature, 'ks' AS test, round(d, 6) AS statistic, 'tested' AS status FROM {_ks_sql('orders', 'o_totalprice', "o_orderdate >= TIMESTAMP '1998-01-01'")}
-    UNION ALL """ + " UNION ALL ".join(f"""SELECT '{c}', 'chi2', CASE WHEN count(*) >= 2 AND bool_and(b > 0) AND min(e) >= 1 THEN round(sum((w - e) * (w - e) / e), 5) END, CASE WHEN count(*) < 2 THEN 'too_few_cells' WHEN min(e) < 1 THEN 'skipped_unequal_totals' ELSE 'tested' END
-    FROM (SELECT *, b / sum(b) OVER () * sum(w) OVER () AS e FROM (SELECT {c}, count(CASE WHEN NOT new THEN 1 END) AS b, count(CASE WHEN new THEN 1 END) AS w FROM {_PD} GROUP BY 1))""" for c in ("o_orderstatus", "o_orderpriority")))
-def stat_partition_drift(spark, sf):
+_CATS = ["o_orderstatus", "o_orderpriority"]
+
+
+def _cells_sql(c):
+    return f"""SELECT '{c}' AS feature, 'chi2' AS test, CASE WHEN k < 2 THEN 'too_few_cells' WHEN least_e < 1 THEN 'skipped_unequal_totals' ELSE 'tested' END AS status, CASE WHEN k >= 2 AND least_e >= 1 THEN x END AS x, k - 1 AS dof
+        FROM (SELECT count(*) AS k, min(e) AS least_e, sum((w - e) * (w - e) / e) AS x FROM (SELECT *, b / sum(b) OVER () * sum(w) OVER () AS e FROM (SELECT {c}, count(CASE WHEN NOT new THEN 1 END) AS b, count(CASE WHEN new THEN 1 END) AS w FROM {_PD} GROUP BY 1)))"""
+
+
+@query("stat_partition_drift", f"""SELECT 'o_totalprice' AS feature, 'ks' AS test, round(d, 6) AS statistic, 'tested' AS status, round(p, 6) AS p, p < 1e-5 AS drift FROM (SELECT d, {_KS_P} AS p FROM {_ks_sql(_PD, 'o_totalprice', 'new')})
+    UNION ALL SELECT feature, test, round(x, 5), status, round(p, 6), coalesce(p < 1e-5, false) FROM (SELECT *, {_chi_p('x', 'dof')} AS p FROM ({' UNION ALL '.join(map(_cells_sql, _CATS))}))""")
+def stat_partition_drift(spark, sf, alpha=1e-5):
     o = table(spark, sf, "orders").withColumn("new", F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    num = ST.ks(o, "o_totalprice", F.col("new")).select(F.lit("o_totalprice").alias("feature"), F.lit("ks").alias("test"), r6(F.col("d")).alias("statistic"), F.lit("tested").alias("status"))
-    long = ST.slices(o, ["o_orderstatus", "o_orderpriority"], ["new"]).filter("value is not null").groupBy("feature", "value").agg(F.count_if(~F.col("new")).alias("b"), F.count_if("new").alias("w"))
+    num = ST.with_p(ST.ks(o, "o_totalprice", F.col("new")), "ks").select(F.lit("o_totalprice").alias("feature"), F.lit("ks").alias("test"), r6(F.col("d")).alias("statistic"), F.lit("tested").alias("status"), "p")
+    long = ST.slices(o, _CATS, ["new"]).filter("value is not null").groupBy("feature", "value").agg(F.count_if(~F.col("new")).alias("b"), F.count_if("new").alias("w"))
     t = long.groupBy("feature").agg(F.sum("b").alias("tb"), F.sum("w").alias("tw"))
     e = F.col("b") / F.col("tb") * F.col("tw")
     cat = long.join(F.broadcast(t), "feature").withColumn("e", e).groupBy("feature").agg(F.count("*").alias("k"), F.min("e").alias("least"), F.sum((F.col("w") - F.col("e")) * (F.col("w") - F.col("e")) / F.col("e")).alias("x"))
     status = F.when(F.col("k") < 2, "too_few_cells").when(F.col("least") < 1, "skipped_unequal_totals").otherwise("tested")
-    return num.union(cat.select("feature", F.lit("chi2"), F.when(status == "tested", F.round("x", 5)), status))
+    cat = ST.with_p(cat.select("feature", F.when(status == "tested", F.col("x")).alias("statistic"), (F.col("k") - 1).cast("int").alias("dof"), status.alias("status")), "chi2")
+    both = num.union(cat.select("feature", F.lit("chi2"), F.round("statistic", 5), "status", "p"))
+    return both.withColumn("drift", F.coalesce(F.col("p") < alpha, F.lit(False))).withColumn("p", r6(F.col("p")))
 
 
-@query("stat_detect_all", "WITH d AS (SELECT *, doc_id % 2 = 1 AS new FROM documents) " + " UNION ALL ".join([
-    f"SELECT 'n_chars' AS feature, round(d, 6) AS statistic FROM {_ks_sql('d', 'n_chars', 'new')}", *[f"SELECT feature, statistic FROM ({_chi_sql('documents', c, 'doc_id', c)})" for c in ("lang", "source")], f"SELECT feature, statistic FROM ({_chi_sql(_TOPICS, 'topic', 'doc_id', 'topics')})"]))
+@query("stat_detect_all", "SELECT feature, ks AS statistic, p, drift FROM (" + _drift_sql("documents", "n_chars", "doc_id % 2 = 1", "'n_chars' AS feature") + ")" + "".join(
+    f" UNION ALL SELECT feature, statistic, p, drift FROM ({_chi_sql(src, c, 'doc_id', name, name == 'topics')})" for name, src, c in (("lang", "documents", "lang"), ("source", "documents", "source"), ("topics", _TOPICS, "topic"))))
 def stat_detect_all(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
-    out = ST.ks(d, "n_chars", F.col("doc_id") % 2 == 1).select(F.lit("n_chars").alias("feature"), r6(F.col("d")).alias("statistic"))
+    out = ST.numeric_drift(d, "n_chars", F.col("doc_id") % 2 == 1).select(F.lit("n_chars").alias("feature"), F.col("ks").alias("statistic"), "p", "drift")
     for name, df, col in (("lang", d, "lang"), ("source", d, "source"), ("topics", topics(spark, sf), "topic")):
-        out = out.union(_chi(df, col, "doc_id").select(F.lit(name), "statistic"))
+        out = out.union(_chi(df, col, "doc_id", name == "topics").select(F.lit(name), "statistic", "p", "drift"))
     return out
 
 
 _QL = "(SELECT conv_id, turn, length(text)::DOUBLE AS chars, len(regexp_extract_all(text, '\\S+'))::DOUBLE AS words FROM conversations WHERE role = 'user')"
+#: Logs that a verdict needs.
+LEAST_LOGS = 100
 
 
-@query("stat_query_drift", " UNION ALL ".join(_drift_sql(_QL, v, "turn > 0", f"'{v}' AS feature,") for v in ("chars", "words")))
+@query("stat_query_drift", f"SELECT * EXCLUDE (drift), n_new >= {LEAST_LOGS} AND drift AS drift, CASE WHEN n_new < {LEAST_LOGS} THEN 'insufficient_data' ELSE 'tested' END AS reason, n_new >= {LEAST_LOGS} AND bool_or(drift) OVER () AS has_drift FROM (" + " UNION ALL ".join(_drift_sql(_QL, v, "turn > 0", f"'{v}' AS feature") for v in ("chars", "words")) + ")")
 def stat_query_drift(spark, sf):
+    """Later turns' queries against first ones; no verdict on fewer than ``LEAST_LOGS``."""
     c = table(spark, sf, "conversations").filter("role = 'user'").select("turn", F.char_length("text").alias("chars"), F.regexp_count("text", F.lit(r"\S+")).alias("words"))
-    one = [ST.numeric_drift(c, v, F.col("turn") > 0).drop("p", "drift").select(F.lit(v).alias("feature"), "*") for v in ("chars", "words")]
-    return one[0].union(one[1])
+    one = [ST.numeric_drift(c, v, F.col("turn") > 0).select(F.lit(v).alias("feature"), "*") for v in ("chars", "words")]
+    both, enough = one[0].union(one[1]), F.col("n_new") >= LEAST_LOGS
+    any_ = both.agg(F.bool_or("drift").alias("any"))  # one row of two
+    return both.join(F.broadcast(any_)).withColumn("has_drift", enough & F.col("any")).withColumn("drift", enough & F.col("drift")).withColumn("reason", F.when(enough, "tested").otherwise("insufficient_data")).drop("any")
 
 
-@query("stat_chi2_indep", "WITH c AS (SELECT event_type AS a, user_id % 3 AS b, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS rb, sum(n) OVER () AS t FROM c) SELECT round(sum((n - ra * rb / t) * (n - ra * rb / t) / (ra * rb / t)), 5) AS statistic, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS INTEGER) AS dof FROM m")
+@query("stat_chi2_indep", f"SELECT round(x, 5) AS statistic, dof, round({_chi_p('x', 'dof')}, 6) AS p, {_chi_p('x', 'dof')} > 0.05 AS independent FROM (WITH c AS (SELECT event_type AS a, user_id % 3 AS b, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS rb, sum(n) OVER () AS t FROM c) SELECT sum((n - ra * rb / t) * (n - ra * rb / t) / (ra * rb / t)) AS x, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS INTEGER) AS dof FROM m)")
 def stat_chi2_indep(spark, sf):
     e = events(spark, sf).withColumn("b", F.col("user_id") % 3)
-    return ST.chi2_independence(e, "event_type", "b").select(F.round("statistic", 5).alias("statistic"), "dof")
+    return ST.chi2_independence(e, "event_type", "b").withColumn("statistic", F.round("statistic", 5))
 
 
 @query("stat_uniform_parity", "SELECT count(*) AS groups, round(max(abs(n - m)) / max(m), 6) AS deviation, max(abs(n - m)) / max(m) < 0.3 AS fair FROM (SELECT count(*) AS n, avg(count(*)) OVER () AS m FROM orders GROUP BY o_orderstatus)")
@@ -157,9 +189,11 @@ def frame(spark, sf):
     return ST.metric_frame(labelled(spark, sf), ["lang"], F.col("quality") == 1, F.col("n_chars") > 1500)
 
 
-@query("stat_metric_frame", f"WITH {_LAB}, {_YP} SELECT * FROM {_frame_sql('yp', 'lang')}")
+@query("stat_metric_frame", f"WITH {_LAB}, {_YP}, f AS (SELECT * FROM {_frame_sql('yp', 'lang')}) SELECT * FROM f UNION ALL SELECT 'overall', * EXCLUDE (u) FROM {_frame_sql('(SELECT 1 AS u, * FROM yp)', 'u')} UNION ALL SELECT 'difference', sum(n)::BIGINT, " + ", ".join(f"round(max({c}) - min({c}), 6)" for c in ST.RATES) + " FROM f")
 def stat_metric_frame(spark, sf):
-    return frame(spark, sf)
+    rows = labelled(spark, sf)
+    overall = ST.metric_frame(rows, [], F.col("quality") == 1, F.col("n_chars") > 1500)
+    return ST.with_summary(frame(spark, sf), overall, "lang")
 
 
 _FAIR = "round(max(selection_rate) - min(selection_rate), 6) AS dp_difference, round(coalesce(min(selection_rate) / nullif(max(selection_rate), 0), 0), 6) AS dp_ratio, round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS eo_difference, round(least(coalesce(min(tpr) / nullif(max(tpr), 0), 0), coalesce(min(fpr) / nullif(max(fpr), 0), 0)), 6) AS eo_ratio, round(max(accuracy) - min(accuracy), 6) AS accuracy_gap"
@@ -170,17 +204,31 @@ def stat_fairness(spark, sf):
     return ST.fairness(frame(spark, sf))
 
 
-@query("stat_manual_fairness", f"WITH {_LAB}, {_YP} SELECT lang AS grp, n, selection_rate, accuracy, round(max(selection_rate) OVER () - min(selection_rate) OVER (), 6) AS parity_gap FROM {_frame_sql('yp', 'lang')} WHERE n >= 20")
+def _weighted_sql(src, group):
+    part = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE ({a}) / ({b}) END"
+    both = lambda a, b: f"round(((tp + fn) * ({a}) + (tn + fp) * ({b})) / n, 6)"
+    cells = "count(*) AS n, count(CASE WHEN y AND p THEN 1 END) AS tp, count(CASE WHEN NOT y AND p THEN 1 END) AS fp, count(CASE WHEN y AND NOT p THEN 1 END) AS fn, count(CASE WHEN NOT y AND NOT p THEN 1 END) AS tn"
+    return f"(SELECT {group}, n, round((tp + tn) / n, 6) AS accuracy, round((tp + fp) / n, 6) AS selection_rate, {both(part('tp', '(tp + fp)'), part('tn', '(tn + fn)'))} AS precision, {both(part('tp', '(tp + fn)'), part('tn', '(tn + fp)'))} AS recall, {both(part('2 * tp', '(2 * tp + fp + fn)'), part('2 * tn', '(2 * tn + fp + fn)'))} AS f1 FROM (SELECT {group}, {cells} FROM {src} GROUP BY ALL))"
+
+
+@query("stat_manual_fairness", f"WITH {_LAB}, {_YP}, w AS (SELECT * FROM {_weighted_sql('yp', 'lang AS grp').replace('(SELECT lang AS grp, n,', '(SELECT grp, n,', 1)} WHERE n >= 20) SELECT *, round(max(selection_rate) OVER () - min(selection_rate) OVER (), 6) AS parity_gap, round(max(accuracy) OVER () - min(accuracy) OVER (), 6) AS accuracy_gap FROM w")
 def stat_manual_fairness(spark, sf, least=20):
-    f = frame(spark, sf).filter(F.col("n") >= least).select(F.col("lang").alias("grp"), "n", "selection_rate", "accuracy")
-    gap = f.agg(r6(F.max("selection_rate") - F.min("selection_rate")).alias("parity_gap"))  # one row
+    f = ST.weighted_frame(labelled(spark, sf).withColumnRenamed("lang", "grp"), ["grp"], F.col("quality") == 1, F.col("n_chars") > 1500).filter(F.col("n") >= least)
+    gap = f.agg(r6(F.max("selection_rate") - F.min("selection_rate")).alias("parity_gap"), r6(F.max("accuracy") - F.min("accuracy")).alias("accuracy_gap"))  # one row
     return f.join(F.broadcast(gap))
 
 
+def slice_performance(predicted, features, label, prediction, least=10, gap=0.2):
+    """Accuracy and weighted precision, recall and F1 of each slice of ``least``
+    rows or more; a feature is biased if its accuracies differ by over ``gap``."""
+    per = ST.weighted_frame(ST.slices(predicted, features, [label, prediction]), ["feature", "value"], F.col(label) == 1, F.col(prediction) == 1).filter(F.col("n") >= least).drop("selection_rate")
+    span = per.groupBy("feature").agg((F.max("accuracy") - F.min("accuracy") > gap).alias("biased"))
+    return per.join(span, "feature")
+
+
 @query("stat_slice_performance")
 def stat_slice_performance(spark, sf):
-    """A random forest on slice features: accuracy and weighted P/R of each
-    slice with ten test rows or more; biased if accuracies differ by over 0.2."""
+    """A random forest of 100 trees on encoded slice features, judged by slice on a fifth of the rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -189,10 +237,7 @@ def stat_slice_performance(spark, sf):
     stages = [StringIndexer(inputCols=["lang", "source"], outputCols=["li", "si"], handleInvalid="keep"), VectorAssembler(inputCols=["li", "si", "n_chars"], outputCol="features"), RandomForestClassifier(numTrees=100, maxBins=64, seed=42)]
     test = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     model = Pipeline(stages=stages).fit(d.filter(~test))
-    got = model.transform(d.filter(test)).withColumn("ok", (F.col("prediction") == F.col("label")).cast("double"))
-    per = ST.slices(got, ["lang", "source"], ["ok", "prediction", "label"]).groupBy("feature", "value").agg(F.count("*").alias("n"), r6(F.avg("ok")).alias("accuracy")).filter("n >= 10")
-    span = per.groupBy("feature").agg((F.max("accuracy") - F.min("accuracy") > 0.2).alias("biased"))
-    return per.join(span, "feature")
+    return slice_performance(model.transform(d.filter(test)), ["lang", "source"], "label", "prediction")
 
 
 _RAG = "rag AS (SELECT conv_id, turn, CASE WHEN length(question) > 200 THEN 'long' ELSE 'short' END AS size, (conv_id % 4)::VARCHAR AS bucket, length(answer) > 400 AS y, length(question) > 150 AS p FROM pair)"
@@ -214,18 +259,32 @@ def stat_rag_slices(spark, sf):
     return rag_slices(spark, sf)
 
 
-@query("stat_disparities", _RAGF + ", g AS (SELECT feature, count(*) AS slices, round(max(accuracy) - min(accuracy), 6) AS accuracy_range, round(stddev_pop(accuracy), 6) AS accuracy_std, round(max(fpr) - min(fpr), 6) AS fpr_range, round(max(fnr) - min(fnr), 6) AS fnr_range, arg_min(value, (accuracy, value)) AS worst, arg_min(value, (-accuracy, value)) AS best FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT *, concat_ws(',', CASE WHEN accuracy_range > 0.05 THEN 'accuracy' END, CASE WHEN fpr_range > 0.05 THEN 'fpr' END, CASE WHEN fnr_range > 0.05 THEN 'fnr' END) AS violations FROM g")
+def _over_sql(t):
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c}_range > {t} THEN '{c}' END" for c in ("accuracy", "f1", "fpr", "fnr")) + ")"
+
+
+@query("stat_disparities", _RAGF + ", g AS (SELECT feature, count(*) AS slices, " + ", ".join(f"round(max({c}) - min({c}), 6) AS {c}_range" for c in ("accuracy", "f1", "fpr", "fnr")) + ", round(stddev_pop(accuracy), 6) AS accuracy_std, round(stddev_pop(f1), 6) AS f1_std, arg_min(value, (accuracy, value)) AS worst, arg_min(value, (-accuracy, value)) AS best FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT *, " + _over_sql(0.05) + " AS violations, " + _over_sql(0.1) + " AS wide_violations FROM g")
 def stat_disparities(spark, sf):
     return ST.disparities(rag_slices(spark, sf))
 
 
-@query("stat_bias_findings", f"WITH {_LAB}, {_YP}, f AS (SELECT {_FAIR} FROM {_frame_sql('yp', 'lang')}) SELECT 'parity' AS kind, 'lang' AS feature, CASE WHEN dp_difference > 0.3 THEN 'high' ELSE 'medium' END AS severity FROM f WHERE dp_difference > 0.1 UNION SELECT 'odds', 'lang', CASE WHEN eo_difference > 0.3 THEN 'high' ELSE 'medium' END FROM f WHERE eo_difference > 0.1 UNION SELECT 'share', 'lang', 'medium' FROM (SELECT lang, count(*) AS n, max(count(*)) OVER () AS m FROM lab GROUP BY 1) WHERE n / m < 0.8")
+_SEV = "CASE WHEN {} > 0.3 THEN 'high' ELSE 'medium' END"
+
+
+@query("stat_bias_findings", f"WITH {_LAB}, {_YP}, {_LONG}, f AS (SELECT {_FAIR} FROM {_frame_sql('yp', 'lang')}), s AS (SELECT feature, value, count(*) AS n, avg(toxic) AS rate FROM long GROUP BY ALL), o AS (SELECT avg(toxic) AS a FROM lab) " + " UNION ".join([
+    *[f"SELECT '{k}' AS kind, 'lang' AS feature, {_SEV.format(c)} AS severity FROM f WHERE {c} > 0.1" for k, c in (("parity", "dp_difference"), ("odds", "eo_difference"), ("performance", "accuracy_gap"))],
+    "SELECT 'share', 'lang', 'medium' FROM (SELECT lang, count(*) AS n, max(count(*)) OVER () AS m FROM lab GROUP BY 1) WHERE n / m < 0.8",
+    "SELECT 'slice', feature, CASE WHEN abs(rate - a) / a > 0.5 THEN 'high' ELSE 'medium' END FROM s, o WHERE n >= 10 AND abs(rate - a) / a > 0.2"]))
 def stat_bias_findings(spark, sf):
+    """Findings of each kind with severity; the distinct features are what to stratify by."""
+    rows = labelled(spark, sf)
     f = ST.fairness(frame(spark, sf))
     sev = lambda c: F.when(F.col(c) > 0.3, "high").otherwise("medium")
-    out = f.filter("dp_flag").select(F.lit("parity").alias("kind"), F.lit("lang").alias("feature"), sev("dp_difference").alias("severity"))
-    out = out.union(f.filter("eo_flag").select(F.lit("odds"), F.lit("lang"), sev("eo_difference")))
-    return out.union(ST.group_shares(labelled(spark, sf), "lang").filter("disparate").select(F.lit("share"), F.lit("lang"), F.lit("medium"))).distinct()
+    kinds = (("parity", "dp_flag", "dp_difference"), ("odds", "eo_flag", "eo_difference"), ("performance", "accuracy_flag", "accuracy_gap"))
+    one = F.array_compact(F.array(*[F.when(F.col(flag), F.struct(F.lit(k).alias("kind"), F.lit("lang").alias("feature"), sev(c).alias("severity"))) for k, flag, c in kinds]))
+    out = f.select(F.explode(one).alias("r")).select("r.*")
+    out = out.union(ST.group_shares(rows, "lang").filter("disparate").select(F.lit("share"), F.lit("lang"), F.lit("medium")))
+    return out.union(ST.positive_rate_slices(rows, ["lang", "source"], F.col("toxic") == 1, least=10).select(F.lit("slice"), "feature", "severity")).distinct()
 
 
 @query("stat_2sigma_share", "WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem) SELECT count(*) AS n, count(CASE WHEN abs(l_extendedprice - m) > 2 * d THEN 1 END) AS beyond, round(100.0 * count(CASE WHEN abs(l_extendedprice - m) > 2 * d THEN 1 END) / count(*), 6) AS percent, 100.0 * count(CASE WHEN abs(l_extendedprice - m) > 2 * d THEN 1 END) / count(*) > 5 AS warn FROM lineitem, s")
