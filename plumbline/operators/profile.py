@@ -57,10 +57,12 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = []
     for c in columns:
         aggs += [
-            F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.percentile(c, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias(f"q_{c}"),
+            F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"),
             F.skewness(c).alias(f"g1_{c}"), F.kurtosis(c).alias(f"g2_{c}"),
         ]
     one = df.agg(*aggs)
+    for c in columns:
+        one = one.join(F.broadcast(quantiles(df, c, [0.0, 0.25, 0.5, 0.75, 1.0]).withColumnRenamed("q", f"q_{c}")))  # one row each
     rows = []
     for c in columns:
         n, q = F.col(f"n_{c}").cast("double"), F.col(f"q_{c}")
@@ -72,7 +74,10 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Bounds q1 - 1.5 iqr and q3 + 1.5 iqr, and what lies strictly beyond."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns])
+    q = None
+    for c in columns:
+        one = quantiles(df, c, [0.25, 0.75]).withColumnRenamed("q", f"q_{c}")
+        q = one if q is None else q.join(F.broadcast(one))  # one row each
     lo = lambda c: F.col(f"q_{c}")[0] - 1.5 * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
     hi = lambda c: F.col(f"q_{c}")[1] + 1.5 * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
     # the statistics are one row
@@ -150,7 +155,7 @@ def weighted_metrics(classes: DataFrame) -> DataFrame:
     return classes.agg(r6(F.sum("tp") / F.sum("support")).alias("accuracy"), w("precision").alias("precision"), w("recall").alias("recall"), w("f1").alias("f1"))
 
 
-def prefix_counts(df: DataFrame, value: str, sums: dict[str, Column], ranges: int = 64) -> DataFrame:
+def prefix_counts(df: DataFrame, value: str, sums: dict[str, Column], ranges: int = 256) -> DataFrame:
     """Distinct values in order with sums and their running totals before each.
 
     Ranges of the value are found by approximate quantiles; totals of ranges
@@ -168,6 +173,39 @@ def prefix_counts(df: DataFrame, value: str, sums: dict[str, Column], ranges: in
     return out.select("v", *sums, *[(F.col(f"o_{n}") + F.col(f"i_{n}")).alias(f"before_{n}") for n in sums])
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], disc: bool = False) -> DataFrame:
+    """One row with q, the exact quantiles of a column at some shares: the
+    values at a place, linear between two places, or with ``disc`` the first
+    value that at least the share of the rows doesn't exceed.
+
+    Places come from running totals over ranges, so no task holds all values.
+    """
+    c = prefix_counts(df, value, {"k": F.count("*")})
+    total = c.agg(F.sum("k").alias("n"))  # one row
+    c = c.join(F.broadcast(total))
+    spots = []
+    for i, p in enumerate(shares):
+        place = F.ceil(F.col("n") * p) - 1 if disc else (F.col("n") - 1) * F.lit(float(p))
+        low = F.greatest(F.floor(place), F.lit(0))
+        has = lambda at: (F.col("before_k") <= at) & (at < F.col("before_k") + F.col("k"))
+        spots.append((F.max(F.when(has(low), F.col("v"))), F.max(F.when(has(F.least(low + 1, F.col("n") - 1)), F.col("v"))), F.first(place - low)))
+    one = c.agg(*[x.alias(f"{n}{i}") for i, three in enumerate(spots) for n, x in zip("lhw", three)])
+    at = lambda i: F.col(f"l{i}") if disc else F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * F.greatest(F.col(f"w{i}"), F.lit(0.0))
+    return one.select(F.array(*[at(i) for i in range(len(shares))]).alias("q"))
+
+
+def auc_ovr(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
+    """One-vs-rest AUC of each class by its score column, and their mean
+    weighted by support, as the row of class "weighted"."""
+    each = None
+    for name, score in scores.items():
+        n = df.agg(F.count_if(F.col(truth) == name).alias("support"))
+        one = auc(df, score, F.col(truth) == name).join(F.broadcast(n)).select(F.lit(name).alias("class"), "support", "auc")  # one row each
+        each = one if each is None else each.union(one)
+    mean = each.agg(F.lit("weighted").alias("class"), F.sum("support").alias("support"), r6(F.try_divide(F.sum(F.col("auc") * F.col("support")), F.sum("support"))).alias("auc"))
+    return each.union(mean)
+
+
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve: pairs of a positive above a negative, ties half; 0 if a class is missing."""
     c = prefix_counts(df.withColumn("_p", positive.cast("long")), score, {"pos": F.sum("_p"), "neg": F.sum(1 - F.col("_p"))})

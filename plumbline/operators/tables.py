@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTITION = r"/(\d{4})/(\d{2})/(\d{2})(?:/|$)"
+from ..shared import written
+
+#: base/YYYY/MM/DD, with or without names of the levels.
+PARTITION = r"/(?:y=)?(\d{4})/(?:m=)?(\d{2})/(?:d=)?(\d{2})(?:/|$)"
 
 
 def partitions(files: DataFrame, path: str = "path") -> DataFrame:
@@ -52,33 +55,52 @@ def aligned_counts(base: DataFrame, new: DataFrame, column: str) -> DataFrame:
     return both.filter("value is not null").groupBy("value").agg(F.sum("b").alias("base_n"), F.sum("n").alias("new_n"))
 
 
+def _contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(file_id, pos, key) of every text ``h`` of ``hay`` that holds a ``needle``.
+
+    Equality on the substrings of ``h`` that are as long as some needle, so
+    there is no nested loop; the lengths are one row.
+    """
+    needles = needles.filter("needle <> ''")
+    sizes = needles.agg(F.sort_array(F.collect_set(F.char_length("needle"))).alias("sizes"))  # lengths of names
+    cuts = F.transform("sizes", lambda n: F.when(F.char_length("h") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("h") - n + 1)), lambda i: F.substring("h", i, n))).otherwise(F.array().cast("array<string>")))
+    parts = hay.filter("h is not null").join(F.broadcast(sizes)).select("pos", "key", F.explode(F.array_distinct(F.flatten(cuts))).alias("needle"))
+    return needles.join(parts, "needle").select("file_id", "pos", "key")
+
+
 def cascade(files: DataFrame, meta: DataFrame) -> DataFrame:
     """First metadata row of the first matching strategy for each file.
 
-    ``files`` has file_id and name, ``meta`` has pos and key.  Strategies, in
-    order: equal stem, equal name, equal regardless of case, prefix of the
-    other, contained.  The first three are equi joins; prefixes are equi joins
-    on every prefix of a key; only what is left after them is searched for
-    containment, by every substring of the key's length.
+    ``files`` has file_id and name, ``meta`` has pos, key and path.
+    Strategies, in order: (1) the key is the name without extension, (2) the
+    name, (3) the former regardless of case, (4) the key contains it
+    regardless of case, (5) one of the two starts with the other, (6) the path
+    contains the name, (7) the name without extension, regardless of case.
+    (That the path's last part is either of these is a case of 6 and 7.)  Each
+    works on what the ones before have left, by equi joins.
     """
-    stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    left = files.select("file_id", "name", stem.alias("stem"))
-    tries = [(1, "stem", F.col("key")), (2, "name", F.col("key")), (3, "stem_low", F.lower("key"))]
-    left = left.withColumn("stem_low", F.lower("stem"))
-    found = None
-    for rank, column, key in tries:
-        hit = left.select("file_id", F.col(column).alias("k")).join(meta.select(key.alias("k"), "pos", "key"), "k").select("file_id", "pos", "key", F.lit(rank).alias("rank"))
-        found = hit if found is None else found.union(hit)
-    rest = left.join(found.select("file_id").distinct(), "file_id", "left_anti").filter("stem_low <> ''")
-    keys = meta.withColumn("k", F.lower("key")).filter("k <> ''")
-    # a key that is a prefix of the stem, and a stem that is a prefix of a key
+    left = files.select("file_id", "name", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem")).withColumn("low", F.lower("stem"))
+    keys = meta.withColumn("k", F.lower("key"))
+    equal = lambda rows, of, key: rows.select("file_id", F.col(of).alias("k")).join(meta.select(key.alias("k"), "pos", "key"), "k").select("file_id", "pos", "key")
     prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.substring(c, F.lit(1), i))
-    down = rest.select("file_id", F.explode(prefixes(F.col("stem_low"))).alias("k")).join(keys, "k")
-    up = rest.select("file_id", F.col("stem_low").alias("p")).join(keys.withColumn("p", F.explode(prefixes(F.col("k")))), "p")
-    near = down.select("file_id", "pos", "key", F.lit(4).alias("rank")).union(up.select("file_id", "pos", "key", F.lit(4)))
-    rest = rest.join(near.select("file_id").distinct(), "file_id", "left_anti")
-    size = F.char_length("stem_low")
-    inner = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("stem_low"), i, n)))
-    inside = rest.select("file_id", F.explode(F.array_distinct(F.flatten(inner))).alias("k")).join(keys, "k").select("file_id", "pos", "key", F.lit(5))
-    every = found.union(near).union(inside)
-    return every.groupBy("file_id").agg(F.min(F.struct("rank", "pos", "key")).alias("m")).select("file_id", F.col("m.rank").alias("strategy"), F.col("m.pos").alias("pos"), F.col("m.key").alias("key"))
+
+    def starts(rows):
+        rows, own = rows.filter("stem <> ''"), meta.filter("key <> ''")
+        down = rows.select("file_id", F.explode(prefixes(F.col("stem"))).alias("key")).join(own, "key").select("file_id", "pos", "key")
+        up = rows.select("file_id", F.col("stem").alias("p")).join(own.select("pos", "key", F.explode(prefixes(F.col("key"))).alias("p")), "p").select("file_id", "pos", "key")
+        return down.union(up)
+
+    paths = meta.select("pos", "key", F.lower("path").alias("h"))
+    steps = [
+        lambda r: equal(r, "stem", F.col("key")), lambda r: equal(r, "name", F.col("key")), lambda r: equal(r, "low", F.lower("key")),
+        lambda r: _contained(r.select("file_id", F.col("low").alias("needle")), keys.select("pos", "key", F.col("k").alias("h"))), starts,
+        lambda r: _contained(r.select("file_id", F.lower("name").alias("needle")), paths), lambda r: _contained(r.select("file_id", F.col("low").alias("needle")), paths),
+    ]
+    found, rest = None, left
+    for i, step in enumerate(steps, 1):
+        # what a strategy finds is written, so that the next ones don't work it out again
+        best = step(rest).groupBy("file_id").agg(F.min(F.struct("pos", "key")).alias("m"))
+        hit = written(best.select("file_id", F.lit(i).alias("strategy"), F.col("m.pos").alias("pos"), F.col("m.key").alias("key")), "cascade")
+        found = hit if found is None else found.union(hit)
+        rest = rest.join(hit.select("file_id"), "file_id", "left_anti")
+    return found

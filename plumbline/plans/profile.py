@@ -93,11 +93,15 @@ def P_baseline(df):
 @query("agg_baseline_build")
 def agg_baseline_build(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
-    cut = df.agg(F.percentile("doc_id", 0.7).alias("cut"))
+    cut = P.quantiles(df, "doc_id", [0.7]).select(F.col("q")[0].alias("cut"))
     df = df.join(F.broadcast(cut)).withColumn("side", F.when(F.col("doc_id") <= F.col("cut"), "train").otherwise("validation"))
     sizes = df.groupBy("side").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("side", "n")))).alias("sizes"))
     stats = P_baseline(df.filter("side = 'train'").select("n_chars", "text")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("column", "kind", "low", "high", "mean", "std", "null_pct")))).alias("stats"))
-    return sizes.join(F.broadcast(stats)).select(F.to_json("sizes").alias("sizes"), "stats")
+    schema = ",".join(f"{c}:{t}" for c, t in df.drop("cut", "side").dtypes)
+    train = df.filter("side = 'train'").agg(F.bool_and(F.col("doc_id").isNotNull()).alias("ids"), (F.count("text") > 0).alias("text"), (F.count_if(F.col("n_chars") > 0) * 2 > F.count("*")).alias("n_chars"))
+    checks = train.select(F.to_json(F.struct("ids", "n_chars", "text")).alias("checks"))
+    # one row each
+    return sizes.join(F.broadcast(stats)).join(F.broadcast(checks)).select(F.to_json("sizes").alias("sizes"), "stats", F.lit(schema).alias("schema"), "checks")
 
 
 @query("agg_overview", "SELECT count(*) AS n_rows, 3::BIGINT AS n_columns, count(*) - count(DISTINCT (user_id, event_type, props)) AS duplicate_rows FROM events")
@@ -232,3 +236,14 @@ def agg_weighted_metrics(spark, sf):
 def agg_auc(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     return P.auc(df, "n_chars", F.col("quality") == 1)
+
+
+_OVR = ["en", "de", "es", "fr"]
+
+
+@query("agg_auc_ovr", "WITH d AS (SELECT lang, n_chars FROM documents WHERE lang IS NOT NULL), s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS class, (n_chars * {i + 3}) % 101 AS v, (lang = '{c}')::INT AS pos FROM d" for i, c in enumerate(_OVR)) + "), g AS (SELECT class, v, sum(pos) AS pos, sum(1 - pos) AS neg FROM s GROUP BY ALL), r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g), a AS (SELECT class, sum(pos)::BIGINT AS support, round(coalesce(sum(pos * (b + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 0), 6) AS auc FROM r GROUP BY 1) SELECT * FROM a UNION ALL SELECT 'weighted', sum(support)::BIGINT, round(sum(auc * support) / sum(support), 6) FROM a")
+def agg_auc_ovr(spark, sf):
+    """Several classes, one against the rest, weighted by support."""
+    d = table(spark, sf, "documents").select("lang", "n_chars").filter("lang is not null")
+    scored = d.select("lang", *[((F.col("n_chars") * (i + 3)) % 101).alias(f"score_{c}") for i, c in enumerate(_OVR)])
+    return P.auc_ovr(scored, "lang", {c: f"score_{c}" for c in _OVR})

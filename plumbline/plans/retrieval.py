@@ -41,10 +41,12 @@ def ret_mmr(spark, sf):
     return R.mmr(top(spark, sf, 9), table(spark, sf, "embeddings"), 3)
 
 
-@query("ret_weighted", _TOP + ", c AS (SELECT t.*, 7e-1 * score + 1e-1 + 1e-1 * coalesce(quality, 1) + 1e-1 * (least(1 + 1e-1 * coalesce(toxic, 0), 2) - 1) AS ns FROM t LEFT JOIN labels l ON l.doc_id = t.doc_id WHERE rank <= 10) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(ns, 8) AS score FROM c QUALIFY rank <= 5".replace("QUALIFY rank <= 5", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) <= 5"))
+@query("ret_weighted", _TOP + ", c AS (SELECT t.*, 7e-1 * score + 1e-1 * coalesce(CASE WHEN d.doc_id % 3 > 0 THEN n_chars % 11 / 10 END, 1) + 1e-1 * coalesce(quality, 1) + 1e-1 * (least(1 + 1e-1 * coalesce(toxic, 0), 2) - 1) AS ns FROM t LEFT JOIN labels l ON l.doc_id = t.doc_id LEFT JOIN documents d ON d.doc_id = t.doc_id WHERE rank <= 10) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(ns, 8) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 6) DESC, doc_id) <= 5")
 def ret_weighted(spark, sf):
-    c = top(spark, sf, 10).join(table(spark, sf, "labels"), "doc_id", "left")
-    s = 0.7 * F.col("score") + 0.1 + 0.1 * F.coalesce("quality", F.lit(1)) + 0.1 * (F.least(1 + 0.1 * F.coalesce("toxic", F.lit(0)), F.lit(2.0)) - 1)
+    """Similarity, recency, quality and citations; what is missing counts 1, 1 and 0."""
+    recency = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") % 11 / 10).alias("recency"))
+    c = top(spark, sf, 10).join(table(spark, sf, "labels"), "doc_id", "left").join(recency, "doc_id", "left")
+    s = 0.7 * F.col("score") + 0.1 * F.coalesce("recency", F.lit(1.0)) + 0.1 * F.coalesce("quality", F.lit(1)) + 0.1 * (F.least(1 + 0.1 * F.coalesce("toxic", F.lit(0)), F.lit(2.0)) - 1)
     return R.reranked(c, s, 5).select("query_id", "rank", "doc_id", F.round(s, 8).alias("score"))
 
 
@@ -103,7 +105,14 @@ def txt_references(spark, sf):
     return ranked_docs(spark, sf).select("query_id", "rank", line.alias("l")).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "l"))), lambda s: s["l"]), "\n").alias("refs"))
 
 
-@query("agg_retrieval_stats", _TOP + " SELECT query_id, round(avg(score), 4) AS avg_score, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, count(*) AS n FROM t WHERE rank <= 5 GROUP BY 1")
+@query("agg_retrieval_stats", _TOP + " SELECT query_id, round(avg(score), 4) AS avg_score, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, string_agg('chunk_' || doc_id, ',' ORDER BY rank) AS chunk_ids, string_agg(rank || ':' || doc_id || ':' || printf('%.4f', score), ',' ORDER BY rank) AS docs_metrics, count(*) AS n FROM t WHERE rank <= 5 GROUP BY 1")
 def agg_retrieval_stats(spark, sf):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"].cast("string")), ",")
-    return top(spark, sf, 5).groupBy("query_id").agg(F.round(F.avg("score"), 4).alias("avg_score"), ids.alias("doc_ids"), F.count("*").alias("n"))
+    """Mean score, ids and each document's rank and score of every query, without contents."""
+    hits = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score")))
+    g = top(spark, sf, 5).groupBy("query_id").agg(F.round(F.avg("score"), 4).alias("avg_score"), hits.alias("h"), F.count("*").alias("n"))
+    listed = lambda f: F.array_join(F.transform("h", f), ",")
+    text = lambda c: c.cast("string")
+    return g.select(
+        "query_id", "avg_score", listed(lambda s: text(s["doc_id"])).alias("doc_ids"), listed(lambda s: F.concat(F.lit("chunk_"), text(s["doc_id"]))).alias("chunk_ids"),
+        listed(lambda s: F.concat_ws(":", text(s["rank"]), text(s["doc_id"]), F.format_string("%.4f", s["score"]))).alias("docs_metrics"), "n",
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType, TimestampType
 
 from ..operators import tables as TB
-from ..operators.profile import r6
+from ..operators.profile import quantiles, r6
 from ..shared import fresh_path
 from ..sources import files as S
 from .base import LOG_SQL, events, log, query, table
@@ -24,14 +24,26 @@ def src_jsonl(spark, sf):
     return got.select("doc_id", "lang", F.date_format("published", "yyyy-MM-dd").alias("published"), F.md5("text").alias("text_md5"))
 
 
-_PATH = "'base/' || CASE WHEN o_orderkey % 50 = 0 THEN 'misc' ELSE strftime(o_orderdate, '%Y/%m/%d') END || '/' || o_orderkey || '.csv'"
+_ORDERS = StructType().add("o_orderkey", LongType()).add("o_custkey", LongType()).add("o_totalprice", DoubleType()).add("o_orderdate", TimestampType())
 
 
-@query("src_partition_list", "SELECT strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS partition_timestamp, count(*) AS files FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1")
+def order_files(spark, sf):
+    """Orders as CSV files, one for each quarter's partition, and some in a folder that is none."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").withColumn("q", F.date_trunc("quarter", "o_orderdate"))
+    path = fresh_path(spark, "csv")
+    days = o.select("*", F.date_format("q", "yyyy").alias("y"), F.date_format("q", "MM").alias("m"), F.date_format("q", "dd").alias("d")).drop("q")
+    days.filter("o_orderkey % 50 <> 0").repartition("y", "m", "d").write.partitionBy("y", "m", "d").option("header", True).csv(path)
+    days.filter("o_orderkey % 50 = 0").drop("y", "m", "d").coalesce(1).write.option("header", True).csv(path + "/misc")
+    return path
+
+
+_QUARTER = "date_trunc('quarter', o_orderdate)"
+
+
+@query("src_partition_list", f"SELECT strftime({_QUARTER}, '%Y-%m-%dT00:00:00') AS partition_timestamp, strftime({_QUARTER}, '%Y/%m/%d') AS partition_path, 1::BIGINT AS files FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY ALL")
 def src_partition_list(spark, sf):
-    o = table(spark, sf, "orders")
-    path = F.concat(F.lit("base/"), F.when(F.col("o_orderkey") % 50 == 0, "misc").otherwise(F.date_format("o_orderdate", "yyyy/MM/dd")), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".csv"))
-    return TB.partitions(o.select(path.alias("path"))).select(F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss").alias("partition_timestamp"), "files")
+    found = TB.partitions(S.list_files(spark, order_files(spark, sf)))
+    return found.select(F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss").alias("partition_timestamp"), F.date_format("day", "yyyy/MM/dd").alias("partition_path"), "files")
 
 
 @query("src_partition_latest", "SELECT CASE d WHEN 1 THEN 'new' ELSE 'baseline' END AS role, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, round(sum(o_totalprice), 6) AS total FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderdate DESC) AS d FROM orders) WHERE d <= 2 GROUP BY ALL")
@@ -40,16 +52,10 @@ def src_partition_latest(spark, sf):
     return rows.groupBy(F.when(F.col("age") == 1, "new").otherwise("baseline").alias("role"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), r6(F.sum("o_totalprice")).alias("total"))
 
 
-@query("src_partition_load", "SELECT strftime(o_orderdate, '%Y/%m') AS partition_path, count(*) AS n, round(sum(o_totalprice), 3) AS total, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+@query("src_partition_load", f"SELECT strftime({_QUARTER}, '%Y/%m/%d') AS partition_path, strftime({_QUARTER}, '%Y-%m-%d') AS partition_day, count(*) AS n, round(sum(o_totalprice), 3) AS total, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY ALL")
 def src_partition_load(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    path = fresh_path(spark, "csv")
-    # a file a month and hash, under YYYY/MM folders
-    months = o.withColumn("ym", F.date_format("o_orderdate", "yyyy/MM"))
-    months.repartition("ym").write.partitionBy("ym").option("header", True).csv(path)
-    schema = StructType().add("o_orderkey", LongType()).add("o_custkey", LongType()).add("o_totalprice", DoubleType()).add("o_orderdate", TimestampType())
-    got = spark.read.option("header", True).schema(schema).csv(path)
-    return got.groupBy(F.col("ym").cast("string").alias("partition_path")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 3).alias("total"), F.count_distinct("o_custkey").alias("customers"))
+    got = S.read_partitions(spark, order_files(spark, sf), _ORDERS)
+    return got.groupBy(F.col("_partition_path").alias("partition_path"), F.date_format("_partition_timestamp", "yyyy-MM-dd").alias("partition_day")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 3).alias("total"), F.count_distinct("o_custkey").alias("customers"))
 
 
 @query("snk_partition_write", "SELECT 'lineitem' AS dataset, year(l_shipdate)::INTEGER AS y, month(l_shipdate)::INTEGER AS m, count(*) AS rows, 11::BIGINT AS columns FROM lineitem GROUP BY ALL")
@@ -67,10 +73,10 @@ def src_url_list(spark, sf):
     return S.url_lines(table(spark, sf, "pages").select(line.alias("value"))).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@query("src_url_merge", "SELECT url, bool_and(page_id % 3 = 0) AS added FROM pages WHERE page_id % 3 <> 0 OR page_id % 2 = 0 GROUP BY url")
+@query("src_url_merge", "SELECT url, bool_and(page_id % 3 = 0) AS added FROM pages GROUP BY url")
 def src_url_merge(spark, sf):
     p = table(spark, sf, "pages")
-    return S.merge_urls(p.filter("page_id % 3 <> 0"), p.filter("page_id % 3 = 0 and page_id % 2 = 0"))
+    return S.merge_urls(p.filter("page_id % 3 <> 0"), p.filter("page_id % 3 = 0"))
 
 
 @query("src_next_version", "SELECT p_brand AS prefix, max(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_size END)::BIGINT + 1 AS next_version FROM part GROUP BY 1")
@@ -137,17 +143,20 @@ def join_left_attr(spark, sf):
     return table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", "o_totalprice", F.col("o_orderkey").isNotNull().alias("matched"))
 
 
-_FILE = "CASE s_suppkey % 6 WHEN 0 THEN s_name || '.jpg' WHEN 1 THEN upper(s_name) || '.png' WHEN 2 THEN s_name || '_left.jpg' WHEN 3 THEN s_name WHEN 4 THEN 'scan ' || s_name || ' x.jpg' ELSE 'none' || s_suppkey END"
+_FILE = "CASE s_suppkey % 8 WHEN 0 THEN s_name || '.jpg' WHEN 1 THEN upper(s_name) || '.png' WHEN 2 THEN s_name || '_left.jpg' WHEN 3 THEN s_name WHEN 4 THEN substr(lower(s_name), 3) || '.jpg' WHEN 5 THEN 'Scan-' || s_suppkey || '-end.dcm' WHEN 6 THEN 'scan-' || s_suppkey || '-end.tif' ELSE 'none' || s_suppkey END"
 
 
-@query("join_cascade", f"""WITH f AS (SELECT s_suppkey AS file_id, {_FILE} AS name FROM supplier), m AS (SELECT s_suppkey AS pos, s_name AS key FROM supplier), g AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM f),
-    j AS (SELECT file_id, pos, key, CASE WHEN stem = key THEN 1 WHEN name = key THEN 2 WHEN lower(stem) = lower(key) THEN 3 WHEN starts_with(lower(stem), lower(key)) OR starts_with(lower(key), lower(stem)) THEN 4 WHEN contains(lower(stem), lower(key)) THEN 5 END AS strategy FROM g, m)
+@query("join_cascade", f"""WITH f AS (SELECT s_suppkey AS file_id, {_FILE} AS name FROM supplier), m AS (SELECT s_suppkey AS pos, s_name AS key, 'raw/scan-' || s_suppkey || '-end.dcm' AS path FROM supplier), g AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM f),
+    j AS (SELECT file_id, pos, key, CASE WHEN key = stem THEN 1 WHEN key = name THEN 2 WHEN upper(key) = upper(stem) THEN 3 WHEN contains(lower(key), lower(stem)) THEN 4 WHEN starts_with(stem, key) OR starts_with(key, stem) THEN 5 WHEN contains(lower(path), lower(name)) THEN 6 WHEN contains(lower(path), lower(stem)) THEN 7 END AS strategy FROM g, m)
     SELECT file_id, strategy, pos, key FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY strategy, pos) AS r FROM j WHERE strategy IS NOT NULL) WHERE r = 1""")
 def join_cascade(spark, sf):
     s = table(spark, sf, "supplier")
-    k = F.col("s_suppkey") % 6
-    name = F.when(k == 0, F.concat("s_name", F.lit(".jpg"))).when(k == 1, F.concat(F.upper("s_name"), F.lit(".png"))).when(k == 2, F.concat("s_name", F.lit("_left.jpg"))).when(k == 3, F.col("s_name")).when(k == 4, F.concat(F.lit("scan "), "s_name", F.lit(" x.jpg"))).otherwise(F.concat(F.lit("none"), F.col("s_suppkey").cast("string")))
-    return TB.cascade(s.select(F.col("s_suppkey").alias("file_id"), name.alias("name")), s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("key")))
+    k, n = F.col("s_suppkey") % 8, F.col("s_suppkey").cast("string")
+    add = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    own = F.col("s_name")
+    name = F.when(k == 0, add(own, ".jpg")).when(k == 1, add(F.upper(own), ".png")).when(k == 2, add(own, "_left.jpg")).when(k == 3, own).when(k == 4, add(F.substring(F.lower(own), 3, 1000), ".jpg")).when(k == 5, add("Scan-", n, "-end.dcm")).when(k == 6, add("scan-", n, "-end.tif")).otherwise(add("none", n))
+    meta = s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("key"), add("raw/scan-", n, "-end.dcm").alias("path"))
+    return TB.cascade(s.select(F.col("s_suppkey").alias("file_id"), name.alias("name")), meta)
 
 
 @query("join_align", "SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL AND quality IS NOT NULL")
@@ -177,10 +186,10 @@ def join_schema_diff(spark, sf):
     return TB.schema_diff(frame(old), frame(new)).join(F.broadcast(counts))
 
 
-@query("join_setdiff", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 40 = 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 40 = 1) SELECT user_id, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT user_id, 'new' FROM (FROM b EXCEPT FROM a)")
+@query("join_setdiff", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'purchase'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT user_id, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT user_id, 'new' FROM (FROM b EXCEPT FROM a)")
 def join_setdiff(spark, sf):
     e = events(spark, sf)
-    c = TB.aligned_counts(e.filter("event_id % 40 = 0"), e.filter("event_id % 40 = 1"), "user_id")
+    c = TB.aligned_counts(e.filter("event_type <> 'purchase'"), e.filter("event_type = 'purchase'"), "user_id")
     return c.filter("base_n = 0 or new_n = 0").select(F.col("value").alias("user_id"), F.when(F.col("new_n") == 0, "missing").otherwise("new").alias("side"))
 
 
@@ -194,14 +203,15 @@ def smp_stratified(spark, sf, share=0.1, seed=42):
 def smp_dryrun(spark, sf, most=100):
     k = F.col("doc_id") % 4
     d = table(spark, sf, "documents").select("doc_id", F.when(k < 2, "train").when(k == 2, "val").otherwise("test").alias("split"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("split").orderBy(F.md5(F.col("doc_id").cast("string")))))
-    return d.filter(((F.col("split") == "train") & (F.col("r") <= most // 2)) | (F.col("r") <= most // 4)).select("doc_id", "split")
+    # no split is ranked in one task: the digest's first digits part it, as in any stratified sample
+    d = TB.salted_rank(d, ["split"], F.md5(F.col("doc_id").cast("string")))
+    return d.filter(F.col("rank") <= F.when(F.col("split") == "train", most // 2).otherwise(most // 4)).select("doc_id", "split")
 
 
 @query("win_split", "WITH c AS (SELECT quantile_disc(doc_id, 0.7) AS c FROM documents) SELECT doc_id, CASE WHEN doc_id <= c THEN 'train' ELSE 'validation' END AS side FROM documents, c")
 def win_split(spark, sf, share=0.7):
     d = table(spark, sf, "documents").select("doc_id")
-    cut = d.agg(F.expr(f"percentile_disc({share}) within group (order by doc_id)").alias("c"))  # one row
+    cut = quantiles(d, "doc_id", [share], disc=True).select(F.col("q")[0].alias("c"))  # one row
     return d.join(F.broadcast(cut)).select("doc_id", F.when(F.col("doc_id") <= F.col("c"), "train").otherwise("validation").alias("side"))
 
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..operators.tables import PARTITION
+
+
+#: Rows of a partition that one task writes.
+FILE_ROWS = 2_000_000
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines that parse and have no error; text columns of which more than
@@ -22,20 +28,35 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return good.withColumns({c: F.try_to_timestamp(F.col(c)) for c in text if share[c]})
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """Paths of the files under ``path``, whatever its depth; none is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+
+
 def read_partitions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All CSV files under ``path`` with the partition that each row comes from."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(schema).csv(path)
-    return df.withColumn("_partition_path", F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}/\d{2})/[^/]*$", 1))
+    """All CSV files of the partitions base/YYYY/MM/DD under ``path``, with
+    ``_partition_path`` and ``_partition_timestamp`` of each row.
+
+    Files elsewhere are left out, files that can't be read and rows that don't
+    parse are skipped.
+    """
+    read = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True)
+    df = read.schema(schema).csv(path)
+    file = F.col("_metadata.file_path")
+    day = F.concat_ws("/", *[F.regexp_extract(file, PARTITION, i) for i in (1, 2, 3)])
+    out = df.select("*", day.alias("_partition_path"), F.try_to_timestamp(day, F.lit("yyyy/MM/dd")).alias("_partition_timestamp"))
+    return out.filter("_partition_timestamp is not null")
 
 
 def write_partitions(df: DataFrame, path: str, day: str, dataset: str) -> DataFrame:
     """Write under dataset/y/m and return the catalogue: rows and columns of
-    each partition.  Rows of a partition are dealt to several files by a hash
-    where they are many, so that no partition is one task."""
+    each partition.  Rows of a partition are dealt over tasks of about
+    ``FILE_ROWS`` rows by a hash, so that none, however large, is one task."""
     own = [c for c in df.columns if not c.startswith("_partition")]
     out = df.select(*own, F.lit(dataset).alias("dataset"), F.year(day).alias("y"), F.month(day).alias("m"))
-    salt = F.pmod(F.xxhash64(*own), F.lit(4))
-    out.repartition(F.col("y"), F.col("m"), salt).write.mode("overwrite").partitionBy("dataset", "y", "m").parquet(path)
+    sizes = out.groupBy("y", "m").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))  # a row a partition
+    dealt = out.join(F.broadcast(sizes), ["y", "m"]).withColumn("_salt", F.pmod(F.xxhash64(*own), F.col("_files")))
+    dealt.repartition("y", "m", "_salt").select(out.columns).write.mode("overwrite").partitionBy("dataset", "y", "m").parquet(path)
     back = df.sparkSession.read.parquet(path)
     return back.groupBy("dataset", "y", "m").agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(own)).cast("long"))
 
