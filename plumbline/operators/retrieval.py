@@ -7,52 +7,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors carries to the tasks.
-QUERY_BLOCK = 4096
+#: Rows and queries that meet in one task.
+BLOCK_ROWS, BLOCK_QUERIES = 50_000, 4096
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, distance) of each query's k nearest rows, ties by id."""
+    out = []
+    sq = (x * x).sum(1)
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        d = np.maximum((part * part).sum(1)[:, None] + sq[None, :] - 2 * part @ x.T, 0).round(9).round(6)
+        n = min(k, d.shape[1])
+        edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+        who, where = np.nonzero(d <= edge[:, None])
+        order = np.lexsort((ids[where], d[who, where], who))
+        who, where = who[order], where[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        who, where = who[place < n], where[place < n]
+        out.append((qids[at + who], ids[where], d[who, where]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, doc_id, distance (squared L2), score = 1 / (1 + distance).
 
-    ``queries`` has query_id and vector.  They are taken in blocks of
-    ``QUERY_BLOCK`` (each a bounded broadcast); a task scores its rows against a
-    block by matrix products and keeps k a query, then k are kept over all.
-    Distances round to 6 places and ties go to the smaller id.
+    ``queries`` has query_id and vector.  Blocks of rows meet sets of queries,
+    both of bounded size, in a task each, which keeps k rows a query; then k
+    are kept over all blocks.  Distances round to 6 places and ties go to the
+    smaller id.  Only the numbers of rows reach the driver.
     """
-    sc = vectors.sparkSession.sparkContext
     rows = vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
-    found, block, it = None, [], queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-
-    def scored(block):
-        shared = sc.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)))
-
-        def run(batches):
-            ids, q = shared.value
-            best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                own = b.column(0).to_numpy()
-                for at in range(0, len(v), 2048):
-                    x = v[at : at + 2048]
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0).round(9)
-                    d = np.concatenate([best_d, d], axis=1)
-                    i = np.concatenate([best_i, np.broadcast_to(own[at : at + 2048], (len(ids), len(x)))], axis=1)
-                    order = np.lexsort((i, d.round(6)), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "doc_id", "distance"])
-
-        return rows.mapInArrow(run, "query_id long, doc_id long, distance double")
-
-    for r in it:
-        block.append((r["query_id"], r["vector"]))
-        if len(block) == QUERY_BLOCK:
-            found, block = scored(block) if found is None else found.union(scored(block)), []
-    if block or found is None:
-        got = scored(block) if block else vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, distance double")
-        found = got if found is None else found.union(got)
+    ask = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("q")).filter("q is not null")
+    spread = lambda df, most: max(1, -(-df.count() // most))
+    blocks, sets = spread(rows, BLOCK_ROWS), spread(ask, BLOCK_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("set", every(sets))
+    ask = ask.withColumn("q_set", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int")).withColumn("q_block", every(blocks))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            none = pa.array([], pa.int64())
+            return pa.table({"query_id": none, "doc_id": none, "distance": pa.array([], pa.float64())})
+        matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        found = _nearest(left.column("doc_id").to_numpy(), matrix(left.column("v")), right.column("query_id").to_numpy(), matrix(right.column("q")), k)
+        return pa.table(dict(zip(("query_id", "doc_id", "distance"), found)))
+
+    found = base.groupBy("block", "set").cogroup(ask.groupBy("q_block", "q_set")).applyInArrow(meet, "query_id long, doc_id long, distance double")
     found = found.withColumn("distance", F.round("distance", 6))
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("score", F.round(1 / (1 + F.col("distance")), 6))

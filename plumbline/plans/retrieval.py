@@ -58,7 +58,7 @@ def ret_rerank(spark, sf):
 
 
 @query("ret_ann")
-def ret_ann(spark, sf, cells=16, probes=8, k=5):
+def ret_ann(spark, sf, cells=16, probes=12, k=5):
     """Inverted lists: k-means cells, the nearest cells of a query, exact ranks there."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
