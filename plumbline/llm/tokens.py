@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Words that a worker keeps; beyond, only those of the portion at hand stay.
-KEEP = 1_200_000
+KEEP = 1_000_000
 #: A word of more bytes is encoded but not kept.
 LONG = 128
 #: Words that are encoded as one text.
 JOINED = 256
 #: Bytes of text that are encoded at a time.
-PORTION = 8 << 20
+PORTION = 4 << 20
 #: Marks that are taken off a part's end at most; a part with more is one word.
 _MARKS = 8
 _ENCODERS: dict = {}

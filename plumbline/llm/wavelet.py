@@ -32,8 +32,9 @@ from .tokens import encoder
 
 MAGIC = b"WVMX0001"
 BLOCK_BITS = 1 << 16
-#: UTF-8 bytes of text in a shard, and in a task that writes shards.
-SHARD_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: UTF-8 bytes of text in a shard, and in a task that writes shards; beyond so
+#: many tasks each has more (its sort spills, and it still holds one shard).
+SHARD_BYTES, TASK_BYTES, TASKS = 8 << 20, 24 << 20, 50_000
 NULL_ID = -(1 << 63)
 
 
@@ -169,7 +170,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(TASKS, -(-size // TASK_BYTES)))
     dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "t")
     folder = fresh_path(docs.sparkSession, "wavelet")
 
