@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 #: The bound of the sample that the classifier is fitted on, for each language.
 PER_LANGUAGE = 500
-#: Parts that a language's rows are dealt over when the sample is chosen.
-SALTS = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
 UNKNOWN = "und"
@@ -142,12 +140,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    # the least hashes of a language, first in each of its salted parts, then over what these leave
-    keyed = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(SALTS)))
-    for by in (["lang", "salt"], ["lang"]):
-        order = Window.partitionBy(*by).orderBy("h", "id")
-        keyed = keyed.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    sample = rows.join(F.broadcast(keyed.select("id").distinct()), "id", "left_semi")  # per_language ids a language
+    # about four times as many ids as are wanted pass a language's threshold, so that few are ranked
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))  # a row a language
+    place = F.col("h") / F.lit(2.0**64) + 0.5  # from 0 to 1 in the order of h
+    few = ids.join(F.broadcast(sizes), "lang").filter(place * F.col("n") <= 4 * per_language).select("id", "lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("id").distinct()
+    sample = rows.join(F.broadcast(chosen), "id", "left_semi")  # per_language ids a language
     # one text of each id, so that a repeated id doesn't break the bound
     sample = sample.groupBy("id", "lang").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("id", "t", "lang")
 
