@@ -8,6 +8,8 @@ from ..functions.text import AFTER, BEFORE
 from ..operators import quality as Q
 from ..operators.profile import r6, stacked
 from ..operators.tables import schema_diff
+from ..registry import oracle_of
+from . import profile, stats  # their SQL is part of a run's
 from .base import events, query, table
 
 RULES = [
@@ -82,15 +84,27 @@ def dq_completeness(spark, sf):
     return d.select("doc_id", F.explode(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("dq_validate_run")
+def _run_sql() -> str:
+    """The run from the SQL of its parts."""
+    part = lambda check, item, value, name: f"SELECT '{check}' AS \"check\", {item} AS item, CAST({value} AS DOUBLE) AS value FROM ({oracle_of(name)})"
+    parts = [
+        ("schema", '"column"', "CASE WHEN status = 'compatible' THEN 0 ELSE 1 END", "dq_schema"), ("types", '"column"', "offenders", "dq_types"), ("anomalies", "''", "count(*)", "dq_anomalies"),
+        ("anomaly_pct", "''", "round(100 * count(*) / (SELECT count(*) FROM documents), 6)", "dq_anomalies"), ("completeness", "issue", "n", "dq_completeness"), ("dominance", '"column"', "percent", "agg_dominance"), ("drift", "feature", "statistic", "stat_detect_all"),
+    ]
+    return " UNION ALL ".join(["SELECT 'rows' AS \"check\", '' AS item, CAST(count(*) AS DOUBLE) AS value FROM documents", *[part(*p) for p in parts]])
+
+
+@query("dq_validate_run", _run_sql())
 def dq_validate_run(spark, sf):
     """Schema, types, anomalies, completeness, dominance and drift, as one long table."""
-    from . import profile, stats
-
     d = table(spark, sf, "documents")
     n = d.agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("check"), F.lit("").alias("item"), "value")
-    out = n.union(dq_types(spark, sf).select(F.lit("types"), "column", F.col("offenders").cast("double")))
-    out = out.union(dq_anomalies(spark, sf).agg(F.count("*").cast("double").alias("v")).select(F.lit("anomalies"), F.lit(""), "v"))
+    out = n.union(dq_schema(spark, sf).select(F.lit("schema"), "column", F.when(F.col("status") == "compatible", 0.0).otherwise(1.0)))
+    out = out.union(dq_types(spark, sf).select(F.lit("types"), "column", F.col("offenders").cast("double")))
+    found = dq_anomalies(spark, sf).agg(F.count("*").cast("double").alias("v"))  # one row
+    out = out.union(found.select(F.lit("anomalies"), F.lit(""), "v"))
+    share = found.join(F.broadcast(n)).select(F.lit("anomaly_pct"), F.lit(""), r6(F.try_divide(100 * F.col("v"), "value")))
+    out = out.union(share)
     out = out.union(dq_completeness(spark, sf).select(F.lit("completeness"), "issue", F.col("n").cast("double")))
     out = out.union(profile.agg_dominance(spark, sf).select(F.lit("dominance"), "column", "percent"))
     return out.union(stats.stat_detect_all(spark, sf).select(F.lit("drift"), "feature", "statistic"))

@@ -32,6 +32,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is already registered."""
+    return _SQL[name]
+
+
 def load() -> None:
     """Import the modules that register queries."""
     from .plans import monitor, profile, quality, retrieval, stats, tables, text  # noqa: F401
