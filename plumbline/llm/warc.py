@@ -45,9 +45,10 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     held = materialise(held.filter("n > 1").select("sha1", "bytes", "top"), "payloads")
     joined = rows.join(held, ["sha1", "bytes"], "left").withColumn("refers", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")))
     joined = joined.withColumn("body", F.when(F.col("refers").isNull(), F.col("body")).otherwise(F.lit(b"")))
-    # never empty; an inner explode would work the chunks out once more in a filter
-    parts = F.expr(f"transform(sequence(0, greatest(0, cast((octet_length(body) - 1) div {chunk} as int))), k -> substring(body, k * {chunk} + 1, {chunk}))")
-    return joined.select("id", "url", "bytes", "sha1", "refers", F.posexplode_outer(parts).alias("chunk_no", "chunk"))
+    # chunk numbers are exploded, and each chunk is cut as its row is made, so a record is never held twice
+    numbers = F.expr(f"sequence(0, greatest(0, cast((octet_length(body) - 1) div {chunk} as int)))")
+    one = joined.select("id", "url", "bytes", "sha1", "refers", "body", F.explode(numbers).alias("chunk_no"))
+    return one.select("id", "url", "bytes", "sha1", "refers", "chunk_no", F.expr(f"substring(body, chunk_no * {chunk} + 1, {chunk})").alias("chunk"))
 
 
 def _clean(s: str | None) -> str:
