@@ -227,23 +227,33 @@ def weights(df: DataFrame, features: list[str]) -> DataFrame:
     return out.join(F.broadcast(mean)).withColumn("weight", r6(F.col("_w") / F.col("_mean"))).select(*df.columns, "weight")
 
 
-def group_thresholds(df: DataFrame, group: str, score: str, truth: Column, grid: int = 20) -> DataFrame:
-    """Per group the threshold of a grid with the best accuracy whose selection
-    rate is within 0.1 of the overall positive rate (the least gap if none is);
-    a group with one label keeps 0.5.  Scores are from 0 to 1."""
+def group_thresholds(df: DataFrame, group: str, score: str, truth: Column, grid: int = 20, constraint: str = "parity") -> DataFrame:
+    """Per group the threshold of an even grid with the best accuracy whose gap
+    is within 0.1 (the least gap if none is).
+
+    With ``parity`` the gap is that of the selection rate to the overall
+    positive rate.  With ``odds`` it is the larger of the gaps of true and of
+    false positive rate to those which the most accurate common threshold has
+    over the groups of both labels.  A group with one label keeps 0.5; it has
+    no gap of odds.  Scores are from 0 to 1."""
     rows = df.select(F.col(group).alias("grp"), F.least(F.floor(F.col(score) * grid), F.lit(grid - 1)).cast("int").alias("bin"), truth.cast("long").alias("y"))
     per = rows.groupBy("grp", "bin").agg(F.count("*").alias("c"), F.sum("y").alias("p"))  # grid rows a group at most
-    total = per.groupBy("grp").agg(F.sum("c").alias("n"), F.sum("p").alias("pos"))
-    base = per.agg((F.sum("p") / F.sum("c")).alias("base"))
     cut = per.select("grp", "c", "p", "bin", F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("t"))
     up = F.col("bin") >= F.col("t")
-    s = cut.groupBy("grp", "t").agg(F.sum(F.when(up, F.col("c")).otherwise(0)).alias("called"), F.sum(F.when(up, F.col("p")).otherwise(0)).alias("tp")).join(total, "grp").join(F.broadcast(base))
-    gap = F.abs(F.col("called") / F.col("n") - F.col("base"))
-    acc = (F.col("tp") + (F.col("n") - F.col("called")) - (F.col("pos") - F.col("tp"))) / F.col("n")
-    s = s.withColumn("gap", F.round(gap, 9)).withColumn("acc", F.round(acc, 9))
+    s = cut.groupBy("grp", "t").agg(F.sum(F.when(up, F.col("c")).otherwise(0)).alias("called"), F.sum(F.when(up, F.col("p")).otherwise(0)).alias("tp"), F.sum("c").alias("n"), F.sum("p").alias("pos"))
+    both = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+    right = lambda f: (f("tp") + (f("n") - f("called")) - (f("pos") - f("tp"))) / f("n")
+    if constraint == "parity":
+        s = s.join(F.broadcast(per.agg((F.sum("p") / F.sum("c")).alias("base"))))  # one row
+        gap = F.abs(F.col("called") / F.col("n") - F.col("base"))
+    elif constraint == "odds":
+        rates = s.filter(both).groupBy("t").agg(F.round(-right(F.sum), 9).alias("wrong"), (F.sum("tp") / F.sum("pos")).alias("tpr"), ((F.sum("called") - F.sum("tp")) / (F.sum("n") - F.sum("pos"))).alias("fpr"))
+        s = s.join(F.broadcast(rates.agg(F.min(F.struct("wrong", "t", "tpr", "fpr")).alias("aim"))))  # one row
+        off = lambda part, of, rate: F.abs(F.try_divide(part, of) - F.col(rate))
+        gap = F.when(both, F.greatest(off(F.col("tp"), F.col("pos"), "aim.tpr"), off(F.col("called") - F.col("tp"), F.col("n") - F.col("pos"), "aim.fpr")))
+    else:
+        raise ValueError(f"unknown constraint {constraint!r}")
+    s = s.filter(both | (F.col("t") == grid // 2)).withColumn("gap", F.round(gap, 9)).withColumn("acc", F.round(right(F.col), 9))
     best = F.min(F.struct(F.when(F.col("gap") <= 0.1, 0).otherwise(1).alias("miss"), F.when(F.col("gap") <= 0.1, -F.col("acc")).otherwise(F.col("gap")).alias("k"), "t", "acc", "gap"))
-    out = s.groupBy("grp").agg(best.alias("b"), F.first("n").alias("n"), F.first("pos").alias("pos"))
-    one = (F.col("pos") == 0) | (F.col("pos") == F.col("n"))
-    return out.select("grp", "n", r6(F.when(one, F.lit(0.5)).otherwise(F.col("b.t") / grid)).alias("threshold"), r6(F.col("b.acc")).alias("accuracy"), r6(F.col("b.gap")).alias("gap"))
-
-
+    out = s.groupBy("grp").agg(best.alias("b"), F.first("n").alias("n"))
+    return out.select("grp", "n", r6(F.col("b.t") / grid).alias("threshold"), r6(F.col("b.acc")).alias("accuracy"), r6(F.col("b.gap")).alias("gap"))

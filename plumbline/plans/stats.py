@@ -319,12 +319,25 @@ def mit_effect(spark, sf):
     return a.join(F.broadcast(b)).select("before", "after", diff.alias("reduction"), r6(F.coalesce(F.try_divide(100 * diff, "before"), F.lit(0.0))).alias("percent"))  # one row each
 
 
-@query("mit_thresholds", f"""WITH {_LAB}, r AS (SELECT lang AS grp, CAST(least(floor(least(n_chars, 5000) / 5000 * 20), 19) AS INTEGER) AS bin, quality AS y FROM lab), g AS (SELECT grp, count(*) AS n, sum(y) AS pos FROM r GROUP BY 1),
-    s AS (SELECT grp, t, count(CASE WHEN bin >= t THEN 1 END) AS called, coalesce(sum(CASE WHEN bin >= t THEN y END), 0) AS tp FROM r, (SELECT unnest(range(21))::INTEGER AS t) GROUP BY ALL),
-    m AS (SELECT s.grp, t, n, pos, round(abs(called / n - (SELECT sum(y) / count(*) FROM r)), 9) AS gap, round((tp + (n - called) - (pos - tp)) / n, 9) AS acc FROM s JOIN g USING (grp)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN gap <= 0.1 THEN 0 ELSE 1 END, CASE WHEN gap <= 0.1 THEN -acc ELSE gap END, t) AS i FROM m) SELECT grp, n, CASE WHEN pos = 0 OR pos = n THEN 0.5 ELSE round(t / 20, 6) END AS threshold, round(acc, 6) AS accuracy, round(gap, 6) AS gap FROM k WHERE i = 1""")
-def mit_thresholds(spark, sf):
+_CUTS = f"""{_LAB}, r AS (SELECT lang AS grp, CAST(least(floor(least(n_chars, 5000) / 5000 * 20), 19) AS INTEGER) AS bin, quality AS y FROM lab),
+    s AS (SELECT grp, t, count(*) AS n, sum(y) AS pos, count(CASE WHEN bin >= t THEN 1 END) AS called, coalesce(sum(CASE WHEN bin >= t THEN y END), 0) AS tp FROM r, (SELECT unnest(range(21))::INTEGER AS t) GROUP BY ALL),
+    v AS (SELECT *, pos > 0 AND pos < n AS ok, round((tp + (n - called) - (pos - tp)) / n, 9) AS acc FROM s)"""
+#: A group with one label has only the middle of the grid.
+_CUT = "k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN gap <= 0.1 THEN 0 ELSE 1 END, CASE WHEN gap <= 0.1 THEN -acc ELSE gap END, t) AS i FROM m WHERE ok OR t = 10) SELECT grp, n, round(t / 20, 6) AS threshold, round(acc, 6) AS accuracy, round(gap, 6) AS gap FROM k WHERE i = 1"
+
+
+def _thresholds(spark, sf, constraint):
     d = labelled(spark, sf).withColumn("score", F.least("n_chars", F.lit(5000)) / 5000)
-    return ST.group_thresholds(d, "lang", "score", F.col("quality") == 1)
+    return ST.group_thresholds(d, "lang", "score", F.col("quality") == 1, constraint=constraint)
+
+
+@query("mit_thresholds", f"WITH {_CUTS}, m AS (SELECT *, round(abs(called / n - (SELECT sum(y) / count(*) FROM r)), 9) AS gap FROM v), {_CUT}")
+def mit_thresholds(spark, sf):
+    return _thresholds(spark, sf, "parity")
 
 
+@query("mit_thresholds_odds", f"""WITH {_CUTS}, o AS (SELECT t, sum(tp) / sum(pos) AS tpr, (sum(called) - sum(tp)) / (sum(n) - sum(pos)) AS fpr, round((sum(tp) + (sum(n) - sum(called)) - (sum(pos) - sum(tp))) / sum(n), 9) AS a FROM v WHERE ok GROUP BY t),
+    aim AS (SELECT tpr, fpr FROM o ORDER BY a DESC, t LIMIT 1),
+    m AS (SELECT *, CASE WHEN ok THEN round(greatest(abs(tp / pos - (SELECT tpr FROM aim)), abs((called - tp) / (n - pos) - (SELECT fpr FROM aim))), 9) END AS gap FROM v), {_CUT}""")
+def mit_thresholds_odds(spark, sf):
+    return _thresholds(spark, sf, "odds")

@@ -182,3 +182,31 @@ def test_ret_ann_recall(spark, sf):
     big = "/root/testdata/sf0.1"
     got, want = ({(r.query_id, r.doc_id) for r in registry.queries()[n](spark, big).collect()} for n in ("ret_ann", "ret_similarity"))
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_group_thresholds_of_odds(spark):
+    rows = [("a", i / 40, int(i >= 20)) for i in range(40)] + [("b", i / 40, int(i >= 10)) for i in range(40)] + [("one", i / 40, 0) for i in range(40)] + [(None, 0.7, 1), (None, 0.1, 0)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+
+    def counts(part, t):
+        return [sum(y == v and min(int(s * 20), 19) >= t for _, s, y in part) for v in (1, 0)]
+
+    def right(part, t):
+        hit, wrong = counts(part, t)
+        return (hit + sum(y == 0 for _, _, y in part) - wrong) / len(part)
+
+    def rates(part, t):
+        return [c / sum(y == v for _, _, y in part) for c, v in zip(counts(part, t), (1, 0))]
+
+    both = [r for r in rows if r[0] != "one"]
+    aim = rates(both, max(range(21), key=lambda t: (round(right(both, t), 9), -t)))
+    want = {"one": (0.5, 0.5, None)}
+    for g in ("a", "b", None):
+        part = [r for r in rows if r[0] == g]
+        every = [(t / 20, round(right(part, t), 6), round(max(abs(x - z) for x, z in zip(rates(part, t), aim)), 6)) for t in range(21)]
+        near = [e for e in every if e[2] <= 0.1]
+        want[g] = max(near, key=lambda e: (e[1], -e[0])) if near else min(every, key=lambda e: (e[2], e[0]))
+    got = {r.grp: (r.threshold, r.accuracy, r.gap) for r in ST.group_thresholds(df, "g", "s", F.col("y") == 1, constraint="odds").collect()}
+    assert got == want
+    assert {r.grp: r.threshold for r in ST.group_thresholds(df, "g", "s", F.col("y") == 1).collect()}["one"] == 0.5
+    assert ST.group_thresholds(df.limit(0), "g", "s", F.col("y") == 1, constraint="odds").count() == 0
