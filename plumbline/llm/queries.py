@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, digest, lang_id, packing, secrets, sharding, simhash, warc, wavelet
+from . import ann, bpe, digest, lang_id, packing, secrets, sharding, simhash, warc, wavelet, word_table
 from .common import constants, free_names, range_bounds, range_bucket, ship, with_row_key
 
 #: Rows in a range of ids whose neighbours meet in one task, and ranges at most
@@ -116,9 +116,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "k", "start", F.char_length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return word_table.digests(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_wavelet": op2_wavelet, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_byte_bpe": op5_byte_bpe,
     "op6_ann": op6_ann, "op7_digest": op7_digest, "op8_language": op8_language, "op9_sharding": op9_sharding, "op10_secrets": op10_secrets,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 ORACLE_SQL = {
