@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, digest, lang_id, packing, secrets, sharding, simhash, warc, wavelet, word_table
+from . import ann, bpe, digest, lang_id, merkle, packing, secrets, sharding, simhash, warc, wavelet, word_table
 from .common import constants, free_names, range_bounds, range_bucket, ship, with_row_key
 
 #: Rows in a range of ids whose neighbours meet in one task, and ranges at most
 #: (then a range holds more rows; its sort and its window spill).
 CHAIN_ROWS, CHAINS = 2048, 65_536
+#: Columns of a leaf of the manifest, in their order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +120,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "k", "start", F.char_length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = [F.col(c) for c in LEAF if c != "text"] + [F.translate("text", string.ascii_uppercase, string.ascii_lowercase)]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = merkle.manifest(docs, LEAF, "source", "doc_id", F.when(tampered, merkle.leaf_digest(found)))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    proof = F.sha2(F.lower(F.array_join(F.transform("path", F.hex), "")).cast("binary"), 256)
+    return out.select("doc_id", text("leaf"), text("subroot"), text("root"), proof.alias("proof_sha256"), text("folded").alias("folded_root"), "verified")
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return word_table.digests(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -123,10 +137,44 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_wavelet": op2_wavelet, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_byte_bpe": op5_byte_bpe,
     "op6_ann": op6_ann, "op7_digest": op7_digest, "op8_language": op8_language, "op9_sharding": op9_sharding, "op10_secrets": op10_secrets,
-    "op13_word_bpe": op13_word_bpe,
+    "op12_merkle": op12_merkle, "op13_word_bpe": op13_word_bpe,
 }
 
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of ASCII text, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0::BIGINT for _ in range(8)]), lambda x, _z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda h: ascii(h)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in [*LEAF[:-1], text]) + ")"
+    low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    rise = lambda keys, name: f"""SELECT {keys}lvl + 1, i // 16, sha256(string_agg(dig, '' ORDER BY i)) FROM
+        (SELECT *, count(*) OVER (PARTITION BY {keys}lvl) AS m FROM {name}) WHERE m > 1 GROUP BY {keys}lvl, i // 16"""
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(':' || source, '') AS tree, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(low)} END AS now FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+        up(tree, lvl, i, dig) AS (SELECT tree, 0, i, leaf FROM leaves UNION ALL {rise('tree, ', 'up')}),
+        subs AS (SELECT tree, dig AS subroot, lvl AS h, row_number() OVER (ORDER BY tree) - 1 AS r FROM up u WHERE lvl = (SELECT max(lvl) FROM up v WHERE v.tree = u.tree)),
+        high(lvl, i, dig) AS (SELECT 0, r, subroot FROM subs UNION ALL {rise('', 'high')}),
+        nodes AS (SELECT u.tree, lvl AS step, lvl, i, dig FROM up u JOIN subs s ON u.tree = s.tree AND lvl < h UNION ALL SELECT s.tree, h + lvl, lvl, i, dig FROM high, subs s WHERE lvl < (SELECT max(lvl) FROM high)),
+        fold(tree, i, step, dig, proof) AS (
+            SELECT tree, i, 0, coalesce(now, leaf), '' FROM leaves
+            UNION ALL
+            SELECT f.tree, f.i, f.step + 1, sha256(string_agg(CASE WHEN n.i = f.own THEN f.dig ELSE n.dig END, '' ORDER BY n.i)), any_value(proof) || coalesce(string_agg(CASE WHEN n.i <> f.own THEN n.dig END, '' ORDER BY n.i), '')
+            FROM (SELECT f.*, CASE WHEN step < h THEN i // (1::BIGINT << (4 * step)) ELSE r // (1::BIGINT << (4 * (step - h))) END AS own FROM fold f JOIN subs USING (tree)) f
+            JOIN nodes n ON n.tree = f.tree AND n.step = f.step AND n.i // 16 = f.own // 16
+            GROUP BY f.tree, f.i, f.step),
+        done AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY tree, i ORDER BY step DESC) = 1),
+        root AS (SELECT dig AS root FROM high ORDER BY lvl DESC LIMIT 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, dig AS folded_root, dig = root AS verified FROM leaves JOIN done USING (tree, i) JOIN subs USING (tree), root
+    """
+
+
 ORACLE_SQL = {
+    "op12_merkle": _merkle_sql(),
     # records: equal payloads of 1000 bytes or more revisit that with the largest id
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
