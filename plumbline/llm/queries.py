@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, digest, lang_id, merkle, packing, secrets, sharding, simhash, warc, wavelet, word_table
+from . import ann, bpe, digest, lang_id, merkle, packing, runs, secrets, sharding, simhash, warc, wavelet, word_table
 from .common import constants, free_names, range_bounds, range_bucket, ship, with_row_key
 
 #: Rows in a range of ids whose neighbours meet in one task, and ranges at most
@@ -120,6 +120,30 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "k", "start", F.char_length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(w, a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text"))
+    found = runs.periodic_runs(docs.select("doc_id", text.alias("text")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return out.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = [F.col(c) for c in LEAF if c != "text"] + [F.translate("text", string.ascii_uppercase, string.ascii_lowercase)]
@@ -137,7 +161,7 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_wavelet": op2_wavelet, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_byte_bpe": op5_byte_bpe,
     "op6_ann": op6_ann, "op7_digest": op7_digest, "op8_language": op8_language, "op9_sharding": op9_sharding, "op10_secrets": op10_secrets,
-    "op12_merkle": op12_merkle, "op13_word_bpe": op13_word_bpe,
+    "op11_runs": op11_runs, "op12_merkle": op12_merkle, "op13_word_bpe": op13_word_bpe,
 }
 
 
@@ -148,6 +172,24 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda h: ascii(h)::BIGINT)), lambda c, b: {bits}), 4294967295)"
 
 
+# pairs of equal words q apart that follow each other are stretches of period q
+_RUNS_SQL = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+    k AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, h // 10 AS g FROM d),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM k),
+    words AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+    pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+    best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+    listed AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256 FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+    FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _merkle_sql() -> str:
     leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in [*LEAF[:-1], text]) + ")"
     low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -174,6 +216,7 @@ def _merkle_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op11_runs": _RUNS_SQL,
     "op12_merkle": _merkle_sql(),
     # records: equal payloads of 1000 bytes or more revisit that with the largest id
     "op3_warc": """
