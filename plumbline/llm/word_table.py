@@ -31,9 +31,9 @@ from ..shared import fresh_path
 from .bpe import SPACE
 
 #: Characters of a block (one text more at most), and those cut at a time.
-BLOCK, STEP = 16 << 20, 4 << 20
+BLOCK, STEP = 8 << 20, 4 << 20
 #: Bytes of text for which there is a bucket of words.
-BUCKET = 32 << 20
+BUCKET = 16 << 20
 #: Places of a text that are worked on at a time.
 PLACES = 1 << 21
 
@@ -42,34 +42,53 @@ _STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 #: A stretch of letters that all versions of Unicode know, one blank before it, one mark after it.
 _PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
-_VOCABULARIES: dict = {}
+_HELD: dict = {}
+
+
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kind = spec["pre_tokenizer"]
+    if spec["model"]["type"] != "BPE" or spec["normalizer"] or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
+        raise ValueError("the file must be a byte-level BPE without a normalizer")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens must match as they are")
+    return spec
+
+
+def _alphabet() -> dict[str, int]:
+    """The file's character of each byte: printable ones are themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+class Pieces:
+    """The id-to-piece table of a tokenizer file."""
+
+    def __init__(self, path: str):
+        spec, byte = _spec(path), _alphabet()
+        named = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        piece = lambda t: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
+        self.table = pa.array([piece(named[i]) if i in named else b"" for i in range(max(named) + 1)], pa.large_binary())
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        taken = self.table.take(pa.array(ids[ids < len(self.table)]))
+        _, offsets, data = taken.buffers()
+        edges = np.frombuffer(offsets, np.int64)
+        return bytes(memoryview(data)[edges[0] : edges[len(taken)]]) if len(taken) else b""
 
 
 class Vocabulary:
-    """A worker's view of a tokenizer file."""
+    """A worker's view of a tokenizer file: its cutter, its model and its added tokens."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        kind = spec["pre_tokenizer"]
-        if spec["model"]["type"] != "BPE" or spec["normalizer"] or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
-            raise ValueError("the file must be a byte-level BPE without a normalizer")
-        added = spec["added_tokens"]
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
-            raise ValueError("added tokens must match as they are")
+        self.added = {t["content"]: t["id"] for t in _spec(path)["added_tokens"] if t["content"]}
         whole = Tokenizer.from_file(path)
         self.cutter, self.model = whole.pre_tokenizer, whole.model
-        self.added = {t["content"]: t["id"] for t in added if t["content"]}
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        # the alphabet of the file: printable bytes are themselves, the others follow from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in set(plain)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        named = {i: t for t, i in whole.get_vocab(with_added_tokens=True).items()}
-        piece = lambda t: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
-        self.byte = {b: c for c, b in byte.items()}
-        self.pieces = pa.array([piece(named[i]) if i in named else b"" for i in range(max(named) + 1)], pa.large_binary())
+        self.byte = {b: c for c, b in _alphabet().items()}
 
     def words(self, stretch: str) -> list[str]:
         if (m := _PLAIN.fullmatch(stretch)) is None:
@@ -78,21 +97,16 @@ class Vocabulary:
         word = word.encode().decode("latin-1").translate(self.byte)
         return [word, mark] if mark else [word]
 
-    def spell(self, ids: np.ndarray) -> bytes:
-        taken = self.pieces.take(pa.array(ids))
-        _, offsets, data = taken.buffers()
-        edges = np.frombuffer(offsets, np.int64)
-        return bytes(memoryview(data)[edges[0] : edges[len(taken)]]) if len(taken) else b""
-
     def ids(self, word: str) -> bytes:
         found = [self.added[word]] if word in self.added else [t.id for t in self.model.tokenize(word)]
         return np.array(found, "<u4").tobytes()
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+def _held(kind, path: str):
+    """A worker's own, loaded once."""
+    if (kind, path) not in _HELD:
+        _HELD[kind, path] = kind(path)
+    return _HELD[kind, path]
 
 
 class _Stretches(dict):
@@ -146,13 +160,22 @@ class _Block:
         self.found.append(np.concatenate(found))
         self.size += len(text)
 
+    def _parts(self, most: int = 1 << 20):
+        """The stretches of all texts, many at a time."""
+        held, n = [np.zeros(0, np.int32)], 0
+        for found in self.found:
+            held.append(found)
+            n += len(found)
+            if n >= most:
+                yield np.concatenate(held)
+                held, n = [np.zeros(0, np.int32)], 0
+        yield np.concatenate(held)
+
     def rows(self, number: int, buckets: int):
         """The block's texts as sequences of word numbers, then its words, a pack a bucket."""
         sizes, parts, words = np.array(self.known.sizes, np.int64), np.array(self.known.parts, np.int64), list(self.known.words)
-        starts, counts = np.cumsum(sizes) - sizes, np.zeros(len(words), np.int64)
-        for found in self.found:
-            for k in range(0, len(found), PLACES):
-                np.add.at(counts, parts[_spread(starts, sizes, found[k : k + PLACES])], 1)
+        starts, often = np.cumsum(sizes) - sizes, sum(np.bincount(f, minlength=len(sizes)) for f in self._parts())
+        counts = np.bincount(parts, np.repeat(often, sizes), len(words))
         bucket = np.array([zlib.crc32(w.encode()) for w in words], np.int64) % buckets
         order = np.lexsort((-counts, bucket))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -217,7 +240,7 @@ def cut(docs: DataFrame, path: str, buckets: int, id_col: str = "doc_id", text_c
     """
 
     def run(batches):
-        v, task, number = vocabulary(path), TaskContext.get().partitionId(), 0
+        v, task, number = _held(Vocabulary, path), TaskContext.get().partitionId(), 0
         block = _Block(v)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -235,7 +258,7 @@ def encode_words(packs: DataFrame, path: str) -> DataFrame:
     """(block, bucket, sizes, ids) of packs of words: each distinct word of a bucket is encoded once."""
 
     def run(group: pa.Table) -> pa.Table:
-        v, known, sizes, ids = vocabulary(path), {}, [], []
+        v, known, sizes, ids = _held(Vocabulary, path), {}, [], []
         for pack in group.column("seq"):
             found = []
             for w in _unzipped(pack.as_py()).decode().split("\n"):
@@ -300,17 +323,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     schema = StructType([*encoded.schema]).add(out_col, "string")
     where = encoded.columns.index(ids_col)
 
-    def spell(v: Vocabulary, raw: bytes | None) -> str | None:
+    def spell(v: Pieces, raw: bytes | None) -> str | None:
         if raw is None:
             return None
-        ids, parts = np.frombuffer(raw, "<u4"), []
-        for k in range(0, len(ids), PLACES):
-            some = ids[k : k + PLACES]
-            parts.append(v.spell(some[some < len(v.pieces)]))
-        return b"".join(parts).decode("utf-8", "replace")
+        ids = np.frombuffer(raw, "<u4")
+        return b"".join(v.spell(ids[k : k + PLACES]) for k in range(0, len(ids), PLACES)).decode("utf-8", "replace")
 
     def run(batches):
-        v = vocabulary(path)
+        v = _held(Pieces, path)
         for b in batches:
             at, size = 0, 0
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in b.column(where)]
