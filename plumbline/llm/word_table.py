@@ -272,10 +272,10 @@ def encode_words(packs: DataFrame, path: str) -> DataFrame:
     return packs.groupBy("bucket").applyInArrow(run, "block long, bucket int, sizes binary, ids binary")
 
 
-def _meet(texts: pa.Table, packs: pa.Table, buckets: int) -> pa.Table:
-    """The ids of a block's texts, from its words' ids."""
+def _meet(texts: pa.Table, packs: pa.Table, buckets: int, pieces: Pieces | None) -> pa.Table:
+    """The ids of a block's texts, from its words' ids, and what the ids spell."""
     counts, ids = ([_numbers(_unzipped(x.as_py())) for x in packs.column(c)] for c in ("sizes", "ids"))
-    own, out = packs.column("bucket").to_pylist(), []
+    own, out, decoded = packs.column("bucket").to_pylist(), [], []
     sizes = np.zeros(max((b + buckets * len(n) for b, n in zip(own, counts)), default=0), np.int64)
     starts, before = np.zeros(len(sizes), np.int64), 0
     for b, n in zip(own, counts):
@@ -286,13 +286,17 @@ def _meet(texts: pa.Table, packs: pa.Table, buckets: int) -> pa.Table:
     for seq in texts.column("seq"):
         at = _numbers(_unzipped(seq.as_py()))
         out.append(b"".join(flat[_spread(starts, sizes, at[k : k + PLACES])].tobytes() for k in range(0, len(at), PLACES)))
-    return pa.table({"id": texts.column("id"), "ids": pa.array(out, pa.binary())})
+        if pieces:
+            decoded.append(_spelled(pieces, out[-1]))
+    got = {"id": texts.column("id"), "ids": pa.array(out, pa.binary())}
+    return pa.table(got | {"decoded": pa.array(decoded, pa.string())} if pieces else got)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id_col, ids binary) per row: whole texts' ids, little-endian unsigned
     32-bit integers, as the tokenizers library encodes them without added
-    special tokens (such a token's string in a text is the token).
+    special tokens (such a token's string in a text is the token); and
+    ``decoded``, if it is asked for, the text that the ids spell.
 
     Null is empty and has no ids; rows with null or repeated ids are encoded
     like any other; an empty table gives an empty result; other columns are
@@ -308,12 +312,21 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = spark.table(name)
     coded = encode_words(rows.filter("bucket is not null").select("block", "bucket", "seq"), path)
     texts = rows.filter("bucket is null").select("block", "id", "seq")
+
+    def meet(t: pa.Table, p: pa.Table) -> pa.Table:
+        return _meet(t, p, buckets, _held(Pieces, path) if decoded else None)
+
     # a block of empty texts has no words, and its texts have no ids
-    met = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda t, p: _meet(t, p, buckets), "id long, ids binary")
+    met = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(meet, "id long, ids binary" + ", decoded string" * decoded)
     spark.sql(f"DROP TABLE {name}")
     return met.withColumnRenamed("id", id_col)
 
 
+def _spelled(pieces: Pieces, raw: bytes) -> str:
+    ids = np.frombuffer(raw, "<u4")
+    return b"".join(pieces.spell(ids[k : k + PLACES]) for k in range(0, len(ids), PLACES)).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``out_col``: the text that the ids of each row spell.
 
@@ -323,12 +336,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     schema = StructType([*encoded.schema]).add(out_col, "string")
     where = encoded.columns.index(ids_col)
 
-    def spell(v: Pieces, raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        ids = np.frombuffer(raw, "<u4")
-        return b"".join(v.spell(ids[k : k + PLACES]) for k in range(0, len(ids), PLACES)).decode("utf-8", "replace")
-
     def run(batches):
         v = _held(Pieces, path)
         for b in batches:
@@ -338,7 +345,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
                 size += n
                 if size >= 16 << 20 or end == len(sizes):
                     some = b.slice(at, end - at)
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array([spell(v, x.as_py()) for x in some.column(where)], pa.string())], [*b.schema.names, out_col])
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array([_spelled(v, x.as_py()) if x.is_valid else None for x in some.column(where)], pa.string())], [*b.schema.names, out_col])
                     at, size = end, 0
 
     return encoded.mapInArrow(run, schema)
@@ -346,7 +353,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``encode`` and ``decode`` reduced to id_col, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path, id_col, text_col), path)
+    both = encode(docs, path, id_col, text_col, decoded=True)
     return both.select(
         id_col, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     )
