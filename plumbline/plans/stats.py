@@ -15,13 +15,28 @@ def _ks_sql(src, v, new):
     return f"(SELECT max(abs(fb / nb - fw / nw)) AS d, max(nb) AS n, max(nw) AS m FROM (SELECT v, sum(sum(b)) OVER (ORDER BY v) AS fb, sum(sum(w)) OVER (ORDER BY v) AS fw, sum(sum(b)) OVER () AS nb, sum(sum(w)) OVER () AS nw FROM (SELECT {v} AS v, CASE WHEN {new} THEN 0 ELSE 1 END AS b, CASE WHEN {new} THEN 1 ELSE 0 END AS w FROM {src} WHERE {v} IS NOT NULL) GROUP BY v))"
 
 
-#: The asymptotic tail of d over n and m values, and that of a chi-square of k degrees.
-_KS_P = "CASE WHEN d * sqrt(n * m / (n + m)) < 1e-9 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * d * d * n * m / (n + m)))))) END"
+#: Shares of lattice paths that have left the band, diagonal after diagonal; each point adds to the two next ones.
+_KS_EXACT = """(WITH RECURSIVE path(s, i, v) AS (
+        SELECT 0::BIGINT, 0::BIGINT, 0.0::DOUBLE WHERE greatest(n, m) <= 10000
+        UNION ALL
+        SELECT s, i, CASE WHEN abs(i * (m::BIGINT // gcd(n::BIGINT, m::BIGINT)) - (s - i) * (n::BIGINT // gcd(n::BIGINT, m::BIGINT))) >= round(d * (n::BIGINT // gcd(n::BIGINT, m::BIGINT)) * m) THEN 1.0::DOUBLE ELSE v END
+        FROM (SELECT s + 1 AS s, i + k AS i, sum(v * CASE WHEN k = 1 THEN i + 1 ELSE s + 1 - i END / (s + 1)) AS v
+              FROM path, (VALUES (0), (1)) AS t(k) WHERE s < n + m AND i + k <= n AND s + 1 - i - k <= m GROUP BY s + 1, i + k))
+    SELECT least(1.0, max(v)) FROM path WHERE s = n + m)"""
+_X = "(d * sqrt(n * m / (n + m)))"
+#: The tail of d over n and m values: exact for small samples, else the limit's, by the series that converges where it is used.
+_KS_P = f"""CASE WHEN d <= 0 THEN 1.0 WHEN greatest(n, m) <= 10000 THEN {_KS_EXACT}
+    WHEN {_X} < 1.18 THEN greatest(0.0, 1 - sqrt(2 * pi()) / {_X} * list_sum(list_transform(range(1, 8), lambda j: exp(-(2 * j - 1) * (2 * j - 1) * pi() * pi() / (8 * {_X} * {_X})))))
+    ELSE least(1.0, 2 * list_sum(list_transform(range(1, 8), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * {_X} * {_X})))) END"""
 
 
 def _chi_p(x, k):
+    """The tail of a chi-square of k degrees: one less the sum of its series, of as many terms as matter."""
     z, a = f"({x} / 2)", f"({k} / 2)"
-    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 OR {k} < 1 THEN 1.0 WHEN {z} > 300 THEN 0.0 ELSE 1 - list_sum(list_transform(range(0, 1500), lambda j: exp(({a} + j) * ln({z}) - {z} - lgamma({a} + j + 1)))) END"
+    # beyond 700 + 10 a the tail is under exp(-700); a list is made for no such row
+    terms = f"range(0, CAST(ceil(greatest(least({z}, 700 + 10 * {a}) - {a}, 0) + 12 * sqrt(least({z}, 700 + 10 * {a})) + 200) AS BIGINT))"
+    series = f"list_sum(list_transform({terms}, lambda j: exp(({a} + j) * ln({z}) - {z} - lgamma({a} + j + 1))))"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 OR {k} < 1 THEN 1.0 WHEN {z} > 700 + 10 * {a} THEN 0.0 ELSE greatest(0.0, 1 - {series}) END"
 
 
 def _drift_sql(src, v, new, extra=""):

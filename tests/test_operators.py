@@ -1,10 +1,15 @@
 """Golden cases, properties and plans of the operators."""
 
+import itertools
+import math
+from collections import Counter
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.functions.pvalues import chi2_sf, ks_sf
+from plumbline.functions.pvalues import chi2_sf, kolmogorov_sf, ks_exact, ks_sf
 from plumbline.operators import profile as P
 from plumbline.operators import quality as Q
 from plumbline.operators import retrieval as R
@@ -46,6 +51,68 @@ def test_p_values():
     assert ks_sf(0.0, 10, 10) == 1.0 and ks_sf(1.0, 1000, 1000) < 1e-9
 
 
+@pytest.mark.parametrize("x,p", [
+    # fixed values: printed tables of the Kolmogorov distribution
+    (1e-4, 1.0), (1e-3, 1.0), (0.01, 1.0), (0.1, 1.0), (0.3, 0.9999906), (0.4, 0.9971923), (0.5, 0.9639452), (0.82757, 0.5), (1.0, 0.2699997), (1.22385, 0.1), (1.35810, 0.05), (1.62762, 0.01), (2.0, 0.0006709), (3.0, 3.05e-8),
+])
+def test_kolmogorov_table(x, p):
+    assert abs(kolmogorov_sf(x) - p) < 1e-5
+
+
+def test_kolmogorov_series_meet():
+    assert abs(kolmogorov_sf(1.18 - 1e-12) - kolmogorov_sf(1.18)) < 1e-9
+
+
+def test_ks_exact_counts_paths():
+    """All orders of two small samples, one by one."""
+    for n in range(1, 7):
+        for m in range(1, 7):
+            gaps = Counter()
+            for first in itertools.combinations(range(n + m), n):
+                i, j, gap = 0, 0, Fraction(0)
+                for s in range(n + m):
+                    i, j = (i + 1, j) if s in first else (i, j + 1)
+                    gap = max(gap, abs(Fraction(i, n) - Fraction(j, m)))
+                gaps[gap] += 1
+            for d in gaps:
+                share = Fraction(sum(c for g, c in gaps.items() if g >= d), math.comb(n + m, n))
+                assert abs(ks_exact(float(d), n, m) - float(share)) < 1e-12
+
+
+def test_ks_exact_counts_paths_of_larger_samples():
+    """Integer counts of the paths inside the band, for all sizes up to 12."""
+    for n in range(1, 13):
+        for m in range(1, 13):
+            for k in (1, 2, n, n * m // 2, n * m - 1, n * m):
+                if not 0 < k <= n * m:
+                    continue
+                paths = {(0, 0): 1}
+                for i in range(n + 1):
+                    for j in range(m + 1):
+                        if i or j:
+                            paths[i, j] = 0 if abs(i * m - j * n) >= k else paths.get((i - 1, j), 0) + paths.get((i, j - 1), 0)
+                g = math.gcd(n, m)
+                want = 1 - Fraction(paths[n, m], math.comb(n + m, n)) if k % g == 0 else None
+                if want is not None:
+                    assert abs(ks_exact(k / (n * m), n, m) - float(want)) < 1e-12
+
+
+def test_ks_methods_meet():
+    for d in (0.008, 0.0136, 0.02, 0.03):
+        assert abs(ks_exact(d, 10_000, 10_000) - kolmogorov_sf(d * 5000**0.5)) < 1e-3
+
+
+@pytest.mark.parametrize("n", [100_000, 500_000, 50_000_000])
+def test_nearly_equal_samples_are_no_drift(n):
+    assert ks_sf(1 / n, n, n) == 1.0
+
+
+def test_numeric_drift_of_a_sample_without_one_row(spark):
+    df = spark.range(1_000_000).select((F.col("id") // 2).cast("double").alias("v"), (F.col("id") % 2 == 1).alias("new")).filter("not (new and v = 250000)")
+    one = ST.numeric_drift(df, "v", F.col("new")).first()
+    assert one.p == 1.0 and not one.drift
+
+
 def test_perf_metrics_golden(spark):
     rows = [(True, 2.5, 0.8, 0.75, 0.165, 0.8, 1, 1000.0), (True, 3.0, 0.75, 0.70, 0.165, 0.75, 2, 1000.0), (False, 9.0, None, None, None, None, None, 1000.0)]
     r = P.perf_metrics(spark.createDataFrame(rows, "success boolean, latency double, relevance double, composite double, groundedness double, retrieval double, doc_id long, index_size double")).first()
