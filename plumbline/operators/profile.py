@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
@@ -60,29 +62,28 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
             F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"),
             F.skewness(c).alias(f"g1_{c}"), F.kurtosis(c).alias(f"g2_{c}"),
         ]
-    one = df.agg(*aggs)
-    for c in columns:
-        one = one.join(F.broadcast(quantiles(df, c, [0.0, 0.25, 0.5, 0.75, 1.0]).withColumnRenamed("q", f"q_{c}")))  # one row each
     rows = []
     for c in columns:
-        n, q = F.col(f"n_{c}").cast("double"), F.col(f"q_{c}")
+        n = F.col(f"n_{c}").cast("double")
         skew = F.when(n > 2, F.col(f"g1_{c}") * F.sqrt(n * (n - 1)) / (n - 2))
         kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col(f"g2_{c}") + 6))
-        rows.append((c, [r6(F.col(f"mean_{c}")), r6(q[2]), r6(F.col(f"std_{c}")), r6(q[0]), r6(q[4]), r6(q[1]), r6(q[3]), F.round(skew, 5), F.round(kurt, 5)]))
-    return stacked(one, rows, ["mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis"])
+        rows.append((c, [r6(F.col(f"mean_{c}")), r6(F.col(f"std_{c}")), F.round(skew, 5), F.round(kurt, 5)]))
+    one = stacked(df.agg(*aggs), rows, ["mean", "std", "skewness", "kurtosis"])
+    # one pass for the quantiles of all columns
+    q = quantiles(melt(df, columns, "double"), "value", [0.0, 0.25, 0.5, 0.75, 1.0], by=["column"])
+    at = lambda i: r6(F.col("q")[i])
+    return one.join(F.broadcast(q), "column", "left").select("column", "mean", at(2).alias("median"), "std", at(0).alias("min"), at(4).alias("max"), at(1).alias("q25"), at(3).alias("q75"), "skewness", "kurtosis")
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Bounds q1 - 1.5 iqr and q3 + 1.5 iqr, and what lies strictly beyond."""
-    q = None
-    for c in columns:
-        one = quantiles(df, c, [0.25, 0.75]).withColumnRenamed("q", f"q_{c}")
-        q = one if q is None else q.join(F.broadcast(one))  # one row each
-    lo = lambda c: F.col(f"q_{c}")[0] - 1.5 * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
-    hi = lambda c: F.col(f"q_{c}")[1] + 1.5 * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
-    # the statistics are one row
-    one = df.join(F.broadcast(q)).agg(*[x for c in columns for x in (F.count_if((F.col(c) < lo(c)) | (F.col(c) > hi(c))).alias(f"k_{c}"), F.count(c).alias(f"n_{c}"), F.first(lo(c)).alias(f"lo_{c}"), F.first(hi(c)).alias(f"hi_{c}"))])
-    return stacked(one, [(c, [r6(F.col(f"lo_{c}")), r6(F.col(f"hi_{c}")), F.col(f"k_{c}"), r6(100 * F.col(f"k_{c}") / F.col(f"n_{c}"))]) for c in columns], ["lower", "upper", "outliers", "percent"])
+    counts = prefix_counts(melt(df, columns, "double"), "value", {"k": F.count("*")}, ["column"])
+    q = at_shares(counts, [0.25, 0.75], ["column"])  # a row a column
+    iqr = F.col("q")[1] - F.col("q")[0]
+    ends = q.select("column", (F.col("q")[0] - 1.5 * iqr).alias("lo"), (F.col("q")[1] + 1.5 * iqr).alias("hi"))
+    beyond = F.sum(F.when((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.col("k")).otherwise(0))
+    one = counts.join(F.broadcast(ends), "column").groupBy("column").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), beyond.alias("outliers"), F.sum("k").alias("n"))
+    return one.select("column", r6(F.col("lo")).alias("lower"), r6(F.col("hi")).alias("upper"), "outliers", r6(100 * F.col("outliers") / F.col("n")).alias("percent"))
 
 
 def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -120,11 +121,20 @@ def perf_metrics(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     The log has success, latency, relevance, composite, groundedness,
     retrieval, doc_id and index_size; scores of failures may be null.
     """
-    return log.groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), r6(F.coalesce(F.avg((~F.col("success")).cast("double")), F.lit(0.0))).alias("error_rate"), r6(F.coalesce(F.avg(F.when(F.col("success"), F.col("latency"))), F.lit(0.0))).alias("avg_latency"),
-        r6(F.coalesce(F.percentile(F.when(F.col("success"), F.col("latency")), 0.95), F.lit(0.0))).alias("p95_latency"), r6(F.coalesce(F.avg("relevance"), F.lit(0.0))).alias("avg_relevance"),
-        r6(F.avg("composite")).alias("avg_composite"), r6(F.min("composite")).alias("min_composite"), r6(F.avg("groundedness")).alias("avg_groundedness"), r6(F.avg("retrieval")).alias("avg_retrieval"),
-        F.count_distinct("doc_id").alias("distinct_docs"), F.round(F.coalesce(100 * F.count_distinct("doc_id") / F.avg("index_size"), F.lit(0.0)), 2).alias("coverage"),
+    by = by or []
+    zero = lambda c: r6(F.coalesce(c, F.lit(0.0)))
+    one = log.groupBy(*by).agg(
+        F.count("*").alias("n"), zero(F.avg((~F.col("success")).cast("double"))).alias("error_rate"), zero(F.avg(F.when(F.col("success"), F.col("latency")))).alias("avg_latency"),
+        zero(F.avg("relevance")).alias("avg_relevance"), r6(F.avg("composite")).alias("avg_composite"), r6(F.min("composite")).alias("min_composite"), r6(F.avg("groundedness")).alias("avg_groundedness"),
+        r6(F.avg("retrieval")).alias("avg_retrieval"), F.count_distinct("doc_id").alias("distinct_docs"), F.avg("index_size").alias("_size"),
+    )
+    # the percentile comes from running totals, so no task holds a group's latencies
+    p95 = quantiles(log.filter("success"), "latency", [0.95], by=by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("q")[0].alias("_p95"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    out = one.join(p95, same, "left") if by else one.join(F.broadcast(p95), how="left")  # one row each
+    return out.select(
+        *by, "n", "error_rate", "avg_latency", zero(F.col("_p95")).alias("p95_latency"), "avg_relevance", "avg_composite", "min_composite", "avg_groundedness", "avg_retrieval", "distinct_docs",
+        F.round(F.coalesce(100 * F.col("distinct_docs") / F.col("_size"), F.lit(0.0)), 2).alias("coverage"),
     )
 
 
@@ -155,43 +165,63 @@ def weighted_metrics(classes: DataFrame) -> DataFrame:
     return classes.agg(r6(F.sum("tp") / F.sum("support")).alias("accuracy"), w("precision").alias("precision"), w("recall").alias("recall"), w("f1").alias("f1"))
 
 
-def prefix_counts(df: DataFrame, value: str, sums: dict[str, Column], ranges: int = 256) -> DataFrame:
-    """Distinct values in order with sums and their running totals before each.
+#: Distinct values in a range of ``prefix_counts``.
+RANGE_VALUES = 100_000
 
-    Ranges of the value are found by approximate quantiles; totals of ranges
-    give offsets, and windows run inside a range only.
-    """
-    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(*[c.alias(n) for n, c in sums.items()])
-    cuts = per.agg(F.percentile_approx("v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 1000).alias("cuts"))
-    # one row of cut points
-    placed = per.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("v")))).drop("cuts")
-    totals = placed.groupBy("range").agg(*[F.sum(n).alias(f"t_{n}") for n in sums])
-    over_ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
-    offsets = totals.select("range", *[F.coalesce(F.sum(f"t_{n}").over(over_ranges), F.lit(0)).alias(f"o_{n}") for n in sums])
-    inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"i_{n}") for n in sums]).join(F.broadcast(offsets), "range")
-    return out.select("v", *sums, *[(F.col(f"o_{n}") + F.col(f"i_{n}")).alias(f"before_{n}") for n in sums])
-
-
-def quantiles(df: DataFrame, value: str, shares: list[float], disc: bool = False) -> DataFrame:
-    """One row with q, the exact quantiles of a column at some shares: the
-    values at a place, linear between two places, or with ``disc`` the first
-    value that at least the share of the rows doesn't exceed.
 
-    Places come from running totals over ranges, so no task holds all values.
+def prefix_counts(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """(by, v, sums, before_*, all_*): distinct values with sums, their running
+    totals before each and their totals, in the order of the values of each ``by``.
+
+    The sums of each value are written once.  They are dealt into ranges of
+    (by, v), as many as the values ask for; totals of ranges give offsets, and
+    windows run inside a range only.  Null values take no part; a null of
+    ``by`` is a group like any other.
     """
-    c = prefix_counts(df, value, {"k": F.count("*")})
-    total = c.agg(F.sum("k").alias("n"))  # one row
-    c = c.join(F.broadcast(total))
+    by = by or []
+    per = written(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(*[c.alias(n) for n, c in sums.items()]), "per-value")
+    ranges = -(-per.count() // RANGE_VALUES)
+    if ranges > 1:
+        placed = written(per.repartitionByRange(ranges, *by, "v").withColumn("_range", F.spark_partition_id()), "ranges")
+    else:
+        placed = per.withColumn("_range", F.lit(0))
+    totals = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])  # a row a range and group that has it
+    own = Window.partitionBy(*by)
+    upto = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_own"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(upto), F.lit(0)).alias(f"_o_{n}") for n in sums], *[F.sum(f"_t_{n}").over(own).alias(f"all_{n}") for n in sums],
+    )
+    inside = Window.partitionBy(*by, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_i_{n}") for n in sums])
+    same = F.col("_range") == F.col("_own")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = before.join(offsets, same)
+    return out.select(*by, "v", *sums, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"before_{n}") for n in sums], *[f"all_{n}" for n in sums])
+
+
+def at_shares(counts: DataFrame, shares: list[float], by: list[str] | None = None, disc: bool = False) -> DataFrame:
+    """(by, q) from ``prefix_counts`` with the sum k of rows; see ``quantiles``."""
     spots = []
-    for i, p in enumerate(shares):
-        place = F.ceil(F.col("n") * p) - 1 if disc else (F.col("n") - 1) * F.lit(float(p))
+    for p in shares:
+        place = F.ceil(F.col("all_k") * p) - 1 if disc else (F.col("all_k") - 1) * F.lit(float(p))
         low = F.greatest(F.floor(place), F.lit(0))
         has = lambda at: (F.col("before_k") <= at) & (at < F.col("before_k") + F.col("k"))
-        spots.append((F.max(F.when(has(low), F.col("v"))), F.max(F.when(has(F.least(low + 1, F.col("n") - 1)), F.col("v"))), F.first(place - low)))
-    one = c.agg(*[x.alias(f"{n}{i}") for i, three in enumerate(spots) for n, x in zip("lhw", three)])
-    at = lambda i: F.col(f"l{i}") if disc else F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * F.greatest(F.col(f"w{i}"), F.lit(0.0))
-    return one.select(F.array(*[at(i) for i in range(len(shares))]).alias("q"))
+        spots.append((F.max(F.when(has(low), F.col("v"))), F.max(F.when(has(F.least(low + 1, F.col("all_k") - 1)), F.col("v"))), F.max(place - low)))
+    one = counts.groupBy(*(by or [])).agg(*[x.alias(f"_{n}{i}") for i, three in enumerate(spots) for n, x in zip("lhw", three)])
+    at = lambda i: F.col(f"_l{i}") if disc else F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.greatest(F.col(f"_w{i}"), F.lit(0.0))
+    return one.select(*(by or []), F.array(*[at(i) for i in range(len(shares))]).alias("q"))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], disc: bool = False, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each ``by``, with q, the exact quantiles of a column
+    at some shares: the values at a place, linear between two places, or with
+    ``disc`` the first value that at least the share of the rows doesn't exceed.
+
+    Places come from running totals over ranges, so no task holds all values.
+    """
+    return at_shares(prefix_counts(df, value, {"k": F.count("*")}, by), shares, by, disc)
 
 
 def auc_ovr(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:

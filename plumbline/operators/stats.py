@@ -14,9 +14,9 @@ def ks(df: DataFrame, value: str, is_new: Column) -> DataFrame:
     """One row (d, n, m): the largest gap between two empirical distributions."""
     rows = df.withColumn("_new", is_new.cast("long"))
     c = prefix_counts(rows, value, {"b": F.sum(1 - F.col("_new")), "w": F.sum("_new")})
-    total = c.agg(F.sum("b").alias("n"), F.sum("w").alias("m"))  # one row
-    gap = F.abs((F.col("before_b") + F.col("b")) / F.col("n") - (F.col("before_w") + F.col("w")) / F.col("m"))
-    return c.join(F.broadcast(total)).agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
+    gap = F.abs((F.col("before_b") + F.col("b")) / F.col("all_b") - (F.col("before_w") + F.col("w")) / F.col("all_w"))
+    one = c.agg(F.max(gap).alias("d"), F.max("all_b").alias("n"), F.max("all_w").alias("m"))
+    return one.withColumn("d", F.when((F.col("n") > 0) & (F.col("m") > 0), F.col("d")))
 
 
 def with_p(one: DataFrame, kind: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import itertools
 import math
+import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,7 +110,7 @@ def test_nearly_equal_samples_are_no_drift(n):
 
 
 def test_numeric_drift_of_a_sample_without_one_row(spark):
-    df = spark.range(1_000_000).select((F.col("id") // 2).cast("double").alias("v"), (F.col("id") % 2 == 1).alias("new")).filter("not (new and v = 250000)")
+    df = spark.range(1_000_000).select(F.floor(F.col("id") / 2).cast("double").alias("v"), (F.col("id") % 2 == 1).alias("new")).filter("not (new and v = 250000)")
     one = ST.numeric_drift(df, "v", F.col("new")).first()
     assert one.p == 1.0 and not one.drift
 
@@ -277,3 +279,28 @@ def test_group_thresholds_of_odds(spark):
     assert got == want
     assert {r.grp: r.threshold for r in ST.group_thresholds(df, "g", "s", F.col("y") == 1).collect()}["one"] == 0.5
     assert ST.group_thresholds(df.limit(0), "g", "s", F.col("y") == 1, constraint="odds").count() == 0
+
+
+def test_quantiles_by_group_in_small_ranges(spark, monkeypatch):
+    """Ranges of a few values, a group that spans many, null groups, null values and an empty table."""
+    monkeypatch.setattr(P, "RANGE_VALUES", 7)
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, float(rng.randrange(40)), rng.random()])) for g in ["a"] * 150 + ["b", None, None, None, None] + ["c"] * 3]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.q for r in P.quantiles(df, "x", [0.0, 0.3, 0.5, 0.95, 1.0], by=["g"]).collect()}
+    for g in {g for g, x in rows if x is not None}:
+        want = [float(v) for v in np.quantile([x for h, x in rows if h == g and x is not None], [0.0, 0.3, 0.5, 0.95, 1.0])]
+        assert got.pop(g) == pytest.approx(want)
+    assert not got
+    assert P.quantiles(df.filter("false"), "x", [0.5]).first().q == [None]
+    assert P.quantiles(df.filter("false"), "x", [0.5], by=["g"]).count() == 0
+    counts = P.prefix_counts(df, "x", {"k": F.count("*")}, ["g"]).collect()
+    for r in counts:
+        own = [x for h, x in rows if h == r.g and x is not None]
+        assert (r.before_k, r.k, r.all_k) == (sum(x < r.v for x in own), own.count(r.v), len(own))
+
+
+def test_perf_metrics_by_a_null_group(spark):
+    rows = [("d", True, 1.0), ("d", True, 3.0), (None, True, 5.0), (None, False, 9.0), ("f", False, 2.0)]
+    df = spark.createDataFrame(rows, "g string, success boolean, latency double").selectExpr("*", *[f"0.5D as {c}" for c in ("relevance", "composite", "groundedness", "retrieval")], "1L as doc_id", "10D as index_size")
+    assert {r.g: (r.n, r.p95_latency, r.avg_latency, r.distinct_docs) for r in P.perf_metrics(df, ["g"]).collect()} == {"d": (2, 2.9, 2.0, 1), None: (2, 5.0, 5.0, 1), "f": (1, 0.0, 0.0, 1)}
