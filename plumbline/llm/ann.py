@@ -12,7 +12,6 @@ with which held-out sample queries find ``TARGET`` of their neighbours.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,24 +156,32 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def _best(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k nearest rows but its own, by exact distance, ties by id."""
-    x, q, out = rows.astype(np.float64), queries.astype(np.float64), []
-    sq = (x * x).sum(axis=1)
+def _best(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance): the k ids nearest to each query, but its own, by
+    exact distance, ties by id.  The nearest of the rows that share an id counts."""
+    order = np.argsort(ids, kind="stable")
+    ids, x, q, out = ids[order], rows[order].astype(np.float64), queries.astype(np.float64), []
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    alone, sq = ids[first], (x * x).sum(axis=1)
+    rounding = 1e-9 * (1 + float(sq.max(initial=0)))
     for at in range(0, len(q), 256):
         d = sq[None, :] - 2 * q[at : at + 256] @ x.T + (q[at : at + 256] ** 2).sum(axis=1)[:, None]
+        least = d if len(first) == len(ids) else np.minimum.reduceat(d, first, axis=1)
         for j in range(len(d)):
-            row = np.where(ids == qids[at + j], np.inf, d[j])
-            n = min(k, int(np.isfinite(row).sum()))
+            each = np.where(alone == qids[at + j], np.inf, least[j])
+            n = min(k, int(np.isfinite(each).sum()))
             if not n:
                 continue
             # all that rounding could have put beyond the k-th
-            edge = np.partition(row, n - 1)[n - 1] + 1e-9 * (1 + float(sq.max()))
-            near = np.flatnonzero(row <= edge)
+            edge = np.partition(each, n - 1)[n - 1] + rounding
+            near = np.flatnonzero((d[j] <= edge) & (ids != qids[at + j]))
             dist = np.sqrt(((x[near] - q[at + j]) ** 2).sum(axis=1))
-            o = np.lexsort((ids[near], dist))[:k]
-            out.append(pd.DataFrame({"query_id": qids[at + j], "vec_id": ids[near][o], "score": dist[o]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+            nearest = np.lexsort((dist, ids[near]))
+            nearest = nearest[np.append(True, np.diff(ids[near][nearest]) != 0)]
+            o = nearest[np.lexsort((ids[near][nearest], dist[nearest]))[:k]]
+            out.append((np.full(len(o), qids[at + j]), ids[near][o], dist[o]))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return tuple(np.concatenate(c) for c in zip(none, *out))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -186,7 +193,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     part; nor do vectors whose length isn't the table's most frequent one
     (ties: the longest).  Rows that repeat an id are one candidate each, and
     the nearest of them counts; a repeated query id has its vectors ranked
-    together.  An empty table gives an empty result.
+    together.  Both hold within each block of rows, so an id may have any
+    number of rows.  An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("is_query")).filter("id is not null").filter(usable(F.col("v")))
@@ -204,28 +213,31 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
             order = np.argsort(-shared.value.scores(_matrix(b.column(1)).astype(np.float64)), axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], [*b.schema.names, "parts"])
 
-    routed = materialise(rows.mapInArrow(route, "id long, v array<double>, is_query boolean, parts array<int>"), "routed")
+    routed = rows.mapInArrow(route, "id long, v array<double>, is_query boolean, parts array<int>")
+    # rows are dealt by a number of their own, so that an id of many rows is in many blocks
+    routed = materialise(routed.withColumn("row", F.monotonically_increasing_id()), "routed")
     # blocks bound the rows and the queries that meet in a task, however full a part is
     spread = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
     full = routed.groupBy(F.col("parts")[0].alias("part")).agg(spread(F.count("*"), BLOCK_ROWS).alias("blocks"))
     asked = routed.filter("is_query").select(F.explode("parts").alias("part")).groupBy("part").agg(spread(F.count("*"), BLOCK_QUERIES).alias("sets"))
     grid = F.broadcast(full.join(asked, "part"))  # a row for each part
     base = (
-        routed.select("id", "v", F.col("parts")[0].alias("part")).join(grid, "part")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        routed.select("id", "v", "row", F.col("parts")[0].alias("part")).join(grid, "part")
+        .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         .withColumn("set", F.explode(F.expr("sequence(0, sets - 1)"))).select("part", "block", "set", "id", "v")
     )
     ask = (
-        routed.filter("is_query").select("id", "v", F.explode("parts").alias("part")).join(grid, "part")
-        .withColumn("set", F.pmod(F.xxhash64("id"), F.col("sets")).cast("int"))
+        routed.filter("is_query").select("id", "v", "row", F.explode("parts").alias("part")).join(grid, "part")
+        .withColumn("set", F.pmod(F.xxhash64("row"), F.col("sets")).cast("int"))
         .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("part", "block", "set", "id", "v")
     ).toDF("q_part", "q_block", "q_set", "q_id", "q_v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        got = _best(_matrix(left.column("v")), left.column("id").to_numpy(), _matrix(right.column("q_v")), right.column("q_id").to_numpy(), k)
-        return pa.Table.from_pandas(got, preserve_index=False)
+            got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            got = _best(_matrix(left.column("v")), left.column("id").to_numpy(), _matrix(right.column("q_v")), right.column("q_id").to_numpy(), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
 
     near = base.groupBy("part", "block", "set").cogroup(ask.groupBy("q_part", "q_block", "q_set")).applyInArrow(meet, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
