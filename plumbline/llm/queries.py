@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from . import ann, bpe, digest, lang_id, merkle, packing, runs, secrets, sharding, simhash, warc, wavelet, word_table
 from .common import constants, free_names, range_bounds, range_bucket, ship, with_row_key
 
-#: Rows in a range of ids whose neighbours meet in one task, and ranges at most
-#: (then a range holds more rows; its sort and its window spill).
+#: Rows in a range of ids whose neighbours meet in one task, and ranges of rows
+#: with and without an id at most (then a range holds more rows; its sort and
+#: its window spill).
 CHAIN_ROWS, CHAINS = 2048, 65_536
 #: Columns of a leaf of the manifest, in their order.
 LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -56,7 +57,7 @@ def with_next(rows: DataFrame, id_col: str, row_col: str, columns: list[str], pr
     that comes before it, so no window spans the table.  Null ids come last;
     rows that share an id, or have none, follow each other by a hash of
     ``row_col``, which is different in every row, and are several ranges where
-    they are many.  At most ``CHAINS`` first rows' keys reach the driver.
+    they are many.  At most 3 ``CHAINS`` first rows' keys reach the driver.
     """
     bucket, copy, sent, mix = free_names(rows, "bucket", "copy", "sent", "mix")
     n, none = rows.agg(F.count("*"), F.count_if(F.col(id_col).isNull())).first()
@@ -64,7 +65,7 @@ def with_next(rows: DataFrame, id_col: str, row_col: str, columns: list[str], pr
     often = {c: cuts.count(c) for c in set(cuts) if cuts.count(c) > 1} if len(set(cuts)) < len(cuts) else {}
     # an id that fills several ranges is a range of its own, dealt over as many parts
     bounds = sorted(set(cuts) | {c - 1 for c in often})
-    parts = [max(1, -(-none // CHAIN_ROWS))] + [often.get(c, 1) + (c in often) for c in bounds] + [1]
+    parts = [max(1, min(CHAINS, -(-none // CHAIN_ROWS)))] + [often.get(c, 1) + (c in often) for c in bounds] + [1]
     starts = [0]
     for p in parts:
         starts.append(starts[-1] + p)
