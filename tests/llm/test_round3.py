@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm import EDGES, frame
 from tokenizers import Tokenizer
 
-from plumbline.llm import merkle, queries, runs, word_table
+from plumbline.llm import ann, merkle, queries, runs, word_table
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -253,3 +253,67 @@ def test_empty_tables(spark, tmp_path):
     frame(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     for name in ("op11_runs", "op12_merkle", "op13_word_bpe"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def brute_nearest(rows, asked, k=10):
+    """{query id: [(id, distance)]}; an id's nearest row counts, a query id's rows are ranked together."""
+    out = {}
+    for q in {i for i, v in rows if i is not None and i % asked == 0}:
+        best = {}
+        for i, v in rows:
+            if i is not None and i != q:
+                d = min(float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())) for j, w in rows if j == q)
+                best[i] = min(best.get(i, np.inf), d)
+        out[q] = sorted(((d, i) for i, d in best.items()))[:k]
+    return out
+
+
+@pytest.mark.parametrize("blocks", [20_000, 9])
+def test_ann_repeated_ids(spark, blocks, monkeypatch):
+    """An id on a third of the rows, beside a query; queries of several rows; columns with the names used inside."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 5)
+    rng = np.random.default_rng(2)
+    rows = [(i % 60, rng.normal(size=4).tolist()) for i in range(80)] + [(7, [0.01 * k, 0.0, 0.0, 0.0]) for k in range(1, 41)] + [(10, [0.0, 0.0, 0.0, 0.001])] * 3 + [(None, [1.0] * 4)]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4, 5, 6, 7) for i, v in rows], "vec_id long, embedding array<double>, id int, v int, part int, block int, `set` int, row int, is_query int")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 10 == 0, parts=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = brute_nearest(rows, 10)
+    assert set(got) == set(want)
+    for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert [i for _, i, _ in found] == [i for _, i in want[q]]
+        assert [s for _, _, s in found] == pytest.approx([d for d, _ in want[q]], abs=1e-12)
+
+
+def test_ann_fewer_candidates_than_asked(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 1.0]), (2, [0.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0).collect()]
+    assert got == [(0, 1, 1, 1.0)]
+
+
+@pytest.mark.parametrize("most", [65_536, 3])
+def test_next_of_many_null_ids(spark, most, monkeypatch):
+    """A third of the rows without an id, another third under one id; ranges are bounded, and every row has its next."""
+    monkeypatch.setattr(queries, "CHAIN_ROWS", 5)
+    monkeypatch.setattr(queries, "CHAINS", most)
+    rows = [(None, f"n{k}", k) for k in range(60)] + [(7, f"h{k}", 100 + k) for k in range(60)] + [(k, f"t{k}", 200 + k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    collected = []
+    take = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(len(out := take(self))) or out)
+    out = queries.with_next(df, "doc_id", "row", ["text", "doc_id"], "next_")
+    monkeypatch.undo()
+    assert max(collected) <= 3 * most
+    got = {r.text: (r.doc_id, r.next_text, r.next_doc_id) for r in out.collect()}
+    assert len(got) == 180 and len({n for _, n, _ in got.values()}) == 180
+    # one cycle through all rows, ids descending, null ones last
+    order, at = [], min(got)
+    for _ in range(180):
+        order.append(got[at][0])
+        assert got[at][2] == got[got[at][1]][0]
+        at = got[at][1]
+    k = max(i for i in range(180) if (order[i - 1] is None) and order[i] is not None)
+    turned = [-1 if x is None else x for x in order[k:] + order[:k]]
+    assert turned == sorted(turned, reverse=True)
