@@ -39,4 +39,4 @@ def oracle_of(name: str) -> str:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import monitor, profile, quality, retrieval, stats, tables, text  # noqa: F401
+    from .plans import monitor, profile, quality, retrieval, stats, streams, tables, text  # noqa: F401

@@ -1,8 +1,8 @@
 """Aligned windows over a log: the same functions for a batch and for a stream.
 
-A streaming frame gets its watermark by ``late``; sustained breaches and
-absences need the order of windows, so they are batch operators over the
-windowed table that a stream writes.
+A streaming frame gets its watermark by ``late``.  Sustained breaches and
+absences need the order of windows: those here are of a batch; ``stateful``
+has them of a stream.
 """
 
 from __future__ import annotations
@@ -72,9 +72,13 @@ def ingest(spark: SparkSession, folder: str, schema: StructType, key: str, ts: s
     return s.withWatermark(ts, "10 minutes").dropDuplicatesWithinWatermark([key])
 
 
-def replay(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over what there is and write it as Parquet."""
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+def replay(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", listener=None) -> None:
+    """Run a stream over what there is and write it as Parquet.  A ``listener``
+    with ``add`` has heard of all batches when this returns."""
+    q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    for progress in q.recentProgress if listener is not None else ():
+        listener.add(progress)
 
 
 def decision(metrics: DataFrame) -> DataFrame:
