@@ -49,6 +49,38 @@ def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("column", "old", "new", change.alias("change"))
 
 
+def last_before(left: DataFrame, right: DataFrame, ts: str, by: list[str], columns: list[str]) -> DataFrame:
+    """``left`` with ``columns`` of the last row of ``right`` of the same ``by``
+    whose time isn't later, or nulls: an as-of join.
+
+    Both sides are one table in the order of (by, time), dealt into ranges.  A
+    window finds the last right row inside a range, and the last ones of the
+    ranges before give what is carried into it; so there is no join on an
+    inequality, and no key, however large, is one task.  Of right rows of one
+    time that with the greatest columns counts; a row without a time has no
+    last row, and is none.  Columns of ``right`` replace those of ``left`` that
+    have their names; null keys match null keys.
+    """
+    own = [c for c in left.columns if c not in columns]
+    value = F.struct(*columns)
+    a = left.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_l"))
+    b = right.filter(F.col(ts).isNotNull()).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(ts).alias("_t"), F.lit(0).alias("_side"), value.alias("_r"))
+    keys, order = [f"_k{i}" for i in range(len(by))], ["_t", "_side", "_r"]
+    both = a.unionByName(b, allowMissingColumns=True)
+    dealt = written(both.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "as-of")
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row a range and key that has it; null where the range has no right row of the key
+    ends = dealt.groupBy(*keys, "_range").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct(*order))).alias("_end"))
+    upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(c).alias(f"_c{c}") for c in keys], F.col("_range").alias("_own"), F.last("_end", ignorenulls=True).over(upto).alias("_carried"))
+    found = dealt.withColumn("_in", F.last("_r", ignorenulls=True).over(inside)).filter("_side = 1")
+    same = F.col("_range") == F.col("_own")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{c}"))
+    got = found.join(carried, same, "left").withColumn("_in", F.coalesce("_in", "_carried"))
+    return got.select("_l.*", *[F.col("_in")[c].alias(c) for c in columns])
+
+
 def aligned_counts(base: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """Counts of each category on both sides, missing ones 0; one pass over both."""
     both = base.select(F.col(column).alias("value"), F.lit(1).alias("b"), F.lit(0).alias("n")).union(new.select(column, F.lit(0), F.lit(1)))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType, TimestampType
 
 from ..operators.profile import perf_metrics, r6
+from ..operators.tables import last_before
 from ..shared import fresh_path
 from ..streaming import monitor as M
-from .base import LOG_SQL, events, log, query
+from .base import LOG_SQL, events, log, query, retrainings
 from .profile import PERF_SQL
 
 
@@ -28,10 +29,17 @@ def st_ingest(spark, sf):
     return spark.read.schema(schema).parquet(out).select("event_id", "user_id", r6(F.col("value")).alias("value"))
 
 
-@query("st_distribution", LOG_SQL + f"SELECT {start(3600)}, CAST(least(greatest(floor(composite / 0.01) + 1, 0), 101) AS INTEGER) AS bucket, count(*) AS n FROM log WHERE composite IS NOT NULL GROUP BY ALL")
+# Metric, width and number of its buckets.
+DISTRIBUTIONS = [("composite", 0.01, 100), ("groundedness", 0.01, 100), ("retrieval", 0.01, 100), ("retrieved", 1.0, 50)]
+
+
+@query("st_distribution", LOG_SQL + " UNION ALL ".join(
+    f"SELECT {start(60)}, '{m}' AS metric, CAST(least(greatest(floor({m} / {w}) + 1, 0), {n + 1}) AS INTEGER) AS bucket, count(*) AS n FROM log WHERE {m} IS NOT NULL GROUP BY ALL" for m, w, n in DISTRIBUTIONS))
 def st_distribution(spark, sf):
-    e = log(spark, sf).filter("composite is not null").withColumn("bucket", M.linear_bucket(F.col("composite"), 0.01, 100))
-    return M.windowed(e, 3600, {"n": F.count("*")}, ["bucket"])
+    """Three scores and the documents retrieved, by minute and bucket; entries without the field aren't counted."""
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), M.linear_bucket(F.col(m), w, n).alias("bucket")) for m, w, n in DISTRIBUTIONS])
+    e = log(spark, sf).select("ts", F.explode(cells).alias("c")).select("ts", "c.*").filter("bucket is not null")
+    return M.windowed(e, 60, {"n": F.count("*")}, ["metric", "bucket"])
 
 
 @query("st_exp_distribution", f"SELECT {start(3600)}, CAST(CASE WHEN value < 1 THEN 0 ELSE least(floor(round(ln(value) / ln(1.1), 9)) + 1, 51) END AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY ALL")
@@ -39,9 +47,11 @@ def st_exp_distribution(spark, sf):
     return M.windowed(events(spark, sf).withColumn("bucket", M.exponential_bucket(F.col("value"), 1.1, 50)), 3600, {"n": F.count("*")}, ["bucket"])
 
 
-@query("st_counter", LOG_SQL + f"SELECT {start(60)}, count(CASE WHEN composite < 0.25 THEN 1 END) AS low, count(*) AS n FROM log GROUP BY 1")
+@query("st_counter", LOG_SQL + f"SELECT {start(60)}, count(CASE WHEN composite < 0.25 THEN 1 END) AS low, count(*) AS n, count(retraining) AS retrainings FROM log LEFT JOIN (SELECT retraining FROM retrainings) ON event_id = retraining GROUP BY 1")
 def st_counter(spark, sf):
-    return M.windowed(log(spark, sf), 60, {"low": F.count_if(F.col("composite") < 0.25), "n": F.count("*")})
+    """Entries with a low composite score, all entries, and retrainings, by minute."""
+    e = log(spark, sf).join(F.broadcast(retrainings(spark, sf).select("retraining")), F.col("event_id") == F.col("retraining"), "left")  # a few rows
+    return M.windowed(e, 60, {"low": F.count_if(F.col("composite") < 0.25), "n": F.count("*"), "retrainings": F.count("retraining")})
 
 
 def _firing_sql(src, seconds, hold, by=""):
@@ -86,10 +96,20 @@ def _runs_sql(src, seconds, hold, by=""):
     return f"SELECT {key}min(start) AS since, max(start) AS until, count(*) AS windows FROM (SELECT *, epoch(start::TIMESTAMP) / {seconds} - row_number() OVER ({'PARTITION BY ' + by if by else ''} ORDER BY start) AS i FROM {src}) GROUP BY {key}i HAVING count(*) * {seconds} >= {hold}"
 
 
-@query("st_spike", LOG_SQL + f", w AS (SELECT {start(3600)}, count(CASE WHEN composite < 0.25 THEN 1 END) AS low FROM log GROUP BY 1), b AS (SELECT * FROM w WHERE low > 1) " + _runs_sql("b", 3600, 7200))
-def st_spike(spark, sf, most=1, seconds=3600, hold=7200):
-    w = M.windowed(log(spark, sf), seconds, {"low": F.count_if(F.col("composite") < 0.25)})
-    return M.sustained(w, F.col("low") > most, seconds, hold, [])
+#: The alert's own rule is 10 low scores a minute for five minutes; the table has two a minute at most, so the query also has one that can fire.
+SPIKES = [(10, 60, 300), (1, 3600, 7200)]
+
+
+@query("st_spike", LOG_SQL + ", " + ", ".join(f"w{s} AS (SELECT {start(s)}, count(CASE WHEN composite < 0.25 THEN 1 END) AS low FROM log GROUP BY 1), b{s} AS (SELECT * FROM w{s} WHERE low > {most})" for most, s, _ in SPIKES)
+       + " " + " UNION ALL ".join(f"SELECT {most} AS most, {s} AS seconds, * FROM (" + _runs_sql(f"b{s}", s, hold) + ")" for most, s, hold in SPIKES))
+def st_spike(spark, sf):
+    """Runs of windows with more than so many low scores, by rule."""
+    out = None
+    for most, seconds, hold in SPIKES:
+        w = M.windowed(log(spark, sf), seconds, {"low": F.count_if(F.col("composite") < 0.25)})
+        one = M.sustained(w, F.col("low") > most, seconds, hold, []).select(F.lit(most).alias("most"), F.lit(seconds).alias("seconds"), "since", "until", "windows")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("st_sustained", f"WITH w AS (SELECT event_type, {start(3600)}, avg(value) AS v FROM events GROUP BY ALL), b AS (SELECT * FROM w WHERE v > 40) " + _runs_sql("b", 3600, 10800, "event_type"))
@@ -130,16 +150,32 @@ def st_lookback(spark, sf, hours=24):
     return long.join(F.broadcast(rules), "metric").groupBy("metric", "threshold").agg(F.count("value").alias("points"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("breached"))
 
 
-_DAY = LOG_SQL + f", d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {PERF_SQL}, avg(value) AS mv FROM (SELECT *, latency AS value FROM log) GROUP BY 1), f AS (SELECT *, abs(mv - (SELECT avg(latency) FROM log)) > 3 AS has_drift, CASE WHEN day = '2024-01-10' THEN 3 END AS days_since FROM d)"
+_DAY = LOG_SQL + f""", d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, max(ts) AS run, {PERF_SQL}, avg(value) AS mv FROM (SELECT *, latency AS value FROM log) GROUP BY 1),
+    f AS (SELECT d.*, abs(mv - (SELECT avg(latency) FROM log)) > 3 AS has_drift, retrained_at AS last FROM d ASOF LEFT JOIN retrainings ON d.run >= retrainings.ts)"""
 _REASONS = "concat_ws(',', CASE WHEN has_drift THEN 'drift' END, CASE WHEN avg_composite < 0.3 THEN 'composite' END, CASE WHEN min_composite < 0.25 THEN 'min_composite' END, CASE WHEN avg_groundedness < 0.2 THEN 'groundedness' END, CASE WHEN coverage < 1 THEN 'coverage' END, CASE WHEN error_rate > 0.15 THEN 'error_rate' END, CASE WHEN p95_latency > 10 THEN 'latency' END, CASE WHEN avg_relevance < 0.6 THEN 'relevance' END)"
 
 
-@query("st_decision", _DAY + f", r AS (SELECT *, {_REASONS} AS reasons FROM f), w AS (SELECT *, CASE WHEN has_drift THEN 'full' WHEN reasons <> '' THEN 'model_only' ELSE 'none' END AS wanted FROM r), b AS (SELECT *, wanted <> 'none' AND coalesce(days_since, 10000) < 7 AS blocked FROM w) SELECT day, CASE WHEN blocked THEN 'none' ELSE wanted END AS strategy, blocked, NOT blocked AND wanted <> 'none' AS needs_retraining, reasons FROM b")
+# days are worked through in their order, since a decision blocks those after it
+_COOLED = f"""
+    w AS (SELECT *, CASE WHEN has_drift THEN 'full' WHEN reasons <> '' THEN 'model_only' ELSE 'none' END AS wanted, row_number() OVER (ORDER BY day) AS i FROM r),
+    c(i, own, last, since, blocked) AS (
+        SELECT 0::BIGINT, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::BIGINT, false
+        UNION ALL
+        SELECT i, CASE WHEN wanted <> 'none' AND NOT blocked THEN run ELSE own END, last, since, blocked FROM (
+            SELECT *, wanted <> 'none' AND coalesce(since < {M.COOL_DOWN}, false) AS blocked FROM (
+                SELECT w.i, run, wanted, own, w.last, CAST(floor(epoch(run - greatest(own, w.last)) / 86400) AS BIGINT) AS since FROM c JOIN w ON w.i = c.i + 1)))
+"""
+
+
+@query("st_decision", "WITH RECURSIVE" + _DAY.lstrip()[4:] + f", r AS (SELECT *, {_REASONS} AS reasons FROM f), " + _COOLED + """
+    SELECT day, CASE WHEN c.blocked THEN 'none' ELSE wanted END AS strategy, c.blocked AS blocked, NOT c.blocked AND wanted <> 'none' AS needs_retraining, reasons, since AS days_since FROM w JOIN c USING (i)""")
 def st_decision(spark, sf):
+    """Each day's decision; the last retraining is that of the history before the
+    day's last entry, or of a decision before it."""
     e = log(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     mean = e.agg(F.avg("latency").alias("all"))  # one row
-    drift = e.groupBy("day").agg(F.avg("latency").alias("mv")).join(F.broadcast(mean)).select("day", (F.abs(F.col("mv") - F.col("all")) > 3).alias("has_drift"))
-    m = perf_metrics(e, ["day"]).join(drift, "day").withColumn("days_since", F.when(F.col("day") == "2024-01-10", 3))
-    return M.decision(m).select("day", "strategy", "blocked", "needs_retraining", "reasons")
-
-
+    days = e.groupBy("day").agg(F.avg("latency").alias("mv"), F.max("ts").alias("ts")).join(F.broadcast(mean))
+    days = days.select("day", "ts", (F.abs(F.col("mv") - F.col("all")) > 3).alias("has_drift"))
+    days = last_before(days, retrainings(spark, sf), "ts", [], ["retrained_at"])
+    m = M.decision(perf_metrics(e, ["day"]).join(days, "day"))
+    return M.cool_down(m, "ts", "retrained_at", []).select("day", "strategy", "blocked", "needs_retraining", "reasons", "days_since")

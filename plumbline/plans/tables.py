@@ -10,7 +10,7 @@ from ..operators import tables as TB
 from ..operators.profile import quantiles, r6
 from ..shared import fresh_path
 from ..sources import files as S
-from .base import LOG_SQL, events, log, query, table
+from .base import LOG_SQL, events, log, query, retrainings, table
 from .text import PAIRS_SQL, pairs
 
 
@@ -186,6 +186,14 @@ def join_schema_diff(spark, sf):
     return TB.schema_diff(frame(old), frame(new)).join(F.broadcast(counts))
 
 
+@query("join_last_before", LOG_SQL + "SELECT event_id, event_type, retraining, round(epoch(e.ts - retrained_at) / 86400, 6) AS days_since FROM events e ASOF LEFT JOIN retrainings r ON e.ts >= r.ts")
+def join_last_before(spark, sf):
+    """Each event with the last retraining before it."""
+    e = TB.last_before(events(spark, sf).select("event_id", "event_type", "ts"), retrainings(spark, sf), "ts", [], ["retraining", "retrained_at"])
+    micros = lambda c: F.unix_micros(F.col(c)) / 1e6
+    return e.select("event_id", "event_type", "retraining", r6((micros("ts") - micros("retrained_at")) / 86400).alias("days_since"))
+
+
 @query("join_setdiff", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'purchase'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT user_id, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT user_id, 'new' FROM (FROM b EXCEPT FROM a)")
 def join_setdiff(spark, sf):
     e = events(spark, sf)

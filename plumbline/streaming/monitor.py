@@ -7,10 +7,10 @@ has them of a stream.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 
 def late(log: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -25,8 +25,8 @@ def windowed(log: DataFrame, seconds: int, aggs: dict[str, Column], by: list[str
 
 
 def linear_bucket(x: Column, width: float, n: int) -> Column:
-    """0 below the first bucket, 1..n, n + 1 above the last."""
-    return F.least(F.greatest(F.floor(x / width) + 1, F.lit(0)), F.lit(n + 1)).cast("int")
+    """0 below the first bucket, 1..n, n + 1 above the last; null of null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(F.floor(x / width) + 1, F.lit(0)), F.lit(n + 1))).cast("int")
 
 
 def exponential_bucket(x: Column, growth: float, n: int, scale: float = 1.0) -> Column:
@@ -82,20 +82,48 @@ def replay(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
 
 
 def decision(metrics: DataFrame) -> DataFrame:
-    """needs, strategy and reasons of each row of monitoring metrics.
+    """wanted and reasons of each row of monitoring metrics.
 
-    Drift asks for "full", any breached threshold for "model_only"; fewer than
-    7 days since the last retraining block it.  The reference's test of
-    groundedness is a minimum although its name says maximum.
+    Drift asks for "full", any breached threshold for "model_only".  The
+    reference's test of groundedness is a minimum although its name says maximum.
     """
     rules = [
         ("composite", F.col("avg_composite") < 0.3), ("min_composite", F.col("min_composite") < 0.25), ("groundedness", F.col("avg_groundedness") < 0.2), ("coverage", F.col("coverage") < 1.0),
         ("error_rate", F.col("error_rate") > 0.15), ("latency", F.col("p95_latency") > 10.0), ("relevance", F.col("avg_relevance") < 0.6),
     ]
-    reasons = F.array_compact(F.array(F.when(F.col("has_drift"), "drift"), *[F.when(c, n) for n, c in rules]))
-    d = metrics.withColumn("_r", reasons)
+    d = metrics.withColumn("_r", F.array_compact(F.array(F.when(F.col("has_drift"), "drift"), *[F.when(c, n) for n, c in rules])))
     wanted = F.when(F.col("has_drift"), "full").when(F.size("_r") > 0, "model_only").otherwise("none")
-    blocked = (wanted != "none") & (F.coalesce("days_since", F.lit(10_000)) < 7)
-    return d.withColumn("strategy", F.when(blocked, "none").otherwise(wanted)).withColumn("blocked", blocked).withColumn("needs_retraining", F.col("strategy") != "none").withColumn("reasons", F.array_join("_r", ",")).drop("_r")
+    return d.withColumn("wanted", wanted).withColumn("reasons", F.array_join("_r", ",")).drop("_r")
+
+
+#: Days after a retraining in which there is no other.
+COOL_DOWN = 7
 
 
+def cool_down(wanted: DataFrame, run: str, last: str, by: list[str], days: int = COOL_DOWN) -> DataFrame:
+    """``wanted`` with strategy, blocked, needs_retraining and days_since.
+
+    A run is blocked if fewer than ``days`` whole days have passed since the
+    last retraining: that of the history (``last``, null if none), or one that
+    an earlier run of the same ``by`` has asked for, whichever is later.  Runs
+    of one ``by`` are worked through in one task, in their order; they are
+    reports (some a day), not rows of data.
+    """
+    schema = StructType([*wanted.schema]).add("strategy", StringType()).add("blocked", BooleanType()).add("needs_retraining", BooleanType()).add("days_since", LongType())
+
+    def work(runs: pd.DataFrame) -> pd.DataFrame:
+        runs, own, out = runs.sort_values(run, kind="stable"), None, []
+        for now, before, want in zip(runs[run], runs[last], runs["wanted"]):
+            known = [t for t in (own, before) if t is not None and not pd.isna(t)]
+            since = (now - max(known)).days if known else None
+            blocked = want != "none" and since is not None and since < days
+            if want != "none" and not blocked:
+                own = now
+            out.append(("none" if blocked else want, blocked, want != "none" and not blocked, since))
+        more = pd.DataFrame(out, columns=["strategy", "blocked", "needs_retraining", "days_since"], index=runs.index)
+        return pd.concat([runs, more.astype({"days_since": "Int64"})], axis=1)
+
+    if not by:
+        one = wanted.withColumn("_one", F.lit(0))
+        return cool_down(one, run, last, ["_one"], days).drop("_one")
+    return wanted.groupBy(*by).applyInPandas(work, schema)

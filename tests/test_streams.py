@@ -1,10 +1,12 @@
 """Stateful alerts on streams: equal to the batch, told once, and whole after a restart."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators.tables import last_before
 from plumbline.plans import streams as P
 from plumbline.shared import fresh_path
 from plumbline.streaming import monitor as M
@@ -131,3 +133,53 @@ def test_state_store_setting_is_put_back(spark):
     with pytest.raises(ValueError), S.state_store(spark):
         raise ValueError
     assert spark.conf.get(S.STORE[0]) == before
+
+
+def brute_last(left, right):
+    out = []
+    for k, t, i in left:
+        known = [(u, v) for j, u, v in right if j == k and u is not None and t is not None and u <= t]
+        out.append((i, max(known)[1] if known else None))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ranges", ["1", "7", "40"])
+def test_last_before(spark, ranges):
+    """Keys in many ranges, null keys and times, ties, repeated rows, clashing columns."""
+    rng = random.Random(4)
+    key = lambda: rng.choice(["hot"] * 6 + ["b", "c", None])
+    left = [(key(), rng.choice([None, *range(60)]), i) for i in range(300)]
+    right = [(key(), rng.choice([None, *range(0, 60, 3)]), rng.randrange(50)) for _ in range(60)]
+    right += right[:5]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        a = spark.createDataFrame([(*r, "clash", 1) for r in left], "k string, t int, i int, v string, _range int")
+        b = spark.createDataFrame(right, "k string, t int, v int")
+        got = last_before(a, b, "t", ["k"], ["v"])
+        assert got.columns == ["k", "t", "i", "_range", "v"]
+        assert sorted((r.i, r.v) for r in got.collect()) == brute_last(left, right)
+        assert last_before(a, b.filter("false"), "t", ["k"], ["v"]).filter("v is null").count() == 300
+        assert last_before(a.filter("false"), b, "t", ["k"], ["v"]).count() == 0
+        alone = last_before(a, b, "t", [], ["v"])
+        assert sorted((r.i, r.v) for r in alone.collect()) == brute_last([(0, t, i) for _, t, i in left], [(0, t, v) for _, t, v in right])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_cool_down_by_history_and_by_decisions(spark):
+    """Several retrainings: of the history, and those that runs ask for; days are whole ones."""
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    runs = [
+        ("m", day(0), None, "none"), ("m", day(1), None, "full"), ("m", day(7, 23), None, "model_only"), ("m", day(8), None, "full"), ("m", day(9), day(8, 12), "none"),
+        ("m", day(15, 11), day(8, 12), "model_only"), ("m", day(15, 12), day(8, 12), "model_only"), ("m", day(16), day(3), "full"), ("n", day(2), day(1), "full"), ("n", day(9), day(1), "full"), (None, day(3), None, "full"),
+    ]
+    df = spark.createDataFrame(runs[::-1], "model string, run timestamp, last timestamp, wanted string")
+    got = sorted((r.model or "", r.run, r.strategy, r.blocked, r.needs_retraining, r.days_since) for r in M.cool_down(df, "run", "last", ["model"]).collect())
+    assert got == [
+        ("", day(3), "full", False, True, None),
+        ("m", day(0), "none", False, False, None), ("m", day(1), "full", False, True, None), ("m", day(7, 23), "none", True, False, 6), ("m", day(8), "full", False, True, 7), ("m", day(9), "none", False, False, 0),
+        ("m", day(15, 11), "none", True, False, 6), ("m", day(15, 12), "model_only", False, True, 7), ("m", day(16), "none", True, False, 0),
+        ("n", day(2), "none", True, False, 1), ("n", day(9), "full", False, True, 8),
+    ]
+    assert M.cool_down(df.filter("false"), "run", "last", []).count() == 0
