@@ -10,6 +10,8 @@ from ..operators import tables as TB
 from ..operators.profile import quantiles, r6
 from ..shared import fresh_path
 from ..sources import files as S
+from ..sources import schemas as C
+from ..sources import versions as V
 from .base import LOG_SQL, events, log, query, retrainings, table
 from .text import PAIRS_SQL, pairs
 
@@ -60,7 +62,23 @@ def src_partition_load(spark, sf):
 
 @query("snk_partition_write", "SELECT 'lineitem' AS dataset, year(l_shipdate)::INTEGER AS y, month(l_shipdate)::INTEGER AS m, count(*) AS rows, 11::BIGINT AS columns FROM lineitem GROUP BY ALL")
 def snk_partition_write(spark, sf):
-    return S.write_partitions(table(spark, sf, "lineitem"), fresh_path(spark, "partitioned"), "l_shipdate", "lineitem")
+    """Even years, then odd ones, then one year once more: all partitions stay, and so does their catalogue."""
+    path, li, year = fresh_path(spark, "partitioned"), table(spark, sf, "lineitem"), F.year("l_shipdate")
+    for some in (year % 2 == 0, year % 2 == 1, year == 1995):
+        S.write_partitions(li.filter(some), path, "l_shipdate", "lineitem")
+    kept = spark.read.parquet(path).groupBy("dataset", "y", "m").agg(F.count("*").alias("rows"))
+    return kept.join(S.partition_catalogue(spark, path), ["dataset", "y", "m", "rows"], "full")
+
+
+@query("snk_versioned", """SELECT 2::BIGINT AS version, p_brand, count(*) AS n, round(sum(p_retailprice), 3) AS total FROM part GROUP BY p_brand
+    UNION ALL SELECT 1, p_brand, count(*), round(sum(p_retailprice), 3) FROM part WHERE p_size < 25 GROUP BY p_brand""")
+def snk_versioned(spark, sf):
+    """A table published twice: the latest version, which its pointer names, and the first."""
+    path, part = fresh_path(spark, "versions"), table(spark, sf, "part")
+    first = V.publish(part.filter("p_size < 25"), path)
+    V.publish(part, path)
+    sums = lambda df, n: df.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 3).alias("total")).select(F.lit(n).cast("long").alias("version"), "p_brand", "n", "total")
+    return sums(V.read(spark, path), V.latest(spark, path)).union(sums(V.read(spark, path, first), first))
 
 
 _LINE = "CASE page_id % 6 WHEN 0 THEN '# ' || url WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN '' WHEN 3 THEN 'ftp://x' ELSE url END"
@@ -75,8 +93,12 @@ def src_url_list(spark, sf):
 
 @query("src_url_merge", "SELECT url, bool_and(page_id % 3 = 0) AS added FROM pages GROUP BY url")
 def src_url_merge(spark, sf):
-    p = table(spark, sf, "pages")
-    return S.merge_urls(p.filter("page_id % 3 <> 0"), p.filter("page_id % 3 = 0"))
+    """A list that is stored in versions; a second one adds to it, and a third has nothing new."""
+    path, p = fresh_path(spark, "urls"), table(spark, sf, "pages")
+    V.add_urls(spark, path, p.filter("page_id % 3 <> 0"))
+    second = V.add_urls(spark, path, p.filter("page_id % 3 = 0"))
+    V.add_urls(spark, path, p)
+    return V.read(spark, path).select("url", (F.col("version") == F.lit(second)).alias("added"))
 
 
 @query("src_next_version", "SELECT p_brand AS prefix, max(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_size END)::BIGINT + 1 AS next_version FROM part GROUP BY 1")
@@ -177,13 +199,40 @@ def join_stats_broadcast(spark, sf):
     return d.join(F.broadcast(s)).select("doc_id", r6((F.col("n_chars") - F.col("m")) / F.col("d")).alias("z"), (F.col("n_chars") > F.col("m") + 2 * F.col("d")).alias("beyond"))
 
 
-@query("join_schema_diff", """SELECT * FROM (VALUES ('l_orderkey', 'bigint', 'bigint', 'same'), ('l_quantity', 'double', 'int', 'type_changed'), ('l_tax', 'double', NULL, 'removed'), ('l_shipdate', NULL, 'date', 'added')) t("column", old, new, change), (SELECT count(*) AS old_rows, count(*) AS new_rows FROM lineitem)""")
-def join_schema_diff(spark, sf):
+# Columns of the partition of a year: one that changes its type, one that comes and goes, one that is new.
+_YEARS = "(SELECT year(l_shipdate)::VARCHAR AS day, year(l_shipdate) AS y, count(*) AS rows FROM lineitem GROUP BY ALL)"
+_CATALOGUE_SQL = f"""SELECT 'lineitem' AS dataset, day, unnest(['l_orderkey', 'l_quantity']) AS "column", unnest(['bigint', CASE WHEN y < 1995 THEN 'double' ELSE 'int' END]) AS dtype, rows FROM {_YEARS}
+    UNION ALL SELECT 'lineitem', day, 'l_tax', 'double', rows FROM {_YEARS} WHERE y % 3 = 0
+    UNION ALL SELECT 'lineitem', day, 'l_shipmode', 'string', rows FROM {_YEARS} WHERE y > 1996"""
+
+
+def yearly(spark, sf) -> str:
+    """``lineitem`` written year by year, in columns that change; the folder."""
+    path = fresh_path(spark, "yearly")
     li = table(spark, sf, "lineitem")
-    old, new = li.select("l_orderkey", "l_quantity", "l_tax"), li.select("l_orderkey", F.col("l_quantity").cast("int").alias("l_quantity"), F.col("l_shipdate").cast("date").alias("l_shipdate"))
-    frame = lambda df: spark.createDataFrame(df.dtypes, "column string, dtype string")
-    counts = old.agg(F.count("*").alias("old_rows")).join(F.broadcast(new.agg(F.count("*").alias("new_rows"))))  # one row each
-    return TB.schema_diff(frame(old), frame(new)).join(F.broadcast(counts))
+    years = [r[0] for r in li.select(F.year("l_shipdate")).distinct().collect()]  # few
+    for y in sorted(years):
+        quantity = F.col("l_quantity") if y < 1995 else F.col("l_quantity").cast("int").alias("l_quantity")
+        more = ["l_tax"] * (y % 3 == 0) + [F.lit("AIR").alias("l_shipmode")] * (y > 1996)
+        li.filter(F.year("l_shipdate") == y).select("l_orderkey", quantity, *more).write.parquet(f"{path}/day={y}")
+    return path
+
+
+@query("src_schema_catalogue", _CATALOGUE_SQL)
+def src_schema_catalogue(spark, sf):
+    """The columns of all partitions, from the footers of their files."""
+    return C.catalogue(C.footers(spark, yearly(spark, sf)), "lineitem")
+
+
+@query("join_schema_diff", f"""WITH c AS ({_CATALOGUE_SQL}), d AS (SELECT day, row_number() OVER (ORDER BY day) AS nth FROM (SELECT DISTINCT day FROM c)),
+    grid AS (SELECT d.day, d.nth, k."column", c.dtype FROM d CROSS JOIN (SELECT DISTINCT "column" FROM c) k LEFT JOIN c ON c.day = d.day AND c."column" = k."column"),
+    before AS (SELECT *, lag(dtype) OVER w AS prev, last_value(dtype IGNORE NULLS) OVER (PARTITION BY "column" ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM grid WINDOW w AS (PARTITION BY "column" ORDER BY nth))
+    SELECT 'lineitem' AS dataset, day, "column", held AS old, dtype AS new,
+           CASE WHEN held IS NULL THEN 'added' WHEN dtype IS NULL THEN 'removed' WHEN prev IS NULL THEN 'returned' ELSE 'type_changed' END AS change
+    FROM before WHERE nth > 1 AND dtype IS DISTINCT FROM prev""")
+def join_schema_diff(spark, sf):
+    """What each partition's columns change against the partition before it."""
+    return C.history(C.catalogue(C.footers(spark, yearly(spark, sf)), "lineitem"))
 
 
 @query("join_last_before", LOG_SQL + "SELECT event_id, event_type, retraining, round(epoch(e.ts - retrained_at) / 86400, 6) AS days_since FROM events e ASOF LEFT JOIN retrainings r ON e.ts >= r.ts")

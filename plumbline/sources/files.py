@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..operators.tables import PARTITION
+from ..shared import written
 
 
 #: Rows of a partition that one task writes.
@@ -48,17 +49,38 @@ def read_partitions(spark: SparkSession, path: str, schema: StructType) -> DataF
     return out.filter("_partition_timestamp is not null")
 
 
+#: The catalogue beside the partitions; a name that readers of the data skip.
+CATALOGUE = "_catalogue"
+
+
 def write_partitions(df: DataFrame, path: str, day: str, dataset: str) -> DataFrame:
     """Write under dataset/y/m and return the catalogue: rows and columns of
-    each partition.  Rows of a partition are dealt over tasks of about
-    ``FILE_ROWS`` rows by a hash, so that none, however large, is one task."""
+    each partition.
+
+    Partitions that ``df`` has rows of are replaced, the others stay, and so
+    do their entries in the catalogue.  Rows of a partition are dealt over
+    tasks of about ``FILE_ROWS`` rows by a hash, so that none, however large,
+    is one task.
+    """
+    spark = df.sparkSession
     own = [c for c in df.columns if not c.startswith("_partition")]
     out = df.select(*own, F.lit(dataset).alias("dataset"), F.year(day).alias("y"), F.month(day).alias("m"))
-    sizes = out.groupBy("y", "m").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))  # a row a partition
-    dealt = out.join(F.broadcast(sizes), ["y", "m"]).withColumn("_salt", F.pmod(F.xxhash64(*own), F.col("_files")))
-    dealt.repartition("y", "m", "_salt").select(out.columns).write.mode("overwrite").partitionBy("dataset", "y", "m").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    return back.groupBy("dataset", "y", "m").agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(own)).cast("long"))
+    sizes = written(out.groupBy("dataset", "y", "m").agg(F.count("*").alias("rows")), "sizes")  # a row a partition
+    files = sizes.select("dataset", "y", "m", F.ceil(F.col("rows") / FILE_ROWS).alias("_files"))
+    same = [out[c].eqNullSafe(files[c]) for c in ("dataset", "y", "m")]
+    dealt = out.join(F.broadcast(files), same).select(*[out[c] for c in out.columns], "_files").withColumn("_salt", F.pmod(F.xxhash64(*own), F.col("_files")))
+    writer = dealt.repartition("y", "m", "_salt").select(out.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset", "y", "m").parquet(path)
+    entries = sizes.select("dataset", "y", "m", "rows", F.lit(len(own)).cast("long").alias("columns"), F.unix_micros(F.current_timestamp()).alias("written"))
+    entries.write.mode("append").parquet(f"{path}/{CATALOGUE}")
+    return partition_catalogue(spark, path)
+
+
+def partition_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, y, m, rows, columns) of each partition under ``path``, as it was written last."""
+    kept = spark.read.parquet(f"{path}/{CATALOGUE}")
+    last = kept.groupBy("dataset", "y", "m").agg(F.max_by(F.struct("rows", "columns"), "written").alias("e"))
+    return last.select("dataset", "y", "m", "e.*")
 
 
 def url_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -67,12 +89,6 @@ def url_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(t.alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#") & F.col("url").startswith("http"))
 
 
-def merge_urls(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Each url of either list once, with whether it was added."""
-    tagged = old.select("url", F.lit(1).alias("old")).union(new.select("url", F.lit(0)))
-    return tagged.groupBy("url").agg((F.max("old") == 0).alias("added"))
-
-
 def next_version(names: DataFrame, name: str, prefix: Column) -> DataFrame:
     """Next number after the last "v" of the names under each prefix."""
     v = F.regexp_extract(name, r"v(\d+)$", 1).try_cast("long")
