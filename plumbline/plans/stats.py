@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import stats as ST
 from ..operators.profile import r6
+from ..operators.thresholds import optimal_thresholds
 from .base import events, query, table
 from .text import pairs, topics_sql
 
@@ -356,3 +357,31 @@ def mit_thresholds(spark, sf):
     m AS (SELECT *, CASE WHEN ok THEN round(greatest(abs(tp / pos - (SELECT tpr FROM aim)), abs((called - tp) / (n - pos) - (SELECT fpr FROM aim))), 9) END AS gap FROM v), {_CUT}""")
 def mit_thresholds_odds(spark, sf):
     return _thresholds(spark, sf, "odds")
+
+
+# The curves' upper hulls by all pairs of points, their best common point by all places where a hull bends or two cross.
+_HULL = f"""WITH {_LAB}, r AS (SELECT lang AS grp, least(n_chars, 5000) / 5000 AS s, quality AS y FROM lab WHERE n_chars IS NOT NULL AND quality IS NOT NULL),
+    g AS (SELECT grp, count(*) AS n, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM r GROUP BY grp),
+    p AS (SELECT grp, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp FROM r GROUP BY grp, s WINDOW w AS (PARTITION BY grp ORDER BY s DESC) UNION ALL SELECT grp, 0, 0 FROM g),
+    q AS (SELECT 'odds' AS kind, grp, n, pos, neg, fp / neg AS x, tp / pos AS y FROM p JOIN g USING (grp) WHERE pos > 0 AND neg > 0 UNION ALL SELECT 'parity', grp, n, pos, neg, (fp + tp) / n, tp / n FROM p JOIN g USING (grp)),
+    xs AS (SELECT DISTINCT kind, x FROM q),
+    h AS (SELECT kind, grp, n, pos, neg, xs.x, max(CASE WHEN b.x = a.x THEN greatest(a.y, b.y) ELSE a.y + (b.y - a.y) * (xs.x - a.x) / (b.x - a.x) END) AS y FROM xs JOIN q a USING (kind) JOIN q b USING (kind, grp, n, pos, neg) WHERE a.x <= xs.x AND b.x >= xs.x GROUP BY ALL),
+    steps AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM h WHERE kind = 'odds' WINDOW w AS (PARTITION BY grp ORDER BY x)),
+    crossings AS (SELECT DISTINCT i.x AS a, i.nx AS b, i.x + (i.nx - i.x) * (j.y - i.y) / ((i.ny - i.y) - (j.ny - j.y)) AS x FROM steps i JOIN steps j ON i.x = j.x AND i.grp < j.grp WHERE (i.y - j.y) * (i.ny - j.ny) < 0),
+    every AS (SELECT kind, grp, n, pos, neg, x, y FROM h UNION ALL SELECT 'odds', grp, n, pos, neg, c.x, y + (ny - y) * (c.x - a) / (b - a) FROM crossings c JOIN steps s ON s.x = c.a),
+    scored AS (SELECT kind, x, CASE WHEN kind = 'odds' THEN (sum(pos) * min(y) + sum(neg) * (1 - x)) / sum(n) ELSE sum(n * (2 * y - x) + neg) / sum(n) END AS right_ FROM every GROUP BY kind, x),
+    best AS (SELECT kind, max(right_) AS overall FROM scored GROUP BY kind)
+    SELECT kind, grp, n, round(overall, 6) AS overall, 0.0::DOUBLE AS gap FROM (SELECT DISTINCT kind, grp, n FROM q) JOIN best USING (kind)"""
+
+
+@query("mit_thresholds_optimal", _HULL)
+def mit_thresholds_optimal(spark, sf):
+    """The best accuracy under parity and under odds, with the largest gap of the constrained rates."""
+    d = labelled(spark, sf).withColumn("score", F.least("n_chars", F.lit(5000)) / 5000)
+    out = None
+    for kind, rates in (("odds", ["tpr", "fpr"]), ("parity", ["selection"])):
+        t = optimal_thresholds(d, "lang", "score", F.col("quality") == 1, kind)
+        ends = t.agg(F.greatest(*[F.max(c) - F.min(c) for c in rates], F.lit(0.0)).alias("gap"))  # one row
+        one = t.join(F.broadcast(ends)).select(F.lit(kind).alias("kind"), "grp", "n", r6(F.col("overall")).alias("overall"), F.round("gap", 9).alias("gap"))
+        out = one if out is None else out.union(one)
+    return out
