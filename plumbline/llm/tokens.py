@@ -18,8 +18,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-#: Words that a worker keeps; beyond, only those of the portion at hand stay.
-KEEP = 1_000_000
+#: Words that a worker keeps (about 200 bytes each); beyond, only those of the portion at hand stay.
+KEEP = 400_000
 #: A word of more bytes is encoded but not kept.
 LONG = 128
 #: Words that are encoded as one text.
