@@ -7,8 +7,9 @@ from pyspark.sql.types import DoubleType, LongType, StructType, TimestampType
 
 from ..operators.profile import perf_metrics, r6
 from ..operators.tables import last_before
-from ..shared import fresh_path
+from ..shared import fresh_path, written
 from ..streaming import monitor as M
+from ..streaming import sketches as SK
 from .base import LOG_SQL, events, log, query, retrainings
 from .profile import PERF_SQL
 
@@ -135,6 +136,24 @@ def st_dashboard(spark, sf):
     return M.windowed(log(spark, sf), 3600, aggs | {"mean_composite": r6(F.avg("composite")), "p50_composite": q("composite", 0.5), "p95_composite": q("composite", 0.95)})
 
 
+_SPANS = [("minute", 60), ("hour", 3600), ("day", 86400)]
+
+
+@query("st_latency_sketch", LOG_SQL + " UNION ALL ".join(f"SELECT '{name}' AS span, {start(s)}, count(latency) AS n, true AS p50_within, true AS p95_within FROM log WHERE latency IS NOT NULL GROUP BY 2" for name, s in _SPANS))
+def st_latency_sketch(spark, sf):
+    """Latency sketches by minute, merged to hours and those to days; whether the
+    true ranks of their quantiles are within a hundredth of what was asked."""
+    e = log(spark, sf).select("ts", "latency")
+    kept, out = written(SK.sketches(e, "latency", 60), "minutes"), None
+    for name, seconds in _SPANS:
+        kept = kept if seconds == 60 else SK.rolled(kept, seconds)
+        a, b = (SK.off(kept, e, "latency", seconds, p) for p in (0.5, 0.95))
+        one = a.withColumnRenamed("error", "p50").join(b.select("start", F.col("error").alias("p95")), "start")
+        one = one.select(F.lit(name).alias("span"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", (F.col("p50") <= 0.01).alias("p50_within"), (F.col("p95") <= 0.01).alias("p95_within"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 # Metric, threshold and the side that breaches it.
 LOOKBACK = [("relevance", 0.7, "below"), ("composite", 0.6, "below"), ("groundedness", 0.1, "below")]
 

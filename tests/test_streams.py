@@ -10,6 +10,7 @@ from plumbline.operators.tables import last_before
 from plumbline.plans import streams as P
 from plumbline.shared import fresh_path
 from plumbline.streaming import monitor as M
+from plumbline.streaming import sketches as SK
 from plumbline.streaming import stateful as S
 
 SCHEMA = "k string, ts timestamp, v double"
@@ -183,3 +184,23 @@ def test_cool_down_by_history_and_by_decisions(spark):
         ("n", day(2), "none", True, False, 1), ("n", day(9), "full", False, True, 8),
     ]
     assert M.cool_down(df.filter("false"), "run", "last", []).count() == 0
+
+
+def test_sketches_merge(spark):
+    """Days from hours from minutes are within the bound of the rows, as the sketch of all rows is; nulls have no place."""
+    rand = random.Random(5)
+    rows = [(stamp((i * 7919) % 86400), None if i % 11 == 0 else rand.random() ** 4 * 100, i % 3 or None) for i in range(60_000)]
+    log = spark.createDataFrame(rows, "ts timestamp, v double, k int")
+    minutes = SK.sketches(log, "v", 60, ["k"])
+    hours = SK.rolled(minutes, 3600, ["k"])
+    days = SK.rolled(hours, 86400, ["k"])
+    whole = SK.sketches(log, "v", 86400, ["k"])
+    for p in (0.01, 0.5, 0.95, 0.999):
+        for w in (days, whole):
+            got = SK.off(w, log, "v", 86400, p, ["k"]).collect()
+            assert len(got) == 3 and all(r.error <= 0.01 for r in got)
+    assert {r.k: r.n for r in days.collect()} == {r.k: r["count"] for r in log.filter("v is not null").groupBy("k").count().collect()}
+    # a window of fewer values than the sketch holds is exact
+    few = spark.createDataFrame(rows[:300], log.schema)
+    assert all(r.error <= 1 / 250 for r in SK.off(SK.sketches(few, "v", 86400), few, "v", 86400, 0.5).collect())
+    assert SK.sketches(log.filter("false"), "v", 60).count() == 0
