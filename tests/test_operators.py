@@ -304,3 +304,22 @@ def test_perf_metrics_by_a_null_group(spark):
     rows = [("d", True, 1.0), ("d", True, 3.0), (None, True, 5.0), (None, False, 9.0), ("f", False, 2.0)]
     df = spark.createDataFrame(rows, "g string, success boolean, latency double").selectExpr("*", *[f"0.5D as {c}" for c in ("relevance", "composite", "groundedness", "retrieval")], "1L as doc_id", "10D as index_size")
     assert {r.g: (r.n, r.p95_latency, r.avg_latency, r.distinct_docs) for r in P.perf_metrics(df, ["g"]).collect()} == {"d": (2, 2.9, 2.0, 1), None: (2, 5.0, 5.0, 1), "f": (1, 0.0, 0.0, 1)}
+
+
+def test_cell_search(spark, monkeypatch):
+    """All cells give the exact result, however small the blocks; a third of the cells finds nine tenths of clustered neighbours."""
+    monkeypatch.setattr(R, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(R, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = (centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16))).tolist()
+    v = spark.createDataFrame([(i, r, 1, 2, 3) for i, r in enumerate(x)] + [(5000, None, 1, 2, 3)], "vec_id long, embedding array<double>, cell int, block int, `set` int")
+    asked = v.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    cols = ["query_id", "rank", "doc_id", "distance", "score"]
+    exact = sorted(map(tuple, R.top_k(v, asked, 10).select(cols).collect()))
+    assert sorted(map(tuple, R.cell_top_k(v, asked, 10, cells=9, share=1.0).select(cols).collect())) == exact
+    third = {(r.query_id, r.doc_id) for r in R.cell_top_k(v, asked, 10, share=1 / 3).collect()}
+    assert len(third & {(r[0], r[2]) for r in exact}) / len(exact) >= 0.9
+    assert R.cell_top_k(v.filter("false"), asked, 10).count() == 0
+    assert R.cell_top_k(v, asked.filter("false"), 10).count() == 0
+    assert [R.cells_for(n) for n in (0, 16, 10_000, 10**6, 10**12)] == [4, 4, 16, 1000, 1000]
