@@ -8,6 +8,8 @@ from ..functions.text import AFTER, BEFORE
 from ..operators import quality as Q
 from ..operators.profile import r6, stacked
 from ..operators.tables import schema_diff
+from ..shared import fresh_path, written
+from ..sources import schemas as C
 from ..registry import oracle_of
 from . import profile, stats  # their SQL is part of a run's
 from .base import events, query, table
@@ -23,9 +25,11 @@ def dq_validate(spark, sf):
     return Q.expectations(table(spark, sf, "orders"), RULES)
 
 
-@query("dq_image_meta", "SELECT count(DISTINCT split_part(url, ':', 1)) > 1 AS many_formats, count(DISTINCT n) > 1 AS many_sizes, count(CASE WHEN n < 1000 THEN 1 END) AS small_files, stddev_samp(n) / avg(n) > 0.5 AS size_varies, count(CASE WHEN b < 10 THEN 1 END) AS dark, count(CASE WHEN b > 245 THEN 1 END) AS bright, count(*) - count(html) AS nulls FROM (SELECT *, length(html) AS n, page_id % 256 AS b FROM pages)")
+@query("dq_image_meta", "SELECT count(DISTINCT split_part(url, ':', 1)) > 1 AS many_formats, count(DISTINCT n) > 1 AS many_sizes, count(CASE WHEN n < 1000 THEN 1 END) AS small_files, stddev_samp(n) / avg(n) > 0.5 AS size_varies, count(CASE WHEN b < 10 THEN 1 END) AS dark, count(CASE WHEN b > 245 THEN 1 END) AS bright, count(*) - count(html) AS nulls FROM (SELECT *, length(html) AS n, floor(255.0 * (length(html) - length(replace(html, ' ', ''))) / length(html)) AS b FROM pages)")
 def dq_image_meta(spark, sf):
-    p = table(spark, sf, "pages").select(F.split("url", ":")[0].alias("fmt"), F.char_length("html").alias("n"), (F.col("page_id") % 256).alias("b"))
+    """A page stands in for an image: its length for the size, the share of blanks, of 255, for the brightness."""
+    blanks = F.char_length("html") - F.char_length(F.replace("html", F.lit(" "), F.lit("")))
+    p = table(spark, sf, "pages").select(F.split("url", ":")[0].alias("fmt"), F.char_length("html").alias("n"), F.floor(F.try_divide(255 * blanks, F.char_length("html"))).alias("b"))
     return p.agg((F.count_distinct("fmt") > 1).alias("many_formats"), (F.count_distinct("n") > 1).alias("many_sizes"), F.count_if(F.col("n") < 1000).alias("small_files"), (F.stddev_samp("n") / F.avg("n") > 0.5).alias("size_varies"), F.count_if(F.col("b") < 10).alias("dark"), F.count_if(F.col("b") > 245).alias("bright"), F.count_if(F.col("n").isNull()).alias("nulls"))
 
 
@@ -42,13 +46,18 @@ def dq_types(spark, sf):
 
 @query("dq_schema", "SELECT * FROM (VALUES ('o_totalprice', 'missing'), ('o_orderkey', 'compatible'), ('o_orderstatus', 'mismatch'), ('extra', 'extra')) t(\"column\", status), (SELECT count(*) AS rows FROM orders)")
 def dq_schema(spark, sf):
+    """A written table's columns against those of its baseline, both from the footers of their files."""
     o = table(spark, sf, "orders")
     base, new = o.select("o_orderkey", "o_orderstatus", "o_totalprice"), o.select(F.col("o_orderkey").cast("int").alias("o_orderkey"), F.ascii("o_orderstatus").alias("o_orderstatus"), F.lit(1).alias("extra"))
-    frame = lambda d: spark.createDataFrame(d.dtypes, "column string, dtype string")
+    path = fresh_path(spark, "schemas")
+    for name, df in (("base", base), ("new", new)):
+        df.write.parquet(f"{path}/day={name}")
+    found = written(C.catalogue(C.footers(spark, path), "orders"), "catalogue")
     numbers = ["int", "bigint", "double", "float"]
-    s = schema_diff(frame(base), frame(new))
+    s = schema_diff(*(found.filter(F.col("day") == day).select("column", "dtype") for day in ("base", "new")))
     status = F.when(F.col("change") == "removed", "missing").when(F.col("change") == "added", "extra").when(F.col("old").isin(numbers) == F.col("new").isin(numbers), "compatible").otherwise("mismatch")
-    return s.select("column", status.alias("status")).join(F.broadcast(new.agg(F.count("*").alias("rows"))))  # one row
+    rows = found.filter("day = 'new'").agg(F.max("rows").alias("rows"))  # one row
+    return s.select("column", status.alias("status")).join(F.broadcast(rows))
 
 
 @query("dq_checks", "SELECT 'text' AS \"column\", count(text) > 0 AS passed FROM documents UNION ALL SELECT 'source', count(source) > 0 FROM documents UNION ALL SELECT 'n_chars', count(CASE WHEN n_chars > 0 THEN 1 END) * 2 > count(*) FROM documents")

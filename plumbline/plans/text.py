@@ -5,9 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from ..functions import text as T
 from .base import q, query, table
@@ -231,29 +233,65 @@ def txt_embed_text(spark, sf):
     return docs(spark, sf).select("doc_id", *out(T.embed_text(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")))))
 
 
-def hashing_encoder(dim: int = 64):
-    """The default encoder: signed word hashes in ``dim`` buckets, unit length."""
+#: Characters of text that an encoder gets at a time.
+ENCODED = 4 << 20
 
-    def encode(texts: pd.Series) -> pd.Series:
-        def one(t):
-            v = np.zeros(dim, np.float32)
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1 if h >> 16 & 1 else -1
-            n = float(np.linalg.norm(v))
-            return (v / n if n else v).tolist()
 
-        return texts.map(one)
+def hashing_encoder(dim: int = 64):
+    """The default encoder: signed word hashes in ``dim`` buckets, unit length.
+
+    An encoder is a function from an Arrow array of texts to a matrix with a
+    row for each.  This one splits whole columns and hashes each distinct word
+    of a column once.
+    """
+
+    def encode(texts: pa.Array) -> np.ndarray:
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
+        text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        h = np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.int64)
+        sign = np.where(h >> 16 & 1, 1.0, -1.0)
+        # an empty word is no word; the ends of a text with blanks there have one
+        sign[[i for i, w in enumerate(coded.dictionary.to_pylist()) if not w]] = 0
+        at = coded.indices.to_numpy()
+        out = np.zeros((len(lists), dim), np.float32)
+        if len(at):
+            np.add.at(out, (text, h[at] % dim), sign[at].astype(np.float32))
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)
 
     return encode
 
 
+def embedded(rows: DataFrame, text: str, encoder, out: str = "embedding") -> DataFrame:
+    """``rows`` with the vector that ``encoder`` gives each text, in batches of
+    about ``ENCODED`` characters; null texts have none."""
+    schema, where = StructType([*rows.schema]).add(out, ArrayType(FloatType())), rows.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            sizes, at, size = pc.fill_null(pc.binary_length(b.column(where)), 0).to_pylist(), 0, 0
+            for end, n in enumerate(sizes, 1):
+                size += n
+                if size >= ENCODED or end == len(sizes):
+                    some = b.slice(at, end - at)
+                    texts = some.column(where)
+                    matrix = np.asarray(encoder(pc.fill_null(texts, "")), np.float32)
+                    null, dim = pc.is_null(texts), matrix.shape[1]
+                    offsets = pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32))
+                    vectors = pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel(), pa.float32()), mask=null if null.true_count else None)
+                    yield pa.RecordBatch.from_arrays([*some.columns, vectors], [*b.schema.names, out])
+                    at, size = end, 0
+
+    return rows.mapInArrow(run, schema)
+
+
 @query("txt_embed_job")
 def txt_embed_job(spark, sf, encoder=None):
     """Embeds every chunk with a pluggable encoder; blank texts have no row."""
     rows = chunk_rows(spark, sf).withColumn("t", T.embed_text(F.col("header"), F.col("content"))).filter("t <> ''")
-    encode = F.pandas_udf(encoder or hashing_encoder(), "array<float>")
-    return rows.select(F.concat_ws("_", F.lit("chunk"), "doc_id", "chunk_id").alias("chunk_id"), encode("t").alias("embedding"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    rows = rows.select(F.concat_ws("_", F.lit("chunk"), "doc_id", "chunk_id").alias("chunk_id"), "t", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    return embedded(rows, "t", encoder or hashing_encoder()).select("chunk_id", "embedding", "metadata")
 
 
 @query("vec_normalize", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v) SELECT vec_id, round(norm, 4) AS norm, round(list_sum(list_transform(e, lambda x: x / CASE WHEN norm = 0 THEN 1 ELSE norm END)), 5) AS total, round(e[1] / CASE WHEN norm = 0 THEN 1 ELSE norm END, 5) AS first FROM n")
