@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise
+from .common import free_names, fresh_path, materialise, with_row_key
 from .files import opened, whole_file
 
 #: Payloads of fewer bytes are never revisits.
@@ -35,15 +35,18 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     ``refers`` is the id of the record that holds the same payload, null where
     the record is a response; then the payload follows in chunks of at most
     ``chunk`` bytes.  A revisit or an empty payload is one row with an empty
-    chunk.  Only the payloads that occur more than once are looked up, so
-    where they are few no payload is shuffled.
+    chunk.  Digests alone are compared; payloads meet only the keys of the
+    rows that are revisits, so a payload of many rows is no hot key, and where
+    revisits are few no payload is shuffled.
     """
     body = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
+    key, = free_names(pages, "row")
+    rows = with_row_key(pages, key).select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("sha1", F.sha1("body"))
-    held = rows.filter(F.col("bytes") >= REVISIT).groupBy("sha1", "bytes").agg(F.max("id").alias("top"), F.count("*").alias("n"))
-    held = materialise(held.filter("n > 1").select("sha1", "bytes", "top"), "payloads")
-    joined = rows.join(held, ["sha1", "bytes"], "left").withColumn("refers", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")))
+    digests = materialise(rows.filter(F.col("bytes") >= REVISIT).select("row", "id", "bytes", "sha1"), "digests")
+    held = digests.groupBy("sha1", "bytes").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1")
+    found = digests.join(held, ["sha1", "bytes"]).filter(~F.col("id").eqNullSafe(F.col("top"))).select("row", F.col("top").alias("refers"))
+    joined = rows.join(materialise(found.filter("refers is not null"), "revisits"), "row", "left")
     joined = joined.withColumn("body", F.when(F.col("refers").isNull(), F.col("body")).otherwise(F.lit(b"")))
     # chunk numbers are exploded, and each chunk is cut as its row is made, so a record is never held twice
     numbers = F.expr(f"sequence(0, greatest(0, cast((octet_length(body) - 1) div {chunk} as int)))")
