@@ -65,7 +65,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows of ``docs`` (unique, non-null ids) as ``path/shard=N``."""
-    own, = free_names(docs, "_id")
-    where = shard_by_bytes(docs, shards, id_col, text_col).select(F.col(id_col).alias(own), "shard")
-    docs.drop("shard").join(where, docs[id_col] == where[own]).drop(own).write.partitionBy("shard").parquet(path)
+    """Write the rows of ``docs`` as ``path/shard=N``, each of them once.
+
+    Rows are told apart by a key of their own, so null and repeated ids lose
+    and multiply nothing; equal texts follow each other in the order of that
+    key.  If ``docs`` has a column named shard, the folders are named _shard.
+    """
+    own, folder, same = free_names(docs, "_row", "shard", "_same")
+    keyed = with_row_key(docs, own)
+    where = shard_by_bytes(keyed.select(own, text_col), shards, own, text_col).select(F.col(own).alias(same), F.col("shard").alias(folder))
+    keyed.join(where, F.col(own) == F.col(same)).drop(own, same).write.partitionBy(folder).parquet(path)
