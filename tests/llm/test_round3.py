@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm import EDGES, frame
 from tokenizers import Tokenizer
 
-from plumbline.llm import ann, merkle, queries, runs, word_table
+from plumbline.llm import ann, merkle, queries, runs, sharding, warc, word_table
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -317,3 +317,36 @@ def test_next_of_many_null_ids(spark, most, monkeypatch):
     k = max(i for i in range(180) if (order[i - 1] is None) and order[i] is not None)
     turned = [-1 if x is None else x for x in order[k:] + order[:k]]
     assert turned == sorted(turned, reverse=True)
+
+
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    """Null and repeated ids, repeated rows, and columns named like the folders."""
+    rows = EDGES + EDGES[:4] + [(None, "x"), (None, "x")]
+    df = spark.createDataFrame([(i, t, n % 3, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, shard int, _row int")
+    sharding.write_shards(df, str(tmp_path / "out"), shards=5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(str(tuple(r)) for r in back.select(df.columns).collect()) == sorted(str(tuple(r)) for r in df.collect())
+    sizes = back.groupBy("_shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).collect()
+    assert {r._shard for r in sizes} <= set(range(5)) and sum(r.n for r in sizes) == sum(len((t or "").encode()) + 16 for _, t in rows)
+    own = {r.text: r._shard for r in back.filter("length(text) between 1 and 30").collect()}
+    assert all(own[t] == s for t, s in ((r.text, r._shard) for r in back.collect()) if t in own)
+
+
+def test_warc_of_a_hot_payload(spark):
+    """A third of the rows with one payload, null ids among them, columns with the names used inside."""
+    hot, cold = "<p>" + "h" * 2000, lambda k: f"<p>{k} " + "c" * (900 + k)
+    rows = [(k if k % 7 else None, hot if k % 3 == 0 else cold(k % 40)) for k in range(150)] + [(10, hot), (149, hot), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, f"http://x/{n}", h, 1, 2, 3, 4) for n, (i, h) in enumerate(rows)], "page_id long, url string, html string, row int, id int, body int, refers int")
+    top, often = {}, {}
+    for i, h in rows:
+        b = (h or "").encode()
+        often[b] = often.get(b, 0) + 1
+        if i is not None:
+            top[b] = max(i, top.get(b, i))
+    want = []
+    for i, h in rows:
+        b = (h or "").encode()
+        revisit = len(b) >= 1000 and often[b] > 1 and b in top and i != top[b]
+        want.append((str(i), len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", str(top[b] if revisit else None)))
+    got = [(str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.archive(df).collect()]
+    assert sorted(got) == sorted(want)
