@@ -87,17 +87,36 @@ def aligned_counts(base: DataFrame, new: DataFrame, column: str) -> DataFrame:
     return both.filter("value is not null").groupBy("value").agg(F.sum("b").alias("base_n"), F.sum("n").alias("new_n"))
 
 
+#: Characters of an anchor.
+GRAM = 3
+
+
+def _grams(text: str, size: int) -> Column:
+    """The distinct substrings of ``size`` characters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+    return F.when(F.char_length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
 def _contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(file_id, pos, key) of every text ``h`` of ``hay`` that holds a ``needle``.
 
-    Equality on the substrings of ``h`` that are as long as some needle, so
-    there is no nested loop; the lengths are one row.
+    Texts meet needles by equality on an anchor, so there is no nested loop:
+    that of the needle's substrings of ``GRAM`` characters which the fewest
+    texts have.  A text has as many anchors as characters, whatever the
+    needles; those it meets are compared.  Shorter needles are their own anchor.
     """
-    needles = needles.filter("needle <> ''")
-    sizes = needles.agg(F.sort_array(F.collect_set(F.char_length("needle"))).alias("sizes"))  # lengths of names
-    cuts = F.transform("sizes", lambda n: F.when(F.char_length("h") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("h") - n + 1)), lambda i: F.substring("h", i, n))).otherwise(F.array().cast("array<string>")))
-    parts = hay.filter("h is not null").join(F.broadcast(sizes)).select("pos", "key", F.explode(F.array_distinct(F.flatten(cuts))).alias("needle"))
-    return needles.join(parts, "needle").select("file_id", "pos", "key")
+    needles, hay = needles.filter("needle <> ''"), hay.filter("h is not null")
+    unlike = needles.select("needle").distinct()
+    short = [i for i in range(1, GRAM)]
+    anchors = hay.select("pos", "key", "h", F.explode(_grams("h", GRAM)).alias("gram"))
+    often = anchors.groupBy("gram").agg(F.count("*").alias("n"))
+    picked = unlike.select("needle", F.explode(_grams("needle", GRAM)).alias("gram")).join(often, "gram", "left")
+    # a needle of which no text has some anchor is in none
+    picked = picked.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).filter("best.n > 0")
+    met = picked.select("needle", F.col("best.gram").alias("gram")).join(anchors, "gram").filter(F.col("h").contains(F.col("needle"))).select("needle", "pos", "key")
+    few = hay.select("pos", "key", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("h", i) for i in short])))).alias("needle"))
+    met = met.union(unlike.filter(F.char_length("needle") < GRAM).join(few, "needle").select("needle", "pos", "key"))
+    return needles.join(met, "needle").select("file_id", "pos", "key")
 
 
 def cascade(files: DataFrame, meta: DataFrame) -> DataFrame:

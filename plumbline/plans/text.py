@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructType
 
+from ..functions import sql as SQL
 from ..functions import text as T
 from .base import q, query, table
 
@@ -218,6 +219,17 @@ def txt_chunk(spark, sf):
     return chunk_rows(spark, sf).select("doc_id", "chunk_id", "header", "level", F.md5("content").alias("content_md5"), "tokens")
 
 
+@query("txt_chunk_sql", CHUNK_SQL + " SELECT doc_id, chunk_id, header, level, md5(content) AS content_md5, tokens, length(content) - length(replace(content, chr(10), '')) + 1 AS lines FROM chunk")
+def txt_chunk_sql(spark, sf):
+    """The chunks by functions that SQL calls by name."""
+    SQL.register(spark)
+    marked = T.with_marked(docs(spark, sf).select("doc_id", headed().alias("t")), "t", "text").select("doc_id", "text")
+    return spark.sql(
+        "SELECT doc_id, chunk_id, header, level, md5(content) AS content_md5, token_count(content) AS tokens, CAST(regexp_count(content, '\n') + 1 AS BIGINT) AS lines FROM chunk(TABLE(SELECT * FROM {marked}))",
+        marked=marked,
+    )
+
+
 @query("txt_chunk_docs", CHUNK_SQL + " SELECT doc_id, chunk_id, coalesce(nullif(d.source, ''), header) AS title, header AS section_header, level AS section_level, md5(content) AS content_md5, tokens AS chunk_token_count, lang AS country FROM chunk JOIN documents d USING (doc_id)")
 def txt_chunk_docs(spark, sf):
     return chunk_rows(spark, sf).select("doc_id", "chunk_id", F.coalesce(F.nullif("source", F.lit("")), "header").alias("title"), F.col("header").alias("section_header"), F.col("level").alias("section_level"), F.md5("content").alias("content_md5"), F.col("tokens").alias("chunk_token_count"), F.col("lang").alias("country"))

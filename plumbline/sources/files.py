@@ -109,13 +109,13 @@ def qa_pairs(records: DataFrame, column: str = "value") -> DataFrame:
 PREDICTION = "success boolean, latency double, query string, composite_score double, retrieved array<struct<doc_id:long,score:double>>, index_size long"
 
 
-def prediction_log(log: DataFrame, payload: str, ts: str, until: Column, hours: int = 24, most: int = 10_000) -> DataFrame:
+def prediction_log(log: DataFrame, payload: str, ts: str, until: Column, hours: int = 24, most: int | None = 10_000) -> DataFrame:
     """Entries of the last hours with a payload, flat, defaults filled; the
-    newest ``most`` of them (the report's limit)."""
+    newest ``most`` of them (the report's limit), or all if that is None."""
     rows = log.withColumn("p", F.from_json(F.get_json_object(payload, "$.prediction_result"), PREDICTION)).filter("p is not null")
     rows = rows.filter((F.col(ts) <= until) & (F.col(ts) > until - F.expr(f"interval {hours} hours")))
     flat = rows.select(
         "event_id", ts, F.coalesce("p.success", F.lit(True)).alias("success"), F.coalesce("p.latency", F.lit(0.0)).alias("latency"), F.coalesce("p.latency", F.lit(0.0)).alias("response_time"),
         F.col("p.composite_score").alias("composite_score"), F.coalesce(F.size("p.retrieved"), F.lit(0)).alias("num_docs"), F.coalesce("p.index_size", F.lit(0)).cast("long").alias("index_size"),
     )
-    return flat.orderBy(F.desc(ts), F.desc("event_id")).limit(most)
+    return flat if most is None else flat.orderBy(F.desc(ts), F.desc("event_id")).limit(most)

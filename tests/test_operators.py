@@ -323,3 +323,14 @@ def test_cell_search(spark, monkeypatch):
     assert R.cell_top_k(v.filter("false"), asked, 10).count() == 0
     assert R.cell_top_k(v, asked.filter("false"), 10).count() == 0
     assert [R.cells_for(n) for n in (0, 16, 10_000, 10**6, 10**12)] == [4, 4, 16, 1000, 1000]
+
+
+def test_contained(spark):
+    """Needles of all lengths in texts of all lengths, repeated ones, and none."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abä/") for _ in range(n))
+    needles = [(i, text(rng.randrange(7))) for i in range(60)] + [(60, "ab"), (61, "ab"), (62, "zzz"), (63, "abz")]
+    hay = [(i, f"k{i}", text(rng.randrange(12))) for i in range(40)] + [(40, "k40", None), (41, "k41", "")]
+    got = TB._contained(spark.createDataFrame(needles, "file_id int, needle string"), spark.createDataFrame(hay, "pos int, key string, h string"))
+    want = sorted((f, p) for f, n in needles for p, _, h in hay if n and h is not None and n in h)
+    assert sorted((r.file_id, r.pos) for r in got.collect()) == want
