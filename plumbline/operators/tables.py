@@ -106,17 +106,14 @@ def _contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
     needles; those it meets are compared.  Shorter needles are their own anchor.
     """
     needles, hay = needles.filter("needle <> ''"), hay.filter("h is not null")
-    unlike = needles.select("needle").distinct()
-    short = [i for i in range(1, GRAM)]
     anchors = hay.select("pos", "key", "h", F.explode(_grams("h", GRAM)).alias("gram"))
     often = anchors.groupBy("gram").agg(F.count("*").alias("n"))
-    picked = unlike.select("needle", F.explode(_grams("needle", GRAM)).alias("gram")).join(often, "gram", "left")
+    picked = needles.select("file_id", "needle", F.explode(_grams("needle", GRAM)).alias("gram")).join(often, "gram", "left")
     # a needle of which no text has some anchor is in none
-    picked = picked.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).filter("best.n > 0")
-    met = picked.select("needle", F.col("best.gram").alias("gram")).join(anchors, "gram").filter(F.col("h").contains(F.col("needle"))).select("needle", "pos", "key")
-    few = hay.select("pos", "key", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("h", i) for i in short])))).alias("needle"))
-    met = met.union(unlike.filter(F.char_length("needle") < GRAM).join(few, "needle").select("needle", "pos", "key"))
-    return needles.join(met, "needle").select("file_id", "pos", "key")
+    picked = picked.groupBy("file_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).filter("best.n > 0")
+    met = picked.select("file_id", "needle", F.col("best.gram").alias("gram")).join(anchors, "gram").filter(F.col("h").contains(F.col("needle"))).select("file_id", "pos", "key")
+    few = hay.select("pos", "key", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("h", i) for i in range(1, GRAM)])))).alias("needle"))
+    return met.union(needles.filter(F.char_length("needle") < GRAM).join(few, "needle").select("file_id", "pos", "key"))
 
 
 def cascade(files: DataFrame, meta: DataFrame) -> DataFrame:
