@@ -13,6 +13,11 @@ from ..shared import written
 BLOCK_ROWS, BLOCK_QUERIES = 50_000, 4096
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double to so many places by its product with a power of ten, as SQL engines on C's ``round`` do it."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, distance) of each query's k nearest rows, ties by id."""
     out = []

@@ -96,11 +96,12 @@ def txt_references(spark, sf):
 @query("agg_retrieval_stats", _TOP + " SELECT query_id, round(avg(score), 4) AS avg_score, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, string_agg('chunk_' || doc_id, ',' ORDER BY rank) AS chunk_ids, string_agg(rank || ':' || doc_id || ':' || printf('%.4f', score), ',' ORDER BY rank) AS docs_metrics, count(*) AS n FROM t WHERE rank <= 5 GROUP BY 1")
 def agg_retrieval_stats(spark, sf):
     """Mean score, ids and each document's rank and score of every query, without contents."""
-    hits = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score")))
-    g = top(spark, sf, 5).groupBy("query_id").agg(F.round(F.avg("score"), 4).alias("avg_score"), hits.alias("h"), F.count("*").alias("n"))
+    g = top(spark, sf, 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("h"), F.count("*").alias("n"))
     listed = lambda f: F.array_join(F.transform("h", f), ",")
     text = lambda c: c.cast("string")
+    # the sum in the order of ranks, and as SQL rounds: not the decimal that a double is shown as, but its own value
+    mean = F.aggregate("h", F.lit(0.0), lambda a, s: a + s["score"]) / F.col("n")
     return g.select(
-        "query_id", "avg_score", listed(lambda s: text(s["doc_id"])).alias("doc_ids"), listed(lambda s: F.concat(F.lit("chunk_"), text(s["doc_id"]))).alias("chunk_ids"),
-        listed(lambda s: F.concat_ws(":", text(s["rank"]), text(s["doc_id"]), F.format_string("%.4f", s["score"]))).alias("docs_metrics"), "n",
+        "query_id", R.rounded(mean, 4).alias("avg_score"), listed(lambda s: text(s["doc_id"])).alias("doc_ids"), listed(lambda s: F.concat(F.lit("chunk_"), text(s["doc_id"]))).alias("chunk_ids"),
+        listed(lambda s: F.concat_ws(":", text(s["rank"]), text(s["doc_id"]), F.format_number(s["score"], 4))).alias("docs_metrics"), "n",
     )

@@ -4,6 +4,7 @@ import json
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -68,3 +69,15 @@ def test_baseline_build(spark, sf):
     assert not stats
     checks = {"ids": all(d["doc_id"] is not None for d in train), "n_chars": 2 * sum((d["n_chars"] or 0) > 0 for d in train) > len(train), "text": any(d["text"] is not None for d in train)}
     assert json.loads(row.checks) == checks and not math.isnan(cut)
+
+
+def test_retrieval_stats_at_ties(spark, tmp_path):
+    """Scores that lie on a five at the fifth place print by their own value, as in the SQL."""
+    scores = [k / 1e6 for k in range(300050, 999999, 7900)]
+    rows = [(0, [0.0])] + [(50 * i + j, [1000.0 * i + (1 / s - 1) ** 0.5 * (j > 0)]) for i in range(1, len(scores) // 4) for j, s in enumerate([1.0, *scores[4 * i - 4 : 4 * i]])]
+    pq.write_table(pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64())), "label": ["a"] * len(rows)}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = {r[0]: r for r in con.execute("SELECT query_id, avg_score, doc_ids, chunk_ids, docs_metrics, n FROM (" + registry.oracle_sql()["agg_retrieval_stats"] + ")").fetchall()}
+    got = {r.query_id: (r.query_id, r.avg_score, r.doc_ids, r.chunk_ids, r.docs_metrics, r.n) for r in registry.queries()["agg_retrieval_stats"](spark, str(tmp_path)).collect()}
+    assert got == want
