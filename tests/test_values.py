@@ -10,7 +10,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline import registry
+from plumbline.functions import text as T
 from plumbline.plans import text as PT
 
 
@@ -81,3 +84,11 @@ def test_retrieval_stats_at_ties(spark, tmp_path):
     want = {r[0]: r for r in con.execute("SELECT query_id, avg_score, doc_ids, chunk_ids, docs_metrics, n FROM (" + registry.oracle_sql()["agg_retrieval_stats"] + ")").fetchall()}
     got = {r.query_id: (r.query_id, r.avg_score, r.doc_ids, r.chunk_ids, r.docs_metrics, r.n) for r in registry.queries()["agg_retrieval_stats"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_strip_as_in_sql(spark):
+    """Blanks go at both ends only: those before a rare line end stay, and a long run inside costs no more than its length."""
+    texts = ["", " \t\r\n", " a b \n", "a \u0085", "a  ", " a ", "a" + " " * 200_000 + "b ", None]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select(T.strip(F.col("t")).alias("s")).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute(f"SELECT {PT.strip('x')} FROM (SELECT ?::VARCHAR AS x)", [t]).fetchone()[0] for t in texts]
