@@ -334,3 +334,11 @@ def test_contained(spark):
     got = TB._contained(spark.createDataFrame(needles, "file_id int, needle string"), spark.createDataFrame(hay, "pos int, key string, h string"))
     want = sorted((f, p) for f, n in needles for p, _, h in hay if n and h is not None and n in h)
     assert sorted((r.file_id, r.pos) for r in got.collect()) == want
+
+
+def test_chi2_drift_reads_its_tables_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: read.add(1) or v, "string").asNondeterministic()
+    base, new = (spark.createDataFrame([(v,) for v in values], "c string").select(seen("c").alias("c")) for values in ("aabbc", "aabbd"))
+    one = ST.chi2_drift(base, new, "c", common=True).first()
+    assert (one.top_base, one.new_values, one.missing_values) == ("a:2,b:2,c:1", "d", "c") and read.value == 10
