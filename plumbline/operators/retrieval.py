@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 
-#: Rows and queries that meet in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 50_000, 4096
+#: Rows and queries that meet in one task, and distances that it holds at once.
+BLOCK_ROWS, BLOCK_QUERIES, TILE = 20_000, 4096, 1 << 20
 
 
 def rounded(c: Column, places: int) -> Column:
@@ -21,10 +21,14 @@ def rounded(c: Column, places: int) -> Column:
 def _nearest(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, distance) of each query's k nearest rows, ties by id."""
     out = []
-    sq = (x * x).sum(1)
-    for at in range(0, len(q), 256):
-        part = q[at : at + 256]
-        d = np.maximum((part * part).sum(1)[:, None] + sq[None, :] - 2 * part @ x.T, 0).round(9).round(6)
+    sq, step = np.einsum("ij,ij->i", x, x), max(1, TILE // len(x))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        d = (-2 * part) @ x.T
+        d += np.einsum("ij,ij->i", part, part)[:, None] + sq[None, :]
+        np.maximum(d, 0, out=d)
+        d.round(9, out=d)
+        d.round(6, out=d)
         n = min(k, d.shape[1])
         edge = np.partition(d, n - 1, axis=1)[:, n - 1]
         who, where = np.nonzero(d <= edge[:, None])

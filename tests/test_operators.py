@@ -342,3 +342,19 @@ def test_chi2_drift_reads_its_tables_once(spark):
     base, new = (spark.createDataFrame([(v,) for v in values], "c string").select(seen("c").alias("c")) for values in ("aabbc", "aabbd"))
     one = ST.chi2_drift(base, new, "c", common=True).first()
     assert (one.top_base, one.new_values, one.missing_values) == ("a:2,b:2,c:1", "d", "c") and read.value == 10
+
+
+def test_top_k_holds_a_bounded_tile_of_distances():
+    """Its memory doesn't grow with the queries times the rows of a block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(50_000, 2)), rng.normal(size=(256, 2))
+    tracemalloc.start()
+    who, where, d = R._nearest(np.arange(50_000), x, np.arange(256), q, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    for i in (0, 100, 255):
+        want = np.sort(((x - q[i]) ** 2).sum(1).round(6))[:3]
+        assert np.allclose(d[who == i], want, atol=1e-6) and len(where[who == i]) == 3
