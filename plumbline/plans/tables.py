@@ -289,11 +289,19 @@ def rank_runs(spark, sf):
     return best.select("p_type", (-F.col("m.neg")).alias("run"), r6(F.col("m.composite")).alias("composite"))
 
 
+#: Lines of orders that a task groups, about.
+TASK_LINES = 500_000
+
+
 @query("prj_epoch_flat", "SELECT l_orderkey, " + ", ".join(f"coalesce(round(sum(CASE WHEN l_linenumber = {i} THEN l_quantity END), 6), 0) AS class_{i}" for i in range(1, 8)) + ", count(*) AS n FROM lineitem GROUP BY 1")
 def prj_epoch_flat(spark, sf):
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").pivot("l_linenumber", list(range(1, 8))).agg(F.sum("l_quantity").alias("q"), F.count("l_orderkey").alias("n"))
-    n = sum((F.coalesce(f"{i}_n", F.lit(0)) for i in range(1, 8)), F.lit(0))
-    return per.select("l_orderkey", *[F.coalesce(r6(F.col(f"{i}_q")), F.lit(0.0)).alias(f"class_{i}") for i in range(1, 8)], n.cast("long").alias("n"))
+    # an order has a few lines, so that groups of a whole file's part would fill a task's memory; tasks grow in number instead.
+    # One sum a class, as a pivot groups twice and keeps an array for each of its aggregates
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // TASK_LINES))
+    per = [F.sum(F.when(F.col("l_linenumber") == i, F.col("l_quantity"))).alias(f"q{i}") for i in range(1, 8)]
+    g = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(*per, F.count("*").alias("n"))
+    return g.select("l_orderkey", *[F.coalesce(r6(F.col(f"q{i}")), F.lit(0.0)).alias(f"class_{i}") for i in range(1, 8)], "n")
 
 
 @query("agg_model_compare", "SELECT p_partkey AS model, metric, coalesce(value, 0) AS value FROM (SELECT p_partkey, unnest(['size', 'price', 'missing']) AS metric, unnest([p_size::DOUBLE, p_retailprice, CASE WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE END]) AS value FROM part)")

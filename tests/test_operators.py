@@ -358,3 +358,13 @@ def test_top_k_holds_a_bounded_tile_of_distances():
     for i in (0, 100, 255):
         want = np.sort(((x - q[i]) ** 2).sum(1).round(6))[:3]
         assert np.allclose(d[who == i], want, atol=1e-6) and len(where[who == i]) == 3
+
+
+def test_epoch_flat_tasks_grow_with_lines(spark, sf, monkeypatch):
+    """Groups of a task stay few, however many lines there are."""
+    from plumbline.plans import tables as PTB
+
+    want = sorted(PTB.prj_epoch_flat(spark, sf).collect())
+    monkeypatch.setattr(PTB, "TASK_LINES", 300)
+    got = PTB.prj_epoch_flat(spark, sf)
+    assert got.rdd.getNumPartitions() == -(-sum(r.n for r in want) // 300) > 8 and sorted(got.collect()) == want
