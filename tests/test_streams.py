@@ -204,3 +204,16 @@ def test_sketches_merge(spark):
     few = spark.createDataFrame(rows[:300], log.schema)
     assert all(r.error <= 1 / 250 for r in SK.off(SK.sketches(few, "v", 86400), few, "v", 86400, 0.5).collect())
     assert SK.sketches(log.filter("false"), "v", 60).count() == 0
+
+
+def test_absence_tells_rows_and_knows_its_timer():
+    """A key takes and tells rows, and deletes its one timer without a search."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    did, a = [], S.Absence(["k"], 300, 1800, None)
+    a.handle = SimpleNamespace(deleteTimer=lambda t: did.append(("delete", t)), registerTimer=lambda t: did.append(("register", t)))
+    a.state = SimpleNamespace(exists=lambda: True, get=lambda: (0,), update=lambda v: did.append(v))
+    assert list(a.handleInputRows(("x",), iter([Row(k="x", t=3300), Row(k="x", t=3000)]), None)) == [Row(k="x", state="returned", since=300, windows=9)]
+    assert did == [("delete", 2_100_000), (3300,), ("register", 5_400_000)]
