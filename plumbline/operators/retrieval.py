@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..shared import written
 
 #: Rows and queries that meet in one task, and distances that it holds at once.
-BLOCK_ROWS, BLOCK_QUERIES, TILE = 20_000, 4096, 1 << 20
+BLOCK_ROWS, BLOCK_QUERIES, TILE = 10_000, 4096, 1 << 18
+#: Smaller tables are dealt into so many blocks too, as far as these have LEAST_ROWS.
+LEAST_BLOCKS, LEAST_ROWS = 16, 256
 
 
 def rounded(c: Column, places: int) -> Column:
@@ -70,6 +72,11 @@ def _sides(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str)
 _FOUND = "query_id long, doc_id long, distance double"
 
 
+def blocks_for(rows: int) -> int:
+    """Blocks of a table: of BLOCK_ROWS at most, and enough of them for all cores where rows allow."""
+    return max(1, -(-rows // BLOCK_ROWS), min(LEAST_BLOCKS, rows // LEAST_ROWS))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, doc_id, distance (squared L2), score = 1 / (1 + distance).
 
@@ -79,8 +86,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     smaller id.  Only the numbers of rows reach the driver.
     """
     rows, ask = _sides(vectors, queries, id_col, vector_col)
-    spread = lambda df, most: max(1, -(-df.count() // most))
-    blocks, sets = spread(rows, BLOCK_ROWS), spread(ask, BLOCK_QUERIES)
+    blocks, sets = blocks_for(rows.count()), max(1, -(-ask.count() // BLOCK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     base = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("set", every(sets))
     ask = ask.withColumn("q_set", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int")).withColumn("q_block", every(blocks))

@@ -368,3 +368,35 @@ def test_epoch_flat_tasks_grow_with_lines(spark, sf, monkeypatch):
     monkeypatch.setattr(PTB, "TASK_LINES", 300)
     got = PTB.prj_epoch_flat(spark, sf)
     assert got.rdd.getNumPartitions() == -(-sum(r.n for r in want) // 300) > 8 and sorted(got.collect()) == want
+
+
+def test_top_k_deals_small_tables_to_many_tasks(spark, monkeypatch):
+    def meet(k):
+        def run(left, right):
+            import pyarrow as pa
+
+            ids = left.column("doc_id").to_pylist()
+            return pa.table({"query_id": pa.array([0], pa.int64()), "doc_id": pa.array([min(ids)], pa.int64()), "distance": pa.array([float(len(ids))])})
+
+        return run
+
+    monkeypatch.setattr(R, "_meet", meet)
+    v = spark.range(4000).selectExpr("id as vec_id", "array(double(id), 1.0) as embedding")
+    asked = v.filter("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding as vector")
+    sizes = [r.distance for r in R.top_k(v, asked, 1000).collect()]
+    assert sum(sizes) == 4000 and 8 <= len(sizes) <= 16 and max(sizes) < 1000
+
+
+def test_top_k_holds_few_distances_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(R.BLOCK_ROWS, 16)), rng.normal(size=(300, 16))
+    tracemalloc.start()
+    who, where, d = R._nearest(np.arange(len(x)), x, np.arange(len(q)), q, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    full = np.round(((q[:, None, :] - x[None, :2000, :]) ** 2).sum(2), 6)
+    near = d.reshape(300, 4)
+    assert (near[:, 3] <= np.sort(full, axis=1)[:, 3] + 1e-6).all() and len(who) == len(where) == 1200
