@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import FEW, encoder, portions
 
 WINDOW = 4096
 _FIELDS = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
     """
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, FEW)
         packer, number = SumOfSquares(window), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -130,12 +130,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
             return batch
 
         for b in batches:
-            ids, edges = enc.encode_column(b.column(1), end_id)
-            raw, at = ids.tobytes(), edges.tolist()
-            for key, lo, hi in zip(b.column(0).to_pylist(), at, at[1:]):
-                for pieces in packer.add(0, raw[4 * lo : 4 * hi], (key, hi - lo)):
-                    emit(pieces)
-            yield flush()
+            for first, end in portions(b.column(1)):
+                part = b.slice(first, end - first)
+                ids, edges = enc.encode_column(part.column(1), end_id)
+                at = edges.tolist()
+                for key, lo, hi in zip(part.column(0).to_pylist(), at, at[1:]):
+                    for pieces in packer.add(0, ids[lo:hi].tobytes(), (key, hi - lo)):
+                        emit(pieces)
+                yield flush()
+            # Arrow's pool keeps a batch's memory, for as long as the worker lives, unless told
+            b = part = ids = None
+            pa.default_memory_pool().release_unused()
         for pieces in packer.close():
             emit(pieces)
         yield flush()

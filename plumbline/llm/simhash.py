@@ -33,6 +33,8 @@ DISTANCE = 3
 DENSE = 64
 #: Fingerprints in a block.
 BLOCK = 1024
+#: Fingerprints of a block pair that are compared with all its others at a time.
+_STRIP = 128
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles hashed at a time, which bounds memory for very long texts.
@@ -84,10 +86,13 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one block pair as (member, least member of its component)."""
     u = np.unique(pdf["fp"].to_numpy(dtype=np.int64))
     bits = u.view(np.uint64)
-    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= DISTANCE
+    strips = [slice(at, at + _STRIP) for at in range(0, len(u), _STRIP)]
+    near = np.empty((len(u), len(u)), dtype=bool)
+    for s in strips:
+        near[s] = np.bitwise_count(bits[s, None] ^ bits[None, :]) <= DISTANCE
     label = np.arange(len(u))
     while True:
-        new = np.where(near, label[None, :], len(u)).min(axis=1)
+        new = np.concatenate([np.where(near[s], label[None, :], len(u)).min(axis=1) for s in strips])
         new = new[new]
         if (new == label).all():
             break

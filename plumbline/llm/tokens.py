@@ -17,9 +17,12 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker keeps (about 200 bytes each); beyond, only those of the portion at hand stay.
 KEEP = 400_000
+#: As many, where a worker holds other things too.
+FEW = 100_000
 #: A word of more bytes is encoded but not kept.
 LONG = 128
 #: Words that are encoded as one text.
@@ -45,7 +48,8 @@ _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 class WordEncoder:
     """Encodes columns of texts to unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
+        self.keep = keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,7 +125,7 @@ class WordEncoder:
         if new:
             got = self._learn(new)
             found = [got[w] if i is None else i for w, i in zip(unlike, found)]
-            if len(self.known) + len(new) > KEEP:
+            if len(self.known) + len(new) > (self.keep or KEEP):
                 self.known = dict(zip(unlike, found))
             else:
                 self.known.update(got)
@@ -180,8 +184,20 @@ class WordEncoder:
         return out, bounds
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a vocabulary file; loaded once."""
+def encoder(path: str, keep: int | None = None) -> WordEncoder:
+    """The worker's encoder of a vocabulary file; loaded once.  From now on it
+    keeps at most ``keep`` words (``KEEP`` if not given)."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].keep = keep
     return _ENCODERS[path]
+
+
+def portions(texts: pa.Array):
+    """(from, to) of stretches of rows with about PORTION bytes of text each, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PORTION, side="right")) - 1)
+        yield at, to
+        at = to

@@ -488,3 +488,73 @@ def test_bpe_long_pieces():
     texts = ["x" * 100_001, "abc" * 40_000, letters(100_000, "etaoinshrdlu"), letters(40_000, "的一是不了人我在有他"), "z" * ((8 << 20) + 3)]
     for text, got in zip(texts, codec.encode(texts)):
         assert got == np.array(lib.encode_ordinary(text), "<u4").tobytes()
+
+
+class Task:
+    """Stands for a DataFrame; holds the function that ``mapInArrow`` is given."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    withColumnRenamed = select
+
+
+def test_pack_holds_portions_of_a_batch(spark, monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from plumbline.llm import tokens
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(tokens, "PORTION", 1 << 17)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    texts = [f"w{i % 97} and the river {i % 89} of words " * 150 for i in range(2000)] + [None, "", "x" * 300_000]
+    batch = pa.record_batch({"id": pa.array(range(len(texts))), "t": pa.array(texts)})
+    run = packing.pack(Task(), WORDS).run
+    list(run([batch.slice(0, 10)]))  # loads the vocabulary
+    tracemalloc.start()
+    got = defaultdict(int)
+    for out in run(iter([batch])):
+        for r in out.to_pylist():
+            got[r["id"]] += r["length"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = tokens.WordEncoder(WORDS).encode_column(batch.column(1), 2)[1]
+    assert [got[i] for i in range(len(texts))] == np.diff(whole).tolist()
+    assert peak < 20e6  # the ids of all texts are 13 MB, and were held four times
+    assert tokens.encoder(WORDS, packing.FEW).keep == packing.FEW < tokens.KEEP
+
+
+def test_forest_of_a_large_block_pair_in_strips(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-(2**63), 2**63, 40, dtype=np.int64)
+    flips = np.int64(1) << rng.integers(0, 63, (2048, 2), dtype=np.int64)
+    fps = np.unique(centres[rng.integers(0, 40, 2048)] ^ flips[:, 0] ^ flips[:, 1])
+    tracemalloc.start()
+    got = simhash._forest(pd.DataFrame({"fp": fps}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    root = {f: f for f in fps.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]) <= simhash.DISTANCE
+    for i, j in zip(*np.nonzero(near)):
+        a, b = find(int(fps[i])), find(int(fps[j]))
+        root[max(a, b)] = min(a, b)
+    want = {f: find(f) for f in root if find(f) != f}
+    assert dict(zip(got["a"].tolist(), got["b"].tolist())) == want
