@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import lang_id, packing, secrets, simhash
 from plumbline.llm.common import materialise, ship
+from plumbline.llm.tokens import FEW
 
 #: A document whose calibrated language score is lower is rejected.
 LEAST_SCORE = 0.4
@@ -43,7 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=FEW)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("pack", pack)]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import FEW, encoder, portions
+from .tokens import encoder, portions
 
 WINDOW = 4096
 _FIELDS = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -100,18 +100,18 @@ class SumOfSquares:
             yield left[i][1]
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document is its ids by ``vocabulary`` and then ``end_id``; a null or
     empty text is that one id.  Each id lies in exactly one piece.  Rows with
     a null or repeated id are packed like any other.  sequence_id is the
     task's number and a count in it, unique over the table; an empty table
-    gives an empty result.
+    gives an empty result.  A worker keeps ``keep`` words (``KEEP`` if not given).
     """
 
     def run(batches):
-        enc = encoder(vocabulary, FEW)
+        enc = encoder(vocabulary, keep)
         packer, number = SumOfSquares(window), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 

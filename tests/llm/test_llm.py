@@ -516,7 +516,7 @@ def test_pack_holds_portions_of_a_batch(spark, monkeypatch):
     monkeypatch.setattr(tokens, "_ENCODERS", {})
     texts = [f"w{i % 97} and the river {i % 89} of words " * 150 for i in range(2000)] + [None, "", "x" * 300_000]
     batch = pa.record_batch({"id": pa.array(range(len(texts))), "t": pa.array(texts)})
-    run = packing.pack(Task(), WORDS).run
+    run = packing.pack(Task(), WORDS, keep=tokens.FEW).run
     list(run([batch.slice(0, 10)]))  # loads the vocabulary
     tracemalloc.start()
     got = defaultdict(int)
@@ -528,7 +528,7 @@ def test_pack_holds_portions_of_a_batch(spark, monkeypatch):
     whole = tokens.WordEncoder(WORDS).encode_column(batch.column(1), 2)[1]
     assert [got[i] for i in range(len(texts))] == np.diff(whole).tolist()
     assert peak < 20e6  # the ids of all texts are 13 MB, and were held four times
-    assert tokens.encoder(WORDS, packing.FEW).keep == packing.FEW < tokens.KEEP
+    assert tokens._ENCODERS[WORDS].keep == tokens.FEW < tokens.KEEP
 
 
 def test_forest_of_a_large_block_pair_in_strips(spark):
